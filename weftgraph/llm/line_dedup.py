@@ -44,8 +44,8 @@ def repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3,
     # Hashes at the ends of ranges may go on in others: their documents over all ranges.
     ends = ranges.groupBy("pid").agg(F.min(F.struct("h", "g")).alias("lo"), F.max(F.struct("h", "g")).alias("hi"))
     edge = ends.select(F.explode(F.array("lo", "hi")).alias("e")).select("e.*").distinct()
-    split = ranges.join(F.broadcast(edge), ["h", "g"]).groupBy("h", "g", "pid").agg(F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("n"), F.max("doc_id").alias("last"))
-    totals = cut(split.groupBy("h", "g").agg(F.sum("n").alias("total"), F.max("last").alias("last")))
+    docs_of = ranges.join(F.broadcast(edge), ["h", "g"]).select("h", "g", "doc_id").distinct()
+    totals = cut(docs_of.groupBy("h", "g").agg(F.count(F.lit(1)).alias("total"), F.max("doc_id").alias("last")))
     judged = swept.join(F.broadcast(totals), ["h", "g"], "left").where(
         F.when(F.col("total").isNull(), (F.col("n_docs") >= least_docs) & (F.col("rank") > 1)).otherwise((F.col("total") >= least_docs) & ~F.col("doc_id").eqNullSafe(F.col("last")))
     )
