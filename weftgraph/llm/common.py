@@ -51,3 +51,11 @@ def ascii_lower(col: Column | str) -> Column:
 def uniform(*cols: Column) -> Column:
     """A number in (0, 1) fixed by the values of ``cols``."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + F.lit(0.5)) / F.lit(float(2**53))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, small
+from .common import ascii_lower, cut, small, unused
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased.
@@ -116,10 +116,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     removes them all, and spans are cut only where the id is not repeated.
     """
     hits = find_hits(docs, benchmark, width, id_col, text_col)
+    key, spans = unused(docs, "_key"), unused(docs, "_spans")
+    same = F.col(id_col).eqNullSafe(F.col(key))
     if remove == "documents":
-        gone = hits.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    cuts = hits.where("n_hit > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first("hits").alias("_hits"), F.count(F.lit(1)).alias("_rows")).where("_rows = 1").drop("_rows")
-    joined = docs.join(cuts, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+        return docs.join(hits.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), same, "left_anti")
+    cuts = hits.where("n_hit > 0").groupBy(F.col("doc_id").alias(key)).agg(F.first("hits").alias(spans), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     empty = F.array().cast("array<struct<at:int,n:int>>")
-    return joined.withColumn(text_col, cut_spans(F.col(text_col), F.coalesce("_hits", empty))).drop("_id", "_hits")
+    return docs.join(cuts, same, "left").withColumn(text_col, cut_spans(F.col(text_col), F.coalesce(spans, empty))).drop(key, spans)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, partitions
+from .common import ascii_lower, cut, partitions, unused
 
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -99,13 +99,15 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", out_col: str = "_kept") -> DataFrame:
-    """``docs`` with the kept text in ``out_col`` and the counts ``_n_lines`` and ``_n_dropped``; all rows and columns stay.
+    """``docs`` with the kept text in ``out_col`` and the counts ``_n_lines`` and ``_n_dropped`` (columns of these names are
+    replaced); all rows and other columns stay.
 
     A document's bitmap meets its text in one join by document; the texts are shuffled once."""
-    lost = repeated_lines(docs, least_chars, least_docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_tid"), "dropped")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (text_id(text_col) == F.col("_tid"))
-    gone = F.coalesce("dropped", F.array().cast("array<int>"))
-    kept = F.when(F.size(gone) == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(apply_bitmap(lines(text_col), F.col("_keep")), "\n"))
+    key, tid, gone_col, keep = (unused(docs, x) for x in ("_key", "_tid", "_gone", "_keep"))
+    lost = repeated_lines(docs, least_chars, least_docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("text_id").alias(tid), F.col("dropped").alias(gone_col))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (text_id(text_col) == F.col(tid))
+    gone = F.coalesce(gone_col, F.array().cast("array<int>"))
+    kept = F.when(F.size(gone) == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(apply_bitmap(lines(text_col), F.col(keep)), "\n"))
     n = F.size(lines(text_col))
-    joined = docs.join(lost, same, "left").withColumn("_n_lines", n.cast("bigint")).withColumn("_n_dropped", F.size(gone).cast("bigint")).withColumn("_keep", keep_bitmap(n, gone))
-    return joined.withColumn(out_col, kept).drop("_id", "_tid", "dropped", "_keep")
+    joined = docs.join(lost, same, "left").withColumn(keep, keep_bitmap(n, gone))
+    return joined.withColumn(out_col, kept).withColumn("_n_lines", n.cast("bigint")).withColumn("_n_dropped", F.size(gone).cast("bigint")).drop(key, tid, gone_col, keep)
