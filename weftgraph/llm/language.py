@@ -1,6 +1,6 @@
 """Language identification: script ranges, per-word scores and a Viterbi pass with a switching penalty.
 
-The model is naive Bayes over hashed character n-grams of words (1 to 3 letters with the word's edges, and the word).
+The model is naive Bayes over hashed character n-grams of words (1 to 3 letters, the word's edges among them).
 The scripts that a language's training words use narrow a word's candidates. A document's words are labelled
 together: the best path through the languages, where each change costs ``penalty``, gives spans of mixed-language text;
 the language with most letters in its spans is the document's.
@@ -12,15 +12,14 @@ per-task cache, and the Viterbi recursion steps through all documents of a batch
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +27,37 @@ BUCKETS = 1 << 15
 #: Training rows per language, in expectation. All labelled rows are used where there are fewer.
 SAMPLE = 2_000
 PENALTY = 6.0
-CACHE = 1 << 19
-WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+CACHE = 1 << 18
+WORDS = re.compile(r"[^\W\d_]+")
 #: First code points of script ranges and their names (fixed values).
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
-_STARTS = [x for x, _ in SCRIPTS]
-
-
-def script_of(word: str) -> str:
-    return SCRIPTS[int(np.searchsorted(_STARTS, ord(word[0]), "right")) - 1][1]
-
-
-def features(word: str) -> list[int]:
-    w = f"<{word}>"
-    grams = {w, *(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))}
-    return [crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+_STARTS = np.array([x for x, _ in SCRIPTS])
+_NAMES = np.array([x for _, x in SCRIPTS])
 
 
 def words_of(text: str) -> list[str]:
     return WORDS.findall(unicodedata.normalize("NFC", text).lower())
 
 
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed 1- to 3-grams of ``<word>`` for many words at once: buckets (3 x characters, -1 where a gram would leave its
+    word), the place where each word begins, and the script of each word's first letter."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # characters up to the word's end
+    out = np.full((3, len(codes)), -1, np.int64)
+    h = np.zeros(len(codes), np.uint64)
+    for n in (1, 2, 3):
+        here = np.zeros(len(codes), np.uint64)
+        here[: len(codes) - n + 1] = codes[n - 1 :]
+        h = (h + here + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        out[n - 1] = np.where(left >= n, (h % np.uint64(BUCKETS)).astype(np.int64), -1)
+    first = codes[starts + 1].astype(np.int64)
+    return out, starts, np.searchsorted(_STARTS, first, "right") - 1
+
+
 def holdout(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
@@ -66,19 +75,25 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     drawn = rows.where(draw < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = lru_cache(CACHE)(features)
-        total: dict[tuple[str, str], np.ndarray] = {}
         for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                for word in words_of(text):
-                    key = lang, script_of(word)
-                    if key not in total:
-                        total[key] = np.zeros(BUCKETS + 1, np.int64)
-                    total[key][known(word)] += 1
-                    total[key][BUCKETS] += len(word)
-        for (lang, script), t in total.items():
+            for lang, part in pdf.groupby("lang"):
+                for i in range(0, len(part), 256):
+                    seen = Counter(w for text in part["text"].iloc[i : i + 256] for w in words_of(text))
+                    if seen:
+                        yield from tally(lang, list(seen), np.fromiter(seen.values(), np.int64, len(seen)))
+
+    def tally(lang: str, words: list[str], n: np.ndarray) -> Iterator[pd.DataFrame]:
+        buckets, starts, script = grams(words)
+        sizes = np.diff(np.append(starts, buckets.shape[1]))
+        names = _NAMES[script]
+        for name in np.unique(names):
+            times = np.repeat(np.where(names == name, n, 0), sizes)
+            t = np.zeros(BUCKETS + 1, np.int64)
+            for row in buckets:
+                t[:BUCKETS] += np.bincount(row[row >= 0], times[row >= 0], BUCKETS).astype(np.int64)
+            t[BUCKETS] = int(((sizes - 2) * n)[names == name].sum())
             at = np.flatnonzero(t)
-            yield pd.DataFrame({"lang": lang, "script": script, "bucket": at, "n": t[at]})
+            yield pd.DataFrame({"lang": lang, "script": str(name), "bucket": at, "n": t[at]})
 
     table = drawn.mapInPandas(count, "lang string, script string, bucket int, n bigint").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toPandas()
     freq, letters = np.zeros((BUCKETS, len(langs))), {}
@@ -96,19 +111,20 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return {"langs": langs, "weights": weights.astype(np.float32), "scripts": scripts}
 
 
-def scorer(model: dict):
-    """A word's log-score per language, bounded at ``PENALTY`` above the worst. A language that doesn't use the word's
-    script gets the worst; a word in a script that no language uses says nothing."""
-    none = np.zeros(len(model["langs"]), np.float32)
-
-    def score(word: str) -> np.ndarray:
-        fits = model["scripts"].get(script_of(word))
-        if fits is None:
-            return none
-        s = model["weights"][features(word)].mean(0) * min(4.0, 1 + len(word) / 2)
-        return np.where(fits, s, s.min() - 2.0).astype(np.float32)
-
-    return score
+def score_words(model: dict, words: list[str]) -> np.ndarray:
+    """A score per word and language: the mean of its grams' log-weights, more for longer words. A language that doesn't use
+    the word's script gets less than the worst; a word in a script that no language uses says nothing."""
+    if not words:
+        return np.zeros((0, len(model["langs"])), np.float32)
+    buckets, starts, script = grams(words)
+    padded = np.vstack((model["weights"], np.zeros((1, len(model["langs"])), np.float32)))  # bucket -1
+    total = sum(np.add.reduceat(padded[row], starts, axis=0) for row in buckets)
+    count = sum(np.add.reduceat((row >= 0).astype(np.float32), starts) for row in buckets)
+    sizes = np.diff(np.append(starts, buckets.shape[1])) - 2
+    scores = total / count[:, None] * np.minimum(4.0, 1 + sizes / 2)[:, None]
+    fits = np.stack([model["scripts"].get(str(name), np.zeros(len(model["langs"]), bool)) for name in _NAMES])[script]
+    scores = np.where(fits, scores, scores.min(1, keepdims=True) - 2.0)
+    return np.where(fits.any(1)[:, None], scores, 0.0).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -149,7 +165,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -
 SPANS = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("lang", pa.string())]))
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = PENALTY, spans: bool = True, group: int = 512) -> DataFrame:
+def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = PENALTY, spans: bool = True, group: int = 2048) -> DataFrame:
     """``docs`` with lang_pred, score and (if ``spans``) lang_spans: first word, number of words and language of each span.
 
     lang_pred is ``und`` and score 0 if the text is null or has no letter. score is the share of letters in
@@ -163,7 +179,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        langs, score = model["langs"], scorer(model)
+        langs = model["langs"]
         index: dict[str, int] = {}
         vectors = np.zeros((1 << 12, max(1, len(langs))), np.float32)
         sizes = np.zeros(1 << 12, np.int32)
@@ -173,12 +189,14 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
                 texts = [words_of(x) if x is not None and langs else [] for x in part.column(text_col).to_pylist()]
                 if len(index) > CACHE:
                     index.clear()
-                for word in {w for ws in texts for w in ws if w not in index}:
-                    k = index[word] = len(index)
-                    if k >= len(vectors):
-                        vectors = np.concatenate((vectors, np.zeros_like(vectors)))
-                        sizes = np.concatenate((sizes, np.zeros_like(sizes)))
-                    vectors[k], sizes[k] = score(word), len(word)
+                new = list({w for ws in texts for w in ws if w not in index})
+                need = len(index) + len(new)
+                if need > len(vectors):
+                    vectors = np.concatenate((vectors, np.zeros((2 * need - len(vectors), vectors.shape[1]), np.float32)))
+                    sizes = np.concatenate((sizes, np.zeros(2 * need - len(sizes), np.int32)))
+                if new:
+                    vectors[len(index) : need], sizes[len(index) : need] = score_words(model, new), list(map(len, new))
+                index.update(zip(new, range(len(index), need), strict=True))
                 at = np.fromiter((index[w] for ws in texts for w in ws), np.int64)
                 lengths = np.fromiter((len(ws) for ws in texts), np.int64, len(texts))
                 has = lengths > 0
