@@ -26,11 +26,16 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
+def file_name() -> Column:
+    """The name of a row's file; the metadata column has it percent-encoded."""
+    return F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+
+
 def text_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(path, file, size_bytes, text): one row per file right under ``path``."""
-    reader = spark.read.option("recursiveFileLookup", "false").option("wholetext", "true")
+    reader = spark.read.format("text").option("recursiveFileLookup", "false").option("wholetext", "true")
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size_bytes"), F.col("value").alias("text"))
+    return reader.load(path).select(F.col("_metadata.file_path").alias("path"), file_name().alias("file"), F.col("_metadata.file_size").alias("size_bytes"), F.col("value").alias("text"))
 
 
 def read_documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:

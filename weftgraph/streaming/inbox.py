@@ -17,7 +17,7 @@ from ..functions.text import derive_doc_id
 from ..operators.graph import ENTITY
 from ..operators.ingest import chunk_documents, extract_entities
 from ..plans.pack import Pack
-from ..sources.readers import SUFFIXES, stem
+from ..sources.readers import SUFFIXES, file_name, stem
 
 
 def inbox_stream(spark: SparkSession, path: str, per_batch: int = 1000, archive: str | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def inbox_stream(spark: SparkSession, path: str, per_batch: int = 1000, archive:
     reader = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "false").option("maxFilesPerTrigger", per_batch)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    rows = reader.load(path).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    rows = reader.load(path).select(F.col("value").alias("text"), file_name().alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
     rows = rows.where(F.lower(F.regexp_extract("file", r"(\.[^.]*)$", 1)).isin(*SUFFIXES))
     return rows.select(derive_doc_id(stem(F.col("file"))).alias("doc_id"), "file", "text", "modified")
 
@@ -41,8 +41,9 @@ def guarded(extractor: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.D
             try:
                 parts.append(extractor(part).assign(error=None))
             except Exception as e:  # the document goes to quarantine, the batch goes on
-                parts.append(pd.DataFrame([{"source_document": doc, "error": f"{type(e).__name__}: {e}"}], columns=[*names, "error"]))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[*names, "error"])
+                parts.append(pd.DataFrame([dict.fromkeys(names) | {"source_document": doc, "error": f"{type(e).__name__}: {e}"}], dtype=object))
+        rows = pd.concat([p.astype(object) for p in parts]) if parts else pd.DataFrame(columns=[*names, "error"])
+        return rows.where(rows.notna(), None)[[*names, "error"]]
 
     return run
 
