@@ -307,3 +307,47 @@ def test_line_dedup_odd_rows(spark, frame):
     got = sorted((r["doc_id"] or -1, r["_n_dropped"], r["_kept"]) for r in line_dedup.dedup_lines(df).collect())
     assert got == [(-1, 1, ""), (1, 1, ""), (1, 1, ""), (2, 2, ""), (3, 0, ""), (3, 0, f"a\n  {long.upper()} ")]
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0 and line_dedup.keep_bitmaps(frame.limit(0)).count() == 0
+
+
+def luhn(digits: str) -> bool:
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_pii(spark):
+    import re
+
+    from weftgraph.llm import pii
+
+    texts = [
+        "card 4111 1111 1111 1111, again 4111 1111 1111 1111 and 4111111111111111.", "bad card 4111111111111112 and 1234", "mail Jo.Doe42@mail7.example.com, +1 (017) 555-7713!", "host 10.20.30.255 not 10.20.30.256 nor 1.2.3.4.5", "born 1985-02-28 not 2023-02-30",
+        'token = "5f8a0b1c2d3e4f5061728394a5b6c7d8e9f00112" ok', "ssn 123-45-6789 not 000-12-3456", None, "", "no digits here", "4111111111111111", "CC BY 4.0. x@y", "word " * 50_000 + "4111111111111111",
+    ]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id bigint, text string, n_pii string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "key").collect()}
+    a = re.match(r"card (\d{4} \d{4} \d{4} \d{4}), again (\d{4} \d{4} \d{4} \d{4}) and (\d{16})\.$", got[0]["text"])
+    assert a[1] == a[2] and a[1].replace(" ", "") == a[3] == got[10]["text"] != "4111111111111111" and luhn(a[3]) and got[12]["text"].endswith(a[3])
+    for i in (1, 7, 8, 9, 11):
+        assert got[i]["text"] == texts[i] and got[i]["n_pii"] == 0
+    m = re.match(r"mail ([A-Z][a-z]\.[A-Z][a-z]{2}\d{2})@mail7\.example\.com, \+1 \(\d{3}\) \d{3}-\d{4}!$", got[2]["text"])
+    assert m and m[1] != "Jo.Doe42" and "(017) 555-7713" not in got[2]["text"]
+    ip = re.match(r"host (\d+)\.(\d+)\.(\d+)\.(\d+) not 10\.20\.30\.256 nor 1\.2\.3\.4\.5$", got[3]["text"])
+    assert all(int(x) < 256 for x in ip.groups())
+    assert re.match(r"born (1[89]|2[01])\d\d-\d\d-\d\d not 2023-02-30$", got[4]["text"]) and "1985-02-28" not in got[4]["text"]
+    assert re.match(r'token = "[0-9a-f]{40}" ok$', got[5]["text"]) and "5f8a0b" not in got[5]["text"]
+    assert re.match(r"ssn \d{3}-\d{2}-\d{4} not 000-12-3456$", got[6]["text"]) and "123-45-6789" not in got[6]["text"]
+    assert [x["kind"] for x in got[2]["pii_found"]] == ["email", "phone"]
+    assert pii.pseudonymise(df, "other").where("doc_id = 10").first()["text"] != a[3]
+    assert pii.pseudonymise(df.limit(0), "key").count() == 0
+
+
+def test_pii_permutations(spark):
+    from weftgraph.llm import pii
+
+    ids = spark.range(2000)
+    pairs = ids.where("id < 1000").select(pii.permute_pair("k", "t", F.floor(F.col("id") / 20), F.col("id") % 20, 50, 20).alias("p"))
+    assert pairs.select("p.a", "p.b").distinct().count() == 1000
+    days = F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int"))
+    dates = ids.select(pii._date("k", F.date_format(days, "yyyy-MM-dd")).alias("d"))
+    assert dates.where("d is not null").distinct().count() == 2000
+    texts = ids.select(pii.permute_text("k", "t", F.lpad(F.col("id").cast("string"), 4, "0")).alias("x"))
+    assert texts.where("x rlike '^[0-9]{4}$'").distinct().count() == 2000

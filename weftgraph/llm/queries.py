@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, line_dedup, mixing, neardup, spotsigs, url_filter, warc
+from . import chat, decontam, language, line_dedup, mixing, neardup, pii, spotsigs, url_filter, warc
 from .common import table
 
 
@@ -56,6 +56,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The key of the pseudonyms. A run that is not a check takes its own.
+PII_KEY = "weftgraph"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return made.select("doc_id", "text", "n_pii", F.array_join(F.array_sort(F.array_distinct(F.transform("pii_found", lambda x: x["kind"]))), ",").alias("kinds"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(~language.holdout()))
@@ -75,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mix_sources, op2_url_filter, op3_decontamination, op4_spotsigs, op5_warc, op6_neardup, op7_chat_format, op9_language, op10_line_dedup, pipeline)
+    named = (op1_mix_sources, op2_url_filter, op3_decontamination, op4_spotsigs, op5_warc, op6_neardup, op7_chat_format, op8_pii, op9_language, op10_line_dedup, pipeline)
     return {f.__name__: f for f in named}
 
 
