@@ -203,12 +203,23 @@ def locate_page(needles: DataFrame, pages: DataFrame, least: int = 40, head: int
     return needles.select("needle_id").join(first.unionByName(second), "needle_id", "left")
 
 
-def locate_evidence(entities: DataFrame, pages: DataFrame, style: str = "default") -> DataFrame:
+def hooked_variants(hook: Callable[[str], list[str]]) -> Callable[[str], Column]:
+    """A user's function from a source text to needles, as a column function in Arrow batches."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: list(hook(t or "")))
+
+    return run
+
+
+def locate_evidence(entities: DataFrame, pages: DataFrame, style: str = "default", hook: Callable[[str], list[str]] | None = None) -> DataFrame:
     """(id, variant, offset): each entity with a page and text, its first search variant that occurs on its page and where (from 0);
-    both null where none does. ``pages``: doc, page_no, page_text."""
+    both null where none does. ``pages``: doc, page_no, page_text. A pack's own ``hook`` gives the variants in place of a style."""
     wanted = entities.where("source_page is not null and source_text <> ''")
     on = wanted.join(pages, (F.col("source_document") == F.col("doc")) & (F.col("source_page") == F.col("page_no")), "left")
-    rows = on.select("id", "page_text", F.posexplode_outer(fx.search_variants("source_text", style)).alias("n", "variant"))
+    tried = fx.search_variants("source_text", style) if hook is None else hooked_variants(hook)("source_text")
+    rows = on.select("id", "page_text", tried.alias("tried")).select("id", "page_text", F.posexplode_outer("tried").alias("n", "variant"))
     at = F.expr("locate(variant, page_text)")
     hit = rows.select("id", F.when(at > 0, F.struct("n", "variant", (at - 1).alias("offset"))).alias("h"))
     return hit.groupBy("id").agg(F.min("h").alias("h")).select("id", "h.variant", "h.offset")
