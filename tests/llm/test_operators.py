@@ -225,6 +225,20 @@ def test_near_duplicates_in_large_groups(spark):
     assert sum(got[i] != want[i] for i in want) <= 2
 
 
+def test_near_duplicates_in_a_mass_below_the_threshold(spark):
+    """Pairs at 0.865 inside a mass at about 0.83: no node is ever a leaf, and no hub has a link."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(500)]
+    edits = [{p: f"e{i}_{p}" for p in rng.sample(range(2, 498), 8)} for i in range(600)]
+    for x in range(0, 60, 2):
+        edits[x + 1] = dict(list(edits[x].items())[:2]) | dict(list(edits[x + 1].items())[2:])
+    rows = [(i, " ".join(e.get(p, w) for p, w in enumerate(base))) for i, e in enumerate(edits)]
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), "n_shingles", "component_id")
+    want = brute.near([{"doc_id": i, "text": t} for i, t in rows])
+    assert sum(c != i for i, (_, c) in want.items()) >= 25
+    assert got == want
+
+
 def test_near_duplicates_odd_rows(spark, frame):
     assert neardup.near_duplicates(frame.limit(0)).count() == 0
     df = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (2, "A b  c d"), (None, "q r s"), (9, "q r s")], "doc_id bigint, text string")

@@ -11,8 +11,10 @@ minwise tokens) and are confirmed on full sets of 64-bit shingle hashes.
 
 Spark hashes words and moves all rows; numpy turns a batch's word hashes into sets and minwise tokens.
 
-Recall for a pair of similarity s whose node is a leaf after d tokens: 1 - (1 - s^d)^TREES; with 12 trees, s = 0.85:
-d = 1: 1 - 1e-10, d = 3: 0.99998, d = 5: 0.998. Components also need only one path of links.
+Recall of the trees for a pair of similarity s whose node is a leaf after d tokens: 1 - (1 - s^d)^TREES; with 12 trees, s = 0.85:
+d = 1: 1 - 1e-10, d = 3: 0.99998, d = 5: 0.998. In nodes that stay large it is lower, and the sketch loses a few pairs. So the trees only
+join what is easily joined. An exact prefix-filter join (``across``) then finds every similar pair whose documents the trees have left in different components,
+without a sketch, a cap or a sample.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ TREES, LEAF, HUBS = 12, 16, 4
 #: Tokens that each level of a tree takes; a path has ten at most.
 STEPS = (1, 1, 2, 3, 3)
 TOKENS = 128
+#: One document of so many is counted to tell frequent shingles from rare ones.
+COUNTED = 32
 #: A sketch agrees by chance in a quarter of its places. Candidates pass from so far below the threshold: four deviations.
 SLACK = 0.14
 SKETCH = ("s0", "s1", "s2", "s3")
@@ -80,18 +84,47 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def common_shingles(docs: DataFrame, width: int, text_col: str, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, count), by bucket: the most frequent 32-bit heads of shingle hashes, in about one of ``COUNTED`` documents. They only order the shingles in
+    prefixes; which pairs the join finds does not depend on them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [(shingles(h, width) >> np.uint64(32)).astype(np.int64) for h in _lists(batch.column("hs"))]
+            bucket, n = np.unique(np.concatenate(heads) if heads else np.empty(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(COUNTED)) == 0).select(F.coalesce(word_hashes(text_col), F.array().cast("array<bigint>")).alias("hs"))
+    counts = some.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "bucket").limit(most).toArrow()
+    bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
+    order = np.argsort(bucket)
+    return bucket[order].astype(np.uint64), n[order]
+
+
+def rare_first(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set's shingles by a total order that is the same in all sets: count, then hash."""
+    bucket, n = known
+    if not len(bucket):
+        return s
+    head = s >> np.uint64(32)
+    at = np.minimum(np.searchsorted(bucket, head), len(bucket) - 1)
+    return s[np.lexsort((s, np.where(bucket[at] == head, n[at], 0)))]
+
+
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         yield flat[a:b]
 
 
-def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, set_id, tokens, s0..s3): set size, a 128-bit id of the set (null if empty), minwise tokens and sketch."""
+def described(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, set_id, tokens, s0..s3, prefix): set size, a 128-bit id of the set (null if empty), minwise tokens and sketch; the
+    rarest shingles, so many that any set of similarity ``percent`` / 100 or more has one of them among its own."""
+    known = common_shingles(docs, width, text_col)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, tokens, marks = [], [], [], []
+            n, ids, tokens, marks, prefixes = [], [], [], [], []
             for hashes in _lists(batch.column("hs")):
                 s = shingles(hashes, width)
                 n.append(len(s))
@@ -99,13 +132,16 @@ def described(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFr
                 t = minwise(s) if len(s) else np.zeros(TOKENS, np.uint32)
                 tokens.append(t.view(np.int32))
                 marks.append(sketch(t))
+                prefixes.append(rare_first(s, known)[: len(s) + (-percent * len(s) // 100) + 1].view(np.int64) if len(s) else s.view(np.int64))
             flat = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TOKENS), flat)
             four = np.stack(marks) if marks else np.zeros((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists, *(pa.array(four[:, i].copy()) for i in range(4))], ["doc_id", "n", "set_id", "tokens", "s0", "s1", "s2", "s3"])
+            ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
+            rarest = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists, *(pa.array(four[:, i].copy()) for i in range(4)), rarest], ["doc_id", "n", "set_id", "tokens", "s0", "s1", "s2", "s3", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(word_hashes(text_col), F.array().cast("array<bigint>")).alias("hs"))
-    return rows.mapInArrow(describe, "doc_id bigint, n bigint, set_id binary, tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return rows.mapInArrow(describe, "doc_id bigint, n bigint, set_id binary, tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint, prefix array<bigint>")
 
 
 def _differences(x: Column, y: Column) -> Column:
@@ -215,6 +251,26 @@ def candidates(sets: DataFrame, percent: int, trees: int = TREES, steps: tuple[i
     return cut(reduce(lambda x, y: x.unionByName(y), found).distinct())
 
 
+def across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``sets`` (id, n, prefix) in different components of ``roots`` (node, root), among them every pair of
+    similarity ``percent`` / 100 or more.
+
+    Two such sets of sizes x >= y share at least o = p (x + y) / (100 + p) shingles. By a total order, the first one they share is among
+    the first x - p x / 100 + 1 of the larger and the first y - 2 p y / (100 + p) + 1 of the smaller, and behind its places i and j at least o - 1 more
+    are left in both. Shingles that only one component has in its prefixes are left out first, so a large group that is joined already makes no pairs."""
+    number = F.xxhash64("id").alias("k")
+    own = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select(number, "n", F.xxhash64(F.coalesce("root", "id")).alias("part"), "prefix")
+    all_ = Window.partitionBy("shingle")
+    posted = own.select("k", "n", "part", F.posexplode("prefix").alias("i", "shingle")).withColumns({"p": F.min("part").over(all_), "q": F.max("part").over(all_)}).where("p <> q").drop("p", "q")
+    x, y = posted.alias("x"), posted.where(f"(100 + {percent}) * (n - i) >= 2 * {percent} * n").alias("y")
+    fits = f"x.part <> y.part and (x.n > y.n or x.n = y.n and x.k <> y.k) and 100 * y.n >= {percent} * x.n and (100 + {percent}) * least(x.n - x.i, y.n - y.i) >= {percent} * (x.n + y.n)"
+    # All joins by shingle use the one shuffle of the postings; ids are looked up for the pairs that are left.
+    met = x.join(y, F.expr(f"x.shingle = y.shingle and {fits}")).select(F.least("x.k", "y.k").alias("j"), F.greatest("x.k", "y.k").alias("k")).distinct()
+    ids = sets.select("id", number)
+    pairs = met.join(ids.select(F.col("k").alias("j"), F.col("id").alias("x")), "j").join(ids.select("k", F.col("id").alias("y")), "k")
+    return cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, heads: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs`` whose full sets have 100 * intersection >= ``percent`` * union. ``heads`` (id, doc_id): a document that has the set."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(heads, "id").select("id", "doc_id")
@@ -252,13 +308,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, id_col:
     text or one without words has no set, links with nothing and is kept. Rows that share an id but not a text
     are judged one by one; a null id is smaller than all others. All rows come back.
     """
-    every = cut(described(docs, width, id_col, text_col))
+    every = cut(described(docs, percent, width, id_col, text_col))
     first = every.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), "doc_id")).alias("f")).select(F.col("set_id").alias("id"), F.col("f.doc_id").alias("doc_id"))
     heads = cut(first)
     same = (every["set_id"] == heads["id"]) & every["doc_id"].eqNullSafe(heads["doc_id"])
-    sets = every.join(heads.select("id", "doc_id"), same).select("id", "n", "tokens", "s0", "s1", "s2", "s3").dropDuplicates(["id"])
-    links = confirm(candidates(sets, percent), docs, heads, percent, width, id_col, text_col)
+    sets = every.join(heads.select("id", "doc_id"), same).select("id", "n", "tokens", "s0", "s1", "s2", "s3", "prefix").dropDuplicates(["id"])
+    links = cut(confirm(candidates(sets.drop("prefix"), percent), docs, heads, percent, width, id_col, text_col))
     roots = components(links)
+    more = cut(confirm(across(sets.select("id", "n", "prefix"), roots, percent), docs, heads, percent, width, id_col, text_col))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     lowest = roots.join(heads, roots["node"] == heads["id"]).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), "doc_id")).alias("f"))
     named = heads.join(roots.join(lowest, "root").select(F.col("node").alias("id"), F.col("f.doc_id").alias("low"), F.lit(True).alias("linked")), "id", "left").select(
         "id", F.when(F.col("linked"), F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), F.lit(True).alias("has")
