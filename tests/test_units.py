@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import datetime
 import hashlib
 import re
 
@@ -11,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftgraph import queries
 from weftgraph.functions import text as fx
 from weftgraph.operators import curate, graph, ingest, lint
 from weftgraph.operators import pattern as pt
@@ -66,6 +69,22 @@ def test_chunk_documents(spark):
     assert rows == {("a_c0", 3), ("a_c1", 3), ("a_c2", 3), ("b", 1), ("c", 1)}
 
 
+def test_chunks_reach_the_end_of_each_document(spark, tmp_path):
+    texts = {1: "word" + " " * 5000 + "last words", 2: "".join(f"{i:09d} " for i in range(250_000)), 3: "short"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.REGISTRY["chunk_documents"](spark, str(tmp_path)).orderBy("doc_id", "chunk_index").collect()
+    for i, text in texts.items():
+        assert "".join("".join(r["text"] for r in rows if r["doc_id"] == str(i)).split()) == "".join(text.split())
+
+
+def test_the_inbox_takes_whole_files(spark, tmp_path):
+    text = "".join(f"Ann: word{i} and some more words\n" for i in range(1500)) + " " * 200 + "\nAnn: the end"
+    docs = spark.createDataFrame([("long", "long.txt", text, datetime.datetime(2024, 1, 1))], "doc_id string, file string, text string, modified timestamp")
+    inbox.ingest_batch(docs, 0, str(tmp_path), ingest.rule_extractor, dataclasses.replace(pk.THEMATIC, window_chars=50))
+    labels = {r["label"].split()[0] for r in spark.read.parquet(f"{tmp_path}/entities").collect()}
+    assert labels == {f"word{i}" for i in range(1500)} | {"the"}
+
+
 def test_variants(spark):
     df = spark.createDataFrame([("P03 [00:14:22]: 'I felt completely shut out of all of it, and nobody told me'",), ("short",), (None,)], "t string")
     thematic, default = (df.select(fx.search_variants("t", s).alias("v")).collect() for s in ("thematic", "default"))

@@ -74,7 +74,7 @@ def find_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.chunk_documents(table(spark, d, "documents"), 2000)
+    return ingest.chunk_documents(table(spark, d, "documents"), 2000, whole=True)
 
 
 @register()

@@ -51,7 +51,7 @@ def guarded(extractor: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.D
 def ingest_batch(docs: DataFrame, batch_id: int, out: str, extractor: Callable[[pd.DataFrame], pd.DataFrame], pack: Pack) -> None:
     """One micro-batch into ``out``: entities, submissions (documents with entities), quarantine (documents that failed, with the
     error) and waiting (documents without entities), each under this batch's id."""
-    chunks = chunk_documents(docs, pack.window_chars)
+    chunks = chunk_documents(docs, pack.window_chars, whole=True)
     found = extract_entities(chunks, guarded(extractor), f"{ENTITY}, error string").cache()
     bad = found.where("error is not null").select(F.col("source_document").alias("doc_id"), "error").dropDuplicates(["doc_id"])
     good = found.where("error is null").drop("error").join(bad.select(F.col("doc_id").alias("source_document")), "source_document", "left_anti")
