@@ -85,6 +85,20 @@ def test_the_inbox_takes_whole_files(spark, tmp_path):
     assert labels == {f"word{i}" for i in range(1500)} | {"the"}
 
 
+def test_requests_hold_whole_documents(spark, tmp_path):
+    texts = {1: "".join(f"{i:06d} words. Then " for i in range(2000)), 2: "short", 3: "x" * 30_000}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["chunk_doc_id"], r["user_sha"]) for r in queries.REGISTRY["render_chunk_requests"](spark, str(tmp_path)).collect()}
+    want = set()
+    for i, text in texts.items():
+        parts = [c for _, c, _ in ingest.split_chunks(text, 12_000, whole=True)]
+        assert "".join("".join(parts).split()) == "".join(text.split())
+        for k, part in enumerate(parts):
+            name = f"d{i}_c{k}" if len(parts) > 1 else f"d{i}"
+            want.add((name, hashlib.sha256(f"\nDocument: {name}\nVersion: v1\nText:\n{part}".encode()).hexdigest()))
+    assert got == want and len(got) == 8
+
+
 def test_variants(spark):
     df = spark.createDataFrame([("P03 [00:14:22]: 'I felt completely shut out of all of it, and nobody told me'",), ("short",), (None,)], "t string")
     thematic, default = (df.select(fx.search_variants("t", s).alias("v")).collect() for s in ("thematic", "default"))

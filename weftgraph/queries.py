@@ -120,6 +120,14 @@ def render_requests(spark: SparkSession, d: str) -> DataFrame:
     return ingest.render_requests(chunks, THEMATIC).select("chunk_doc_id", "system", F.sha2("user", 256).alias("user_sha"))
 
 
+@register()
+def render_chunk_requests(spark: SparkSession, d: str) -> DataFrame:
+    """One request per chunk of each document, so that every part of a text is in a request."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    chunks = ingest.chunk_documents(docs, THEMATIC.window_chars, whole=True)
+    return ingest.render_requests(chunks, THEMATIC).select("chunk_doc_id", "system", F.sha2("user", 256).alias("user_sha"))
+
+
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """Model responses made from documents: most with an entity, some empty, some cut off, some not JSON."""
     i = F.col("doc_id")
