@@ -17,6 +17,7 @@ from weftgraph import queries
 from weftgraph.functions import text as fx
 from weftgraph.operators import curate, graph, ingest, lint
 from weftgraph.operators import pattern as pt
+from weftgraph.plans import mapping
 from weftgraph.plans import pack as pk
 from weftgraph.plans.questions import resolve
 from weftgraph.sources import readers, writers
@@ -113,6 +114,17 @@ def test_pages_are_found_first_and_by_their_head(spark):
     assert got == {"a": 1, "b": 1, "c": None, "x": 1, "y": None}
 
 
+def test_short_items_are_cited(spark, tmp_path):
+    items = {1: "Alp", 2: "beta gam", 3: "a the z", 4: "One, two three; four", 5: "v w longest x y", 6: "no such words here", 7: "q r s t u v w", 8: "!"}
+    texts = {1: "alphabeta gamma the ending", 2: "alpha the zebra one two three fourteen", 3: "v w longest x y", 4: "uv w longest x yes", 5: "q r s t u v w", 6: None, 7: "one two three"}
+    spark.createDataFrame(list(items.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = lambda t: " ".join(re.sub(r"[,;.!]", " ", t.lower()).split())
+    want = {(str(d), str(i)) for d, t in texts.items() for i, n in items.items() if t and norm(n) and norm(n) in norm(t)}
+    got = [(r["doc_id"], r["item_id"]) for r in mapping.citations(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and {i for _, i in want} == {"1", "2", "3", "4", "5", "7"}
+
+
 def test_evidence_by_a_hook(spark, entities):
     pages = spark.createDataFrame([("doc", 4, "before Line and break after")], "doc string, page_no int, page_text string")
     got = ingest.locate_evidence(entities, pages, hook=lambda t: t.split("\n")).collect()

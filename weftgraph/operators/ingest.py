@@ -172,12 +172,13 @@ def rule_extractor(pdf: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"source_page": "Int32"})
 
 
-def anchored(needles: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
+def anchored(needles: DataFrame, texts: DataFrame, width: int = 4, anywhere: bool = True) -> DataFrame:
     """(doc, needle_id, place): the texts (doc, place, norm) that contain a needle (needle_id, doc or null for any, norm).
 
     A needle's words but the first and last stand as whole words wherever it occurs. So ``width`` of them are a join key to the
-    same number of words in texts, and ``contains`` verifies the few that meet. Needles of fewer words (under ``width`` + 2) are looked for by
-    the longest of their inner words, or where there are none by their document alone.
+    same number of words in texts, and ``contains`` verifies the few that meet. Needles of fewer words (under ``width`` + 2) are looked for in
+    their document, or where they name none by the longest of their inner words. Those of one or two words have no inner word; where they
+    name no document either, every text is scanned for each. ``anywhere``: whether there may be needles without a document.
     """
     shingle = lambda ws, n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, n), " ")))
     split = F.split("norm", " ", -1)
@@ -186,6 +187,14 @@ def anchored(needles: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
     hit = keyed.select("doc", "place", "_k").join(long.select("needle_id", F.col("doc").alias("_d"), "_k"), "_k").where("_d is null or _d = doc").select("doc", "place", "needle_id").distinct()
     few = needles.where((F.size(split) < width + 2) & F.col("doc").isNotNull()).select("needle_id", "doc")
     hit = hit.unionByName(texts.select("doc", "place").join(few, "doc").select("doc", "place", "needle_id"))
+    short = needles.where((F.size(split) < width + 2) & F.col("doc").isNull() & (F.col("norm") != ""))
+    if anywhere and not short.isEmpty():
+        inner = F.when(F.size(split) > 2, F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))))
+        longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+        words = texts.select("doc", "place", F.explode(F.array_distinct(split)).alias("_k"))
+        hit = hit.unionByName(words.join(short.where(F.size(split) > 2).select("needle_id", longest.alias("_k")), "_k").select("doc", "place", "needle_id"))
+        bare = short.where(F.size(split) <= 2).select("needle_id", F.col("norm").alias("_n"))
+        hit = hit.unionByName(texts.join(bare, F.contains("norm", F.col("_n"))).select("doc", "place", "needle_id"))
     full = hit.join(texts, ["doc", "place"]).join(needles.select("needle_id", F.col("norm").alias("_n")), "needle_id")
     return full.where(F.contains("norm", F.col("_n")) & (F.col("_n") != "")).select("doc", "needle_id", "place")
 
@@ -197,9 +206,10 @@ def locate_page(needles: DataFrame, pages: DataFrame, least: int = 40, head: int
     ``needles``: needle_id, doc, snippet; ``pages``: doc, page_no, page_text. Pages are normalised once."""
     norm = needles.select("needle_id", "doc", fx.normalize_for_match("snippet").alias("norm")).where("norm <> ''")
     texts = pages.select("doc", F.col("page_no").alias("place"), fx.normalize_for_match("page_text").alias("norm"))
-    first = anchored(norm, texts).groupBy("needle_id").agg(F.min("place").alias("page_no"))
+    anywhere = not needles.where("doc is null").isEmpty()
+    first = anchored(norm, texts, anywhere=anywhere).groupBy("needle_id").agg(F.min("place").alias("page_no"))
     rest = norm.join(first, "needle_id", "left_anti").where(F.length("norm") >= least).withColumn("norm", F.trim(F.substring("norm", 1, head)))
-    second = anchored(rest, texts).groupBy("needle_id").agg(F.min("place").alias("page_no"))
+    second = anchored(rest, texts, anywhere=anywhere).groupBy("needle_id").agg(F.min("place").alias("page_no"))
     return needles.select("needle_id").join(first.unionByName(second), "needle_id", "left")
 
 
