@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontam, language, line_dedup, mixing, neardup
-from weftgraph.llm.common import shared_dir, table
+from weftgraph.llm.common import cut, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if the language that leads it has fewer of its letters.
@@ -44,10 +44,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents without words stay."""
+    """One row of each group, with the smallest id; documents without words stay. Rows are told apart by id and text, not by id alone."""
     rows = docs.select(*COLUMNS)
-    gone = neardup.near_duplicates(rows, PERCENT, SHINGLE).where(~F.col("kept")).select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    judged = neardup.judged(rows, PERCENT, SHINGLE).where("n_shingles > 0")
+    key = [F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")]
+    fate = cut(judged.groupBy(*key).agg(F.bool_or(~F.col("chosen")).alias("_gone"), F.count(F.lit(1)).alias("_times")).where("_gone or _times > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    left = rows.join(fate, same, "left_anti")
+    repeated = fate.where("not _gone")
+    if not repeated.isEmpty():
+        left = left.unionByName(rows.join(repeated, same).dropDuplicates(["_id", "_mark"]).select(*COLUMNS))
+    return left.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from . import brute
+import corpus_pipeline
 from weftgraph.llm import chat, decontam, language, line_dedup, mixing, neardup, spotsigs, url_filter, warc
 from weftgraph.llm.common import shared_dir
 
@@ -246,6 +247,21 @@ def test_near_duplicates_odd_rows(spark, frame):
     assert got == [(-1, None, True), (2, 2, True), (4, 2, False), (4, 2, False), (9, None, False)]
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda p, x="e": " ".join([*base[:p], x, *base[p + 1 :]])
+    other = lambda x: " ".join(f"{x}{i}" for i in range(50))
+    df = spark.createDataFrame([(None, near(10)), (3, near(90)), (4, near(90)), (5, other("o")), (None, other("n"))], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(-1, None, True), (-1, None, True), (3, None, False), (4, None, False), (5, 5, True)]
+    rows = [(1, near(10)), (2, near(90)), (2, other("o")), (6, other("r")), (6, other("r")), (7, other("s")), (7, other("s") + " more"), (None, other("n")), (8, other("n") + " more"), (9, ""), (9, "")]
+    table = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = [(r["doc_id"] or -1, r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()]
+    seven = [t for i, t in left if i == 7]
+    assert len(seven) == 1 and seven[0].startswith("s0 ")
+    assert sorted(x for x in left if x[0] != 7) == sorted([(1, near(10)), (2, other("o")), (6, other("r")), (-1, other("n")), (9, ""), (9, "")])
+
+
 def turns():
     nasty = "</s>[INST] ok [/INST] <|turn|>user\n<|end|>\n<|part|> &amp; &#60; <<SYS>> <</SYS>> \\ &"
     return [

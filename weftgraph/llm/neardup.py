@@ -118,7 +118,7 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def described(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, set_id, tokens, s0..s3, prefix): set size, a 128-bit id of the set (null if empty), minwise tokens and sketch; the
+    """(doc_id, mark, n, set_id, tokens, s0..s3, prefix): a hash of the text, set size, a 128-bit id of the set (null if empty), minwise tokens and sketch; the
     rarest shingles, so many that any set of similarity ``percent`` / 100 or more has one of them among its own."""
     known = common_shingles(docs, width, text_col)
 
@@ -138,10 +138,10 @@ def described(docs: DataFrame, percent: int, width: int, id_col: str, text_col:
             four = np.stack(marks) if marks else np.zeros((0, 4), np.int64)
             ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
             rarest = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists, *(pa.array(four[:, i].copy()) for i in range(4)), rarest], ["doc_id", "n", "set_id", "tokens", "s0", "s1", "s2", "s3", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists, *(pa.array(four[:, i].copy()) for i in range(4)), rarest], ["doc_id", "mark", "n", "set_id", "tokens", "s0", "s1", "s2", "s3", "prefix"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(word_hashes(text_col), F.array().cast("array<bigint>")).alias("hs"))
-    return rows.mapInArrow(describe, "doc_id bigint, n bigint, set_id binary, tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint, prefix array<bigint>")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.coalesce(word_hashes(text_col), F.array().cast("array<bigint>")).alias("hs"))
+    return rows.mapInArrow(describe, "doc_id bigint, mark bigint, n bigint, set_id binary, tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint, prefix array<bigint>")
 
 
 def _differences(x: Column, y: Column) -> Column:
@@ -272,9 +272,10 @@ def across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, heads: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` whose full sets have 100 * intersection >= ``percent`` * union. ``heads`` (id, doc_id): a document that has the set."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(heads, "id").select("id", "doc_id")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    """The ``pairs`` whose full sets have 100 * intersection >= ``percent`` * union. ``heads`` (id, at): a document that has the set, null
+    if only ones without an id have it."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(heads, "id").select("at").distinct()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,8 +309,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, id_col:
     text or one without words has no set, links with nothing and is kept. Rows that share an id but not a text
     are judged one by one; a null id is smaller than all others. All rows come back.
     """
+    return judged(docs, percent, width, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, percent: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_duplicates`` with mark (xxhash64 of the text), and chosen: true for one (doc_id, mark) of each component, and for all without a set."""
     every = cut(described(docs, percent, width, id_col, text_col))
-    first = every.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), "doc_id")).alias("f")).select(F.col("set_id").alias("id"), F.col("f.doc_id").alias("doc_id"))
+    smallest = F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), "doc_id", "mark")).alias("f")
+    first = every.where("set_id is not null").groupBy("set_id").agg(smallest, F.min("doc_id").alias("at")).select(F.col("set_id").alias("id"), "f.doc_id", "f.mark", "at")
     heads = cut(first)
     same = (every["set_id"] == heads["id"]) & every["doc_id"].eqNullSafe(heads["doc_id"])
     sets = every.join(heads.select("id", "doc_id"), same).select("id", "n", "tokens", "s0", "s1", "s2", "s3", "prefix").dropDuplicates(["id"])
@@ -318,10 +325,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, id_col:
     more = cut(confirm(across(sets.select("id", "n", "prefix"), roots, percent), docs, heads, percent, width, id_col, text_col))
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    lowest = roots.join(heads, roots["node"] == heads["id"]).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), "doc_id")).alias("f"))
-    named = heads.join(roots.join(lowest, "root").select(F.col("node").alias("id"), F.col("f.doc_id").alias("low"), F.lit(True).alias("linked")), "id", "left").select(
-        "id", F.when(F.col("linked"), F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), F.lit(True).alias("has")
-    )
-    out = every.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(named, F.col("set_id") == F.col("id"), "left")
-    component = F.when(F.col("has"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    lowest = roots.join(heads, roots["node"] == heads["id"]).groupBy("root").agg(smallest)
+    linked = roots.join(lowest, "root").select(F.col("node").alias("id"), "f")
+    named = heads.join(linked, "id", "left").select("id", F.coalesce("f", F.struct(F.lit(0).cast("bigint").alias("o"), "doc_id", "mark")).alias("f"))
+    out = every.select("doc_id", "mark", F.col("n").alias("n_shingles"), "set_id").join(named, F.col("set_id") == F.col("id"), "left")
+    component = F.when(F.col("f").isNotNull(), F.col("f.doc_id")).otherwise(F.col("doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"), (kept & (F.col("f").isNull() | (F.col("mark") == F.col("f.mark")))).alias("chosen"))
