@@ -11,6 +11,7 @@ from . import brute
 import corpus_pipeline
 from weftgraph.llm import chat, decontam, language, line_dedup, mixing, neardup, spotsigs, url_filter, warc
 from weftgraph.llm.common import shared_dir
+from weftgraph.llm.components import components
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, _id string"
 
@@ -222,8 +223,7 @@ def test_near_duplicates_in_large_groups(spark):
             edit[rng.randrange(150)] = f"e{i}_{rng.randrange(1000)}"
         rows.append((i, " ".join(edit)))
     got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), "n_shingles", "component_id")
-    want = brute.near([{"doc_id": i, "text": t} for i, t in rows])
-    assert sum(got[i] != want[i] for i in want) <= 2
+    assert got == brute.near([{"doc_id": i, "text": t} for i, t in rows])
 
 
 def test_near_duplicates_in_a_mass_below_the_threshold(spark):
@@ -240,6 +240,22 @@ def test_near_duplicates_in_a_mass_below_the_threshold(spark):
     assert got == want
 
 
+def test_near_duplicates_exact_way_finds_what_one_tree_loses(spark, frame, docs):
+    got = by_id(neardup.near_duplicates(frame, trees=1, depth=2, leaf=2, exact=True), "n_shingles", "component_id")
+    assert got == brute.near(docs)
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(9)
+    mixed = rng.sample(range(1000), 1000)
+    chains = [(i, i + 1) for i in range(999)] + [(2000 + a, 2000 + b) for a, b in zip(mixed, mixed[1:], strict=False)]
+    star = [(5000, 4000 + i) for i in range(300)] + [(5000, 4000)] * 3 + [(None, 1), (7, 7), (6000, 6000)]
+    got = by_id(components(spark.createDataFrame(chains + star, "a bigint, b bigint")), "root", key="node")
+    want = {i: (0,) for i in range(1000)} | {2000 + i: (2000,) for i in range(1000)} | {4000 + i: (4000,) for i in range(300)} | {5000: (4000,)}
+    assert got == want
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_near_duplicates_odd_rows(spark, frame):
     assert neardup.near_duplicates(frame.limit(0)).count() == 0
     df = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (2, "A b  c d"), (None, "q r s"), (9, "q r s")], "doc_id bigint, text string")

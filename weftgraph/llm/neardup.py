@@ -1,44 +1,50 @@
 """Near duplicates by a chosen-path set similarity join.
 
-A document's set is its distinct shingles of words. Documents with equal sets are merged first. Each of ``TREES``
-independent trees branches the rest by minwise tokens: a node's documents share the minwise tokens of the path chosen
-so far; a node of up to ``LEAF`` documents is compared exhaustively; a larger one branches on by its next token.
-Two documents of similarity s stay together for each token with probability s. A large node also compares
-all its documents with its ``HUBS`` most central ones, those nearest to what most of its documents have, so that
-groups of thousands of copies are linked in stars, not as pairs. Nodes that outlast all ``STEPS``
-hold near-copies only; they are compared in random leaves besides. Candidates pass a sketch (2 bits of each of 128
-minwise tokens) and are confirmed on full sets of 64-bit shingle hashes.
+A document's set is its distinct shingles of words. Documents with equal sets are merged first. Each of ``trees``
+independent trees branches the rest by minwise tokens: the documents of a node share the tokens of the path chosen so
+far. A node of up to ``leaf`` documents is compared exhaustively; a larger one branches on by its next token, down to
+``depth`` tokens. Candidates pass a sketch (2 bits of each of 128 minwise tokens) and are confirmed on full sets of
+64-bit shingle hashes.
+
+A node that is still large at the last level holds a group of many near copies, or documents that share most of a text.
+Its documents are compared with one hub, the one that is in large nodes of most trees, so a group of thousands is
+linked as a star. What the hubs leave apart is then joined exactly: a prefix-filter join with a positional filter
+(``across``) over all documents of such nodes finds every similar pair in different components, by widening
+samples first, so that few pairs are made of what one link joins.
+
+Recall of a pair of similarity s: it shares a node of the last level in some tree with probability 1 - (1 - s^depth)^trees,
+however large the groups are; if that node or one above it is small, the pair is compared there, else both documents take part in
+the exact join. With 12 trees of depth 3: 0.99999 at 0.85 and 0.9998 at 0.8. The sketch loses one pair in millions.
+``exact`` puts every document into the exact join, so that no pair is left to chance but for equal 64-bit hashes.
 
 Spark hashes words and moves all rows; numpy turns a batch's word hashes into sets and minwise tokens.
-
-Recall of the trees for a pair of similarity s whose node is a leaf after d tokens: 1 - (1 - s^d)^TREES; with 12 trees, s = 0.85:
-d = 1: 1 - 1e-10, d = 3: 0.99998, d = 5: 0.998. In nodes that stay large it is lower, and the sketch loses a few pairs. So the trees only
-join what is easily joined. An exact prefix-filter join (``across``) then finds every similar pair whose documents the trees have left in different components,
-without a sketch, a cap or a sample.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, partitions
+from .common import Scratch, ascii_lower, cut, small
 from .components import components
 
-TREES, LEAF, HUBS = 12, 16, 4
-#: Tokens that each level of a tree takes; a path has ten at most.
-STEPS = (1, 1, 2, 3, 3)
+TREES, DEPTH, LEAF = 12, 3, 16
 TOKENS = 128
-#: One document of so many is counted to tell frequent shingles from rare ones.
-COUNTED = 32
-#: A sketch agrees by chance in a quarter of its places. Candidates pass from so far below the threshold: four deviations.
-SLACK = 0.14
+#: One document of so many is counted to tell frequent shingles from rare ones; the order of shingles needs no more.
+COUNTED = 8
+#: Of two unequal tokens' bits a quarter agree by chance. Candidates pass from so far below the threshold: five deviations.
+SLACK = 0.2
+#: Of the largest component about so many documents take part in the first exact join.
+FEW = 64
+#: So many ids are sent to all tasks at most; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 SKETCH = ("s0", "s1", "s2", "s3")
 _A = (np.random.default_rng(20240101).integers(0, 2**31, TOKENS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
 _B = np.random.default_rng(20240102).integers(0, 2**32, TOKENS, dtype=np.uint64).astype(np.uint32)
@@ -84,64 +90,41 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return (bits << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def common_shingles(docs: DataFrame, width: int, text_col: str, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, count), by bucket: the most frequent 32-bit heads of shingle hashes, in about one of ``COUNTED`` documents. They only order the shingles in
-    prefixes; which pairs the join finds does not depend on them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = [(shingles(h, width) >> np.uint64(32)).astype(np.int64) for h in _lists(batch.column("hs"))]
-            bucket, n = np.unique(np.concatenate(heads) if heads else np.empty(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
-
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(COUNTED)) == 0).select(F.coalesce(word_hashes(text_col), F.array().cast("array<bigint>")).alias("hs"))
-    counts = some.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "bucket").limit(most).toArrow()
-    bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
-    order = np.argsort(bucket)
-    return bucket[order].astype(np.uint64), n[order]
-
-
-def rare_first(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A set's shingles by a total order that is the same in all sets: count, then hash."""
-    bucket, n = known
-    if not len(bucket):
-        return s
-    head = s >> np.uint64(32)
-    at = np.minimum(np.searchsorted(bucket, head), len(bucket) - 1)
-    return s[np.lexsort((s, np.where(bucket[at] == head, n[at], 0)))]
-
-
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         yield flat[a:b]
 
 
-def described(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, mark, n, set_id, tokens, s0..s3, prefix): a hash of the text, set size, a 128-bit id of the set (null if empty), minwise tokens and sketch; the
-    rarest shingles, so many that any set of similarity ``percent`` / 100 or more has one of them among its own."""
-    known = common_shingles(docs, width, text_col)
+def _set_id(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def described(docs: DataFrame, width: int, tokens: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, n, set_id, tokens, s0..s3): a hash of the text, set size, a 128-bit id of the set (null if empty),
+    its first minwise tokens and its sketch."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, tokens, marks, prefixes = [], [], [], [], []
+            n, ids, first, marks = [], [], [], []
             for hashes in _lists(batch.column("hs")):
                 s = shingles(hashes, width)
-                n.append(len(s))
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 t = minwise(s) if len(s) else np.zeros(TOKENS, np.uint32)
-                tokens.append(t.view(np.int32))
+                n.append(len(s))
+                ids.append(_set_id(s) if len(s) else None)
+                first.append(t[:tokens].view(np.int32))
                 marks.append(sketch(t))
-                prefixes.append(rare_first(s, known)[: len(s) + (-percent * len(s) // 100) + 1].view(np.int64) if len(s) else s.view(np.int64))
-            flat = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * TOKENS), flat)
+            flat = pa.array(np.concatenate(first) if first else np.empty(0, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * tokens), flat)
             four = np.stack(marks) if marks else np.zeros((0, 4), np.int64)
-            ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
-            rarest = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists, *(pa.array(four[:, i].copy()) for i in range(4)), rarest], ["doc_id", "mark", "n", "set_id", "tokens", "s0", "s1", "s2", "s3", "prefix"])
+            columns = [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists]
+            columns += [pa.array(four[:, i].copy()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "set_id", "tokens", *SKETCH])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.coalesce(word_hashes(text_col), F.array().cast("array<bigint>")).alias("hs"))
-    return rows.mapInArrow(describe, "doc_id bigint, mark bigint, n bigint, set_id binary, tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint, prefix array<bigint>")
+    words = F.coalesce(word_hashes(text_col), F.array().cast("array<bigint>"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("mark"), words.alias("hs"))
+    kinds = "doc_id bigint, mark bigint, n bigint, set_id binary, tokens array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    return rows.mapInArrow(describe, kinds)
 
 
 def _differences(x: Column, y: Column) -> Column:
@@ -159,132 +142,65 @@ def _likely(x: Column, y: Column, percent: int) -> Column:
     return sizes & (_differences(x, y) <= F.lit(int(TOKENS * 0.75 * (1 - percent / 100 + SLACK))))
 
 
-def _centres(large: DataFrame) -> DataFrame:
-    """(key, hub): the ``HUBS`` documents of each node whose sketches are nearest to the node's majority, bit by bit.
-
-    The original of a group of copies has the tokens that most of its copies have kept. Bits are counted per Arrow batch before
-    the shuffle, so a node of any size travels as a few rows of counts."""
+def _paths(sets: DataFrame, trees: int, depth: int) -> DataFrame:
+    """(id, k1, ..., one row per tree): the keys of the nodes on the document's path, one per level."""
+    tree = lambda t: [F.xxhash64(F.lit(t), F.slice("tokens", t * depth + 1, level)).alias(f"k{level}") for level in range(1, depth + 1)]
+    return sets.select("id", F.explode(F.array(*[F.struct(*tree(t)) for t in range(trees)])).alias("x")).select("id", "x.*")
+
+
+def branch(sets: DataFrame, scratch: Scratch, trees: int, depth: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(small, large), both (key, id): the documents of nodes of 2 to ``leaf`` documents, and those of
+    nodes of the last level that have more. Counts are combined before the shuffle; most documents are alone in
+    their first nodes and go no further."""
+    rest, found = _paths(sets, trees, depth), []
+    for level in range(1, depth + 1):
+        key = F.col(f"k{level}").alias("key")
+        sizes = rest.groupBy(key).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = scratch.keep(rest.withColumn("key", key).join(sizes, "key"))
+        found.append(met.where(F.col("size") <= leaf).select("key", "id"))
+        rest = met.where(F.col("size") > leaf).drop("key", "size")
+    return reduce(DataFrame.unionByName, found), met.where(F.col("size") > leaf).select("key", "id")
+
+
+def leaf_pairs(small: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of the documents under each key; a key has a leaf's documents at most."""
+    me = F.struct("id", "n", *SKETCH).alias("me")
+    nodes = small.join(sets.select("id", me), "id").groupBy("key").agg(F.sort_array(F.collect_set("me")).alias("xs"))
+    mate = lambda x, i: F.filter(F.slice("xs", i + 2, F.size("xs")), lambda y: _likely(x, y, percent))
+    pairs = F.flatten(F.transform("xs", lambda x, i: F.transform(mate(x, i), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    return nodes.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
+def star_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of each document with the hub of its large node: of the node's documents the one that is in large
+    nodes most often, as the original of a group is; of equals, the smallest id, so that a group's nodes agree."""
+    times = large.groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    known = sets.select("id", F.struct("id", "n", *SKETCH).alias("me")).join(times, "id")
+    rows = large.join(known, "id").select("key", "c", "me")
+    hubs = rows.groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "me")).alias("x")).select("key", F.col("x.me").alias("hub"))
+    one, hub = F.col("me"), F.col("hub")
+    star = rows.join(hubs, "key").where((one["id"] != hub["id"]) & _likely(one, hub, percent))
+    return star.select(F.least(one["id"], hub["id"]).alias("a"), F.greatest(one["id"], hub["id"]).alias("b"))
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, set) of the documents whose ids are in ``wanted`` (at); set holds the sorted shingle hashes as bytes. A document
+    that shares its id with another text may bring a set that nobody asked for."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = rows.join(small(wanted, wanted.count(), MOST_SENT), F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
 
-    def bits(flat: np.ndarray) -> np.ndarray:
-        return np.unpackbits(flat.view(np.uint8), axis=1, bitorder="little")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_numpy()
-            order = np.argsort(keys, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-            four = np.stack([batch.column(c).to_numpy() for c in SKETCH], 1)[order]
-            sums = np.add.reduceat(bits(np.ascontiguousarray(four)).astype(np.int32), first, axis=0, dtype=np.int32)
-            sizes = np.diff(np.append(first, len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[order][first]), pa.array(sizes), pa.array([x.tobytes() for x in sums], pa.binary())], ["key", "size", "ones"])
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, ones = None, 0, np.zeros(256, np.int64)
-        done: list[tuple] = []
-
-        def close() -> None:
-            done.append((key, *np.packbits(2 * ones > n, bitorder="little").view(np.int64)))
-
-        for batch in batches:
-            for k, size, raw in zip(batch.column("key").to_pylist(), batch.column("size").to_pylist(), batch.column("ones").to_pylist(), strict=True):
-                if k != key and key is not None:
-                    close()
-                    n, ones = 0, np.zeros(256, np.int64)
-                key, n, ones = k, n + size, ones + np.frombuffer(raw, np.int32)
-            yield _rows(done)
-            done.clear()
-        if key is not None:
-            close()
-        yield _rows(done)
-
-    counted = large.select("key", *[F.col(f"me.{c}").alias(c) for c in SKETCH]).mapInArrow(count, "key bigint, size bigint, ones binary")
-    most = counted.repartition(partitions(large.sparkSession), "key").sortWithinPartitions("key").mapInArrow(settle, "key bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-    most = most.select("key", F.struct(*SKETCH).alias("most"))
-    near = Window.partitionBy("key").orderBy("away", "me.id")  # ties by id, so that a group's nodes agree on their hubs
-    ranked = large.select("key", "me").join(most, "key").select("key", "me", _differences(F.col("me"), F.col("most")).alias("away"))
-    return ranked.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= HUBS).select("key", F.col("me").alias("hub"))
-
-
-def _rows(done: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*done, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", *SKETCH])
-
-
-def _leaf_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of the documents under each key; a key has at most about ``LEAF``."""
-    nodes = rows.groupBy("key").agg(F.sort_array(F.collect_set("me")).alias("xs"))
-    pairs = F.flatten(F.transform("xs", lambda x, i: F.transform(F.filter(F.slice("xs", i + 2, F.size("xs")), lambda y: _likely(x, y, percent)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    return nodes.where(F.size("xs") > 1).select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-
-
-def candidates(sets: DataFrame, percent: int, trees: int = TREES, steps: tuple[int, ...] = STEPS, leaf: int = LEAF) -> DataFrame:
-    """Distinct likely pairs (a, b), a < b, of ``sets`` (id, n, tokens, s0..s3). Each level of a tree takes ``steps`` more tokens."""
-    depth = sum(steps)
-    me = F.struct("id", "n", *SKETCH)
-    path = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.slice("tokens", t * depth + 1, F.lit(steps[0]))).alias("key")))
-    # Most documents are alone in their first nodes: only ids travel until those are left out.
-    rows = sets.select("id", F.explode(path).alias("x")).select("id", "x.tree", "x.key")
-    described_ = sets.select("id", me.alias("me"))
-    found = []
-    for level, step in enumerate(steps[1:] + (0,)):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        together = rows.join(sizes, "key")
-        rows = cut(together.join(described_, "id").drop("id") if level == 0 else together)
-        large = rows.where(F.col("size") > leaf)
-        found.append(_leaf_pairs(rows.where(F.col("size") <= leaf), percent))
-        if large.isEmpty():
-            break
-        one, hub = F.col("me"), F.col("hub")
-        star = large.select("key", "me").join(_centres(large), "key").where((one["id"] != hub["id"]) & _likely(one, hub, percent))
-        found.append(star.select(F.least(one["id"], hub["id"]).alias("a"), F.greatest(one["id"], hub["id"]).alias("b")))
-        if not step:
-            leaves = large.select(F.xxhash64("key", F.pmod(F.xxhash64("me.id", "key"), F.ceil(F.col("size") / (leaf // 2)))).alias("key"), "me")
-            found.append(_leaf_pairs(leaves, percent))
-            break
-        if level == 0:  # from here on each row has the tokens left on its path
-            left = F.slice("tokens", F.col("tree") * depth + 1 + steps[0], F.lit(depth - steps[0]))
-            large = large.join(sets.select("id", "tokens"), one["id"] == F.col("id")).withColumn("left", left)
-        taken = F.slice("left", F.lit(1), F.lit(step))
-        rows = large.select("me", "tree", F.xxhash64("key", taken).alias("key"), F.slice("left", F.lit(step + 1), F.lit(depth)).alias("left"))
-    return cut(reduce(lambda x, y: x.unionByName(y), found).distinct())
-
-
-def across(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``sets`` (id, n, prefix) in different components of ``roots`` (node, root), among them every pair of
-    similarity ``percent`` / 100 or more.
-
-    Two such sets of sizes x >= y share at least o = p (x + y) / (100 + p) shingles. By a total order, the first one they share is among
-    the first x - p x / 100 + 1 of the larger and the first y - 2 p y / (100 + p) + 1 of the smaller, and behind its places i and j at least o - 1 more
-    are left in both. Shingles that only one component has in its prefixes are left out first, so a large group that is joined already makes no pairs."""
-    number = F.xxhash64("id").alias("k")
-    own = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").select(number, "n", F.xxhash64(F.coalesce("root", "id")).alias("part"), "prefix")
-    all_ = Window.partitionBy("shingle")
-    posted = own.select("k", "n", "part", F.posexplode("prefix").alias("i", "shingle")).withColumns({"p": F.min("part").over(all_), "q": F.max("part").over(all_)}).where("p <> q").drop("p", "q")
-    x, y = posted.alias("x"), posted.where(f"(100 + {percent}) * (n - i) >= 2 * {percent} * n").alias("y")
-    fits = f"x.part <> y.part and (x.n > y.n or x.n = y.n and x.k <> y.k) and 100 * y.n >= {percent} * x.n and (100 + {percent}) * least(x.n - x.i, y.n - y.i) >= {percent} * (x.n + y.n)"
-    # All joins by shingle use the one shuffle of the postings; ids are looked up for the pairs that are left.
-    met = x.join(y, F.expr(f"x.shingle = y.shingle and {fits}")).select(F.least("x.k", "y.k").alias("j"), F.greatest("x.k", "y.k").alias("k")).distinct()
-    ids = sets.select("id", number)
-    pairs = met.join(ids.select(F.col("k").alias("j"), F.col("id").alias("x")), "j").join(ids.select("k", F.col("id").alias("y")), "k")
-    return cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+            sets = [s for h in _lists(batch.column("hs")) if len(s := shingles(h, width))]
+            columns = [pa.array([_set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "set"])
 
+    hashes = F.coalesce(word_hashes("text"), F.array().cast("array<bigint>")).alias("hs")
+    return texts.select(hashes).mapInArrow(make, "id binary, n bigint, set binary").dropDuplicates(["id"])
 
-def confirm(pairs: DataFrame, docs: DataFrame, heads: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The ``pairs`` whose full sets have 100 * intersection >= ``percent`` * union. ``heads`` (id, at): a document that has the set, null
-    if only ones without an id have it."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(heads, "id").select("at").distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("at")), "left_semi")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(h, width) for h in _lists(batch.column("hs"))]
-            ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
-
-    # A document that shares its id with another text may bring a set that no pair names; the joins leave it out.
-    sets = cut(texts.select(F.coalesce(word_hashes("text"), F.array().cast("array<bigint>")).alias("hs")).mapInArrow(make, "id binary, set binary"))
+def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The distinct ``pairs`` (a, b) whose sets in ``full`` have 100 * intersection >= ``percent`` * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,40 +211,158 @@ def confirm(pairs: DataFrame, docs: DataFrame, heads: DataFrame, percent: int, w
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "keep"])
+            links = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"])
+            yield links.filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k, v: full.select(F.col("id").alias(k), F.col("set").alias(v))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+
+
+def common_shingles(full: DataFrame, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, count), by bucket: the most frequent 32-bit heads of shingle hashes, in about one of ``COUNTED`` sets. They
+    only order the shingles in prefixes; which pairs the join finds does not depend on them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.int64) for x in batch.column("set")]
+            bucket, n = np.unique(np.concatenate(heads) if heads else np.empty(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary, keep boolean").where("keep").select("a", "b").distinct()
+    some = full.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0).select("set").mapInArrow(count, "bucket bigint, n bigint")
+    counts = some.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "bucket").limit(most).toArrow()
+    bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
+    order = np.argsort(bucket)
+    return bucket[order].astype(np.uint64), n[order]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rare_first(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A set's shingles by a total order that is the same in all sets: count, then hash."""
+    bucket, n = known
+    if not len(bucket):
+        return s
+    head = s >> np.uint64(32)
+    at = np.minimum(np.searchsorted(bucket, head), len(bucket) - 1)
+    return s[np.lexsort((s, np.where(bucket[at] == head, n[at], 0)))]
+
+
+def prefixes(full: DataFrame, percent: int) -> DataFrame:
+    """(id, n, prefix): the rarest shingles of each set, so many that any set of similarity ``percent`` / 100 or more has one of
+    them among its own."""
+    known = full.sparkSession.sparkContext.broadcast(common_shingles(full))  # 400,000 shingles at most
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set")]
+            rare = [rare_first(s, known.value)[: len(s) + (-percent * len(s) // 100) + 1].view(np.int64) for s in sets]
+            ends = pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare) if rare else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), lists], ["id", "n", "prefix"])
+
+    return full.select("id", "n", "set").mapInArrow(take, "id binary, n bigint, prefix array<bigint>")
+
+
+def postings(prefix: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(ids, posted) of ``prefix`` (id, n, prefix): ids (id, k) number the sets, posted (k, n, i, shingle) has the places of the
+    shingles that more than one component of ``roots`` (id, root) has in its prefixes. The others are left out by minima and
+    maxima that are combined before the shuffle."""
+    number = F.xxhash64("id").alias("k")
+    own = scratch.keep(prefix.join(roots, "id").select("id", number, "n", F.xxhash64("root").alias("part"), "prefix"))
+    ends = own.select("part", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+    shared = ends.where("p <> q").select("shingle")
+    posted = own.select("k", "n", F.posexplode("prefix").alias("i", "shingle")).join(shared, "shingle")
+    return own.select("id", "k"), scratch.keep(posted)
+
+
+def across(ids: DataFrame, posted: DataFrame, roots: DataFrame, percent: int, grade: int, grades: int, scratch: Scratch) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of sets in different components of ``roots``: over all grades, from ``grades`` down to 0, every
+    pair of similarity ``percent`` / 100 or more. A set's grade is drawn by its hash, each an eighth as often as the one below; a
+    pair's is the larger of its sets'. So a document that is like many of a large component is joined to it by few pairs, and makes
+    none in the grades that follow.
+
+    Two sets of sizes x >= y and such similarity share at least o = p (x + y) / (100 + p) shingles. By a total order, the first one
+    they share is among the first x - p x / 100 + 1 of the larger and the first y - 2 p y / (100 + p) + 1 of the smaller, and from its
+    places i and j on at least o are left in both. Of a shingle's rows those of the component that has most of them meet
+    only the others, not each other."""
+    drawn = F.lit(0)
+    for g in range(1, grades + 1):
+        drawn = F.when(F.pmod("k", F.lit(8**g)) == 0, g).otherwise(drawn)
+    parts = ids.join(roots, "id").select("k", F.xxhash64("root").alias("part"), drawn.alias("g"))
+    rows = scratch.keep(posted.join(parts, "k"))
+    each = rows.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c"))
+    tops = each.groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", "top")
+    rows = rows.join(tops, "shingle")
+    short = lambda v: f"(100 + {percent}) * ({v}.n - {v}.i) >= 2 * {percent} * {v}.n"
+    fits = f"""x.shingle = y.shingle and x.part <> y.part and greatest(x.g, y.g) = {grade} and (x.part = x.top or x.k < y.k)
+        and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and if(x.n > y.n or x.n = y.n and {short("y")}, {short("y")}, {short("x")})
+        and (100 + {percent}) * least(x.n - x.i, y.n - y.i) >= {percent} * (x.n + y.n)"""
+    met = rows.alias("x").join(rows.where("part <> top").alias("y"), F.expr(fits))
+    met = met.select(F.least("x.k", "y.k").alias("j"), F.greatest("x.k", "y.k").alias("k")).distinct()
+    pairs = met.join(ids.select(F.col("k").alias("j"), F.col("id").alias("x")), "j").join(ids.select("k", F.col("id").alias("y")), "k")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _under(scratch: Scratch, rows: DataFrame, found: DataFrame, at: str, node: str) -> DataFrame:
+    """(id, root) of ``rows``, whose column ``at`` is looked up in ``found`` (node, root); what is not there keeps its own."""
+    top = found.select(F.col(node).alias(at), F.col("root").alias("top"))
+    return scratch.keep(rows.join(top, at, "left").select("id", F.coalesce("top", at).alias("root")))
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = 85, width: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, exact: bool = False,
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of distinct ``width``-word shingles
     (with fewer words, all of them as one). component_id is the smallest doc_id reachable; kept marks it. A null
     text or one without words has no set, links with nothing and is kept. Rows that share an id but not a text
-    are judged one by one; a null id is smaller than all others. All rows come back.
+    are judged one by one; a null id is smaller than all others. Texts of any length are taken whole, extra columns are
+    ignored, repeated rows all come back, and an empty table gives no row. ``trees``, ``depth`` and ``leaf`` set
+    recall (see above); ``exact`` leaves none of it to chance, at the price of posting a part of all shingles.
     """
-    return judged(docs, percent, width, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
-
-
-def judged(docs: DataFrame, percent: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``near_duplicates`` with mark (xxhash64 of the text), and chosen: true for one (doc_id, mark) of each component, and for all without a set."""
-    every = cut(described(docs, percent, width, id_col, text_col))
+    out = judged(docs, percent, width, id_col, text_col, trees, depth, leaf, exact)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def judged(
+    docs: DataFrame, percent: int, width: int, id_col: str = "doc_id", text_col: str = "text",
+    trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, exact: bool = False,
+) -> DataFrame:
+    """``near_duplicates`` with mark (xxhash64 of the text), and chosen: true for one (doc_id, mark) of each component, and for
+    all without a set."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    every = scratch.keep(described(docs, width, trees * depth, id_col, text_col))
     smallest = F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), "doc_id", "mark")).alias("f")
-    first = every.where("set_id is not null").groupBy("set_id").agg(smallest, F.min("doc_id").alias("at")).select(F.col("set_id").alias("id"), "f.doc_id", "f.mark", "at")
-    heads = cut(first)
-    same = (every["set_id"] == heads["id"]) & every["doc_id"].eqNullSafe(heads["doc_id"])
-    sets = every.join(heads.select("id", "doc_id"), same).select("id", "n", "tokens", "s0", "s1", "s2", "s3", "prefix").dropDuplicates(["id"])
-    links = cut(confirm(candidates(sets.drop("prefix"), percent), docs, heads, percent, width, id_col, text_col))
-    roots = components(links)
-    more = cut(confirm(across(sets.select("id", "n", "prefix"), roots, percent), docs, heads, percent, width, id_col, text_col))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
-    lowest = roots.join(heads, roots["node"] == heads["id"]).groupBy("root").agg(smallest)
-    linked = roots.join(lowest, "root").select(F.col("node").alias("id"), "f")
-    named = heads.join(linked, "id", "left").select("id", F.coalesce("f", F.struct(F.lit(0).cast("bigint").alias("o"), "doc_id", "mark")).alias("f"))
-    out = every.select("doc_id", "mark", F.col("n").alias("n_shingles"), "set_id").join(named, F.col("set_id") == F.col("id"), "left")
+    alike = F.any_value(F.struct("n", "tokens", *SKETCH)).alias("x")  # the same in all rows of a set
+    first = every.where("set_id is not null").groupBy(F.col("set_id").alias("id")).agg(smallest, F.min("doc_id").alias("at"), alike)
+    sets = scratch.keep(first.select("id", "f", "at", "x.*"))
+    leaves, large = branch(sets, scratch, trees, depth, leaf)
+    likely = leaf_pairs(leaves, sets, percent).unionByName(star_pairs(large, sets, percent))
+    pairs = scratch.keep(likely.distinct())
+    crowded = sets.select("id") if exact else large.select("id").distinct()
+    crowded = scratch.keep(crowded)
+    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowded).distinct())
+    wanted = scratch.keep(ids.join(sets.select("id", "at"), "id").select("at").distinct())
+    full = scratch.keep(full_sets(docs, wanted, width, id_col, text_col))
+    links = scratch.keep(confirm(pairs, full, percent))
+    roots = _under(scratch, ids, components(links), "id", "node")
+    if not crowded.isEmpty():
+        numbers, posted = postings(prefixes(full.join(crowded, "id", "left_semi"), percent), roots, scratch)
+        largest = roots.groupBy("root").count().agg(F.max("count")).first()[0]
+        grades = max(0, math.ceil(math.log(largest / FEW, 8)))
+        for grade in range(grades, -1, -1):
+            more = scratch.keep(confirm(across(numbers, posted, roots, percent, grade, grades, scratch), full, percent))
+            if not more.isEmpty():
+                ends = more.join(roots.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
+                roots = _under(scratch, roots, components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "root", "node")
+    heads = sets.select("id", "f")
+    lowest = roots.join(heads, "id").groupBy("root").agg(F.min("f").alias("f"))
+    linked = roots.join(lowest, "root").select("id", F.col("f").alias("g"))
+    named = heads.join(linked, "id", "left").select(F.col("id").alias("set_id"), F.coalesce("g", "f").alias("f"))
+    out = every.select("doc_id", "mark", F.col("n").alias("n_shingles"), "set_id").join(named, "set_id", "left")
     component = F.when(F.col("f").isNotNull(), F.col("f.doc_id")).otherwise(F.col("doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
-    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"), (kept & (F.col("f").isNull() | (F.col("mark") == F.col("f.mark")))).alias("chosen"))
+    chosen = kept & (F.col("f").isNull() | (F.col("mark") == F.col("f.mark")))
+    done = cut(out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"), chosen.alias("chosen")))
+    scratch.drop()
+    return done
