@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import datetime
 import hashlib
+import random
 import re
 
 import pandas as pd
@@ -112,6 +113,27 @@ def test_pages_are_found_first_and_by_their_head(spark):
     needles = [("a", "d", "was 'cold', very cold"), ("b", "d", "nothing else was said here but it goes on elsewhere at length"), ("c", "e", "was cold very cold"), ("x", "d", "It was"), ("y", "d", "")]
     got = {r["needle_id"]: r["page_no"] for r in ingest.locate_page(spark.createDataFrame(needles, "needle_id string, doc string, snippet string"), pages).collect()}
     assert got == {"a": 1, "b": 1, "c": None, "x": 1, "y": None}
+    # A head that ends in a space asks for the end of a word.
+    texts = [("d", 1, "abcde fghij klmno pqrst uvwxystop"), ("d", 2, "abcde fghij klmno pqrst uvwxy and so on"), ("e", 5, "so long"), (None, 1, "so long")]
+    rows = [("h", "d", "abcde fghij klmno pqrst uvwxy, then something else"), ("two", "e", "o lon"), ("none", None, "so long"), ("null", "e", None)]
+    df = spark.createDataFrame(rows, "needle_id string, doc string, snippet string")
+    found = ingest.locate_page(df, spark.createDataFrame(texts, "doc string, page_no int, page_text string"))
+    assert {r["needle_id"]: r["page_no"] for r in found.collect()} == {"h": 2, "two": 5, "none": None, "null": None}
+
+
+def test_needles_of_every_length_are_found(spark):
+    rng = random.Random(4)
+    vocab = ["a", "ab", "abc", "b", "bc", "c"]
+    texts = {i: " ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 30))) for i in range(60)}
+    needles = {}
+    for i in range(200):
+        t = texts[rng.randrange(60)]
+        at = rng.randrange(len(t) + 1)
+        needles[str(i)] = (str(rng.randrange(60)) if i % 2 else None, " ".join(t[at : at + rng.randrange(1, 30)].split()))
+    df = spark.createDataFrame([(k, d, n) for k, (d, n) in needles.items()], "needle_id string, doc string, norm string")
+    rows = spark.createDataFrame([(str(i), 1, t) for i, t in texts.items()], "doc string, place int, text string")
+    got = sorted((r["needle_id"], r["doc"]) for r in ingest.anchored(df, rows).collect())
+    assert got == sorted((k, str(i)) for k, (d, n) in needles.items() for i, t in texts.items() if n and n in t and d in (None, str(i)))
 
 
 def test_short_items_are_cited(spark, tmp_path):

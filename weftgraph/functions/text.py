@@ -18,10 +18,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def derive_doc_id(stem: Column | str, collapse_numbers: bool = False) -> Column:
-    """Lower case, ``-`` and space to ``_``; optionally ``interview_03`` to ``interview03``."""
-    out = F.translate(F.lower(stem), "- ", "__")
-    return F.regexp_replace(out, r"^([a-z]+)_(\d+)$", "$1$2") if collapse_numbers else out
+def derive_doc_id(stem: Column | str, interviews: bool = False) -> Column:
+    """Lower case, ``-`` and space to ``_``. With ``interviews``, as the thematic pack names its files, white space at the ends goes
+    and ``interview``, separators and a number become one word; no other name does."""
+    plain = F.lower(stem)
+    if not interviews:
+        return F.translate(plain, "- ", "__")
+    bare = F.regexp_replace(plain, r"(?U)^\s+|\s+$", "")
+    numbered = r"(?U)^(interview)[\s_\-]+(\d+)$"
+    return F.when(bare.rlike(numbered), F.regexp_replace(bare, numbered, "$1$2")).otherwise(F.translate(bare, "- ", "__"))
 
 
 def sanitize_id(c: Column | str) -> Column:

@@ -23,6 +23,8 @@ PARAGRAPH = re.compile(r"\n[ \t]*\n")
 SENTENCE = re.compile(r"[\.!?][\"')\]]?\s+(?=[A-Z])")
 KINDS = (("speaker", SPEAKER, 5), ("timestamp", TIMESTAMP, 4), ("heading", HEADING, 3), ("paragraph", PARAGRAPH, 2), ("sentence", SENTENCE, 1))
 MOST_CHUNKS = 1000
+#: Needles that name no document are sent to all tasks up to so many; more are joined by a shuffle.
+MOST_SENT = 200_000
 BOUNDARY = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("priority", T.IntegerType())]))
 CHUNK = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("section_hint", T.StringType())]))
 
@@ -56,7 +58,7 @@ def split_chunks(text: str | None, max_chars: int, whole: bool = False) -> list[
     A chunk's end is stripped. A chunk of white space only, or the thousandth, ends the document; with ``whole`` neither does:
     white space is passed over and nothing is lost."""
     if max_chars <= 0:
-        raise ValueError("max_chars must be positive")
+        raise ValueError("a window takes one character at least")
     text = text or ""
     if len(text) <= max_chars:
         return [(0, text, hint(text))]
@@ -172,45 +174,55 @@ def rule_extractor(pdf: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"source_page": "Int32"})
 
 
-def anchored(needles: DataFrame, texts: DataFrame, width: int = 4, anywhere: bool = True) -> DataFrame:
-    """(doc, needle_id, place): the texts (doc, place, norm) that contain a needle (needle_id, doc or null for any, norm).
+def _runs(words: Column, width: int | Column) -> Column:
+    """Hashes of the runs of ``width`` words, each by its place; an array with fewer words has none."""
+    at = lambda i: F.xxhash64(F.slice(words, i, width))
+    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), at)).otherwise(F.array().cast("array<bigint>"))
 
-    A needle's words but the first and last stand as whole words wherever it occurs. So ``width`` of them are a join key to the
-    same number of words in texts, and ``contains`` verifies the few that meet. Needles of fewer words (under ``width`` + 2) are looked for in
-    their document, or where they name none by the longest of their inner words. Those of one or two words have no inner word; where they
-    name no document either, every text is scanned for each. ``anywhere``: whether there may be needles without a document.
+
+def anchored(needles: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
+    """(doc, needle_id, place): the texts (doc, place, text) that contain a needle (needle_id, doc or null for any, norm) after
+    normalisation. ``needle_id`` names a row; a null text contains nothing and an empty needle is nowhere.
+
+    A needle's words but the first and last stand as whole words wherever it occurs. So up to ``width`` of them are a join key
+    to as many words of a text, together with the document if the needle names one, and ``contains`` verifies the pairs that
+    meet. A needle of one or two words has no inner word: it is looked for in its document's texts, or where it names none in
+    every text. Each text is normalised and split once, and gives at most ``width`` keys per word.
     """
-    shingle = lambda ws, n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, n), " ")))
-    split = F.split("norm", " ", -1)
-    long = needles.where(F.size(split) >= width + 2).withColumn("_k", F.xxhash64(F.array_join(F.slice(split, 2, width), " ")))
-    keyed = texts.where(F.size(split) >= width).select("doc", "place", "norm", F.explode(F.array_distinct(shingle(split, width))).alias("_k"))
-    hit = keyed.select("doc", "place", "_k").join(long.select("needle_id", F.col("doc").alias("_d"), "_k"), "_k").where("_d is null or _d = doc").select("doc", "place", "needle_id").distinct()
-    few = needles.where((F.size(split) < width + 2) & F.col("doc").isNotNull()).select("needle_id", "doc")
-    hit = hit.unionByName(texts.select("doc", "place").join(few, "doc").select("doc", "place", "needle_id"))
-    short = needles.where((F.size(split) < width + 2) & F.col("doc").isNull() & (F.col("norm") != ""))
-    if anywhere and not short.isEmpty():
-        inner = F.when(F.size(split) > 2, F.slice(split, F.lit(2), F.greatest(F.size(split) - 2, F.lit(0))))
-        longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-        words = texts.select("doc", "place", F.explode(F.array_distinct(split)).alias("_k"))
-        hit = hit.unionByName(words.join(short.where(F.size(split) > 2).select("needle_id", longest.alias("_k")), "_k").select("doc", "place", "needle_id"))
-        bare = short.where(F.size(split) <= 2).select("needle_id", F.col("norm").alias("_n"))
-        hit = hit.unionByName(texts.join(bare, F.contains("norm", F.col("_n"))).select("doc", "place", "needle_id"))
-    full = hit.join(texts, ["doc", "place"]).join(needles.select("needle_id", F.col("norm").alias("_n")), "needle_id")
-    return full.where(F.contains("norm", F.col("_n")) & (F.col("_n") != "")).select("doc", "needle_id", "place")
+    norm = fx.normalize_for_match("text")
+    needles = needles.where("norm <> ''").select("needle_id", "doc", "norm", F.split("norm", " ", -1).alias("_w"))
+    needles = needles.withColumn("_n", F.least(F.lit(width), F.size("_w") - 2))
+    widths = sorted(r[0] for r in needles.where("_n > 0").select("_n").distinct().collect())  # ``width`` numbers at most
+    # A lambda binds the words, so that a text is split once and not for each of them.
+    keys = F.transform(F.array(F.split(norm, " ", -1)), lambda ws: F.concat(*[_runs(ws, n) for n in widths]) if widths else F.array().cast("array<bigint>"))
+    keyed = texts.select("doc", "place", F.explode(F.array_distinct(F.element_at(keys, 1))).alias("_k"))
+    inner = needles.where("_n > 0").select("needle_id", "doc", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))).alias("_k"))
+    named, free = inner.where("doc is not null"), inner.where("doc is null").drop("doc")
+    short = needles.where("_n <= 0").select("needle_id", "doc", F.col("norm").alias("_s"))
+    hit = keyed.join(named, ["doc", "_k"]).select("doc", "place", "needle_id")
+    hit = hit.unionByName(texts.join(short.where("doc is not null").select("needle_id", "doc"), "doc").select("doc", "place", "needle_id"))
+    if (n := needles.where("doc is null").count()) > 0:
+        sent = F.broadcast(free) if n <= MOST_SENT else free
+        hit = hit.unionByName(keyed.join(sent, "_k").select("doc", "place", "needle_id"))
+        anywhere = short.where("doc is null").drop("doc")
+        hit = hit.unionByName(texts.join(anywhere, F.contains(norm, F.col("_s"))).select("doc", "place", "needle_id"))
+    full = hit.distinct().join(texts, ["doc", "place"]).join(needles.select("needle_id", F.col("norm").alias("_s")), "needle_id")
+    return full.where(F.contains(norm, F.col("_s"))).select("doc", "needle_id", "place")
 
 
 def locate_page(needles: DataFrame, pages: DataFrame, least: int = 40, head: int = 30) -> DataFrame:
     """(needle_id, page_no): the first page of a needle's document that contains it after normalisation; where none does and the
-    needle has ``least`` characters or more, the first that contains its first ``head``. Null where neither is found.
-
-    ``needles``: needle_id, doc, snippet; ``pages``: doc, page_no, page_text. Pages are normalised once."""
-    norm = needles.select("needle_id", "doc", fx.normalize_for_match("snippet").alias("norm")).where("norm <> ''")
-    texts = pages.select("doc", F.col("page_no").alias("place"), fx.normalize_for_match("page_text").alias("norm"))
-    anywhere = not needles.where("doc is null").isEmpty()
-    first = anchored(norm, texts, anywhere=anywhere).groupBy("needle_id").agg(F.min("place").alias("page_no"))
-    rest = norm.join(first, "needle_id", "left_anti").where(F.length("norm") >= least).withColumn("norm", F.trim(F.substring("norm", 1, head)))
-    second = anchored(rest, texts, anywhere=anywhere).groupBy("needle_id").agg(F.min("place").alias("page_no"))
-    return needles.select("needle_id").join(first.unionByName(second), "needle_id", "left")
+    needle has ``least`` characters or more, the first that contains its first ``head``, with any space they end in. Null where
+    neither is found, and for a needle without a document.
+
+    ``needles``: needle_id, doc, snippet; ``pages``: doc, page_no, page_text. Needles and heads are looked for in one pass."""
+    norm = needles.select(F.col("needle_id").alias("_id"), "doc", fx.normalize_for_match("snippet").alias("norm")).where("doc is not null")
+    tried = F.array(F.struct(F.lit(0).alias("_try"), "norm"), F.struct(F.lit(1).alias("_try"), F.substring("norm", 1, head).alias("norm")))
+    both = norm.select("_id", "doc", F.inline(F.when(F.length("norm") >= least, tried).otherwise(F.slice(tried, 1, 1))))
+    rows = both.select(F.struct("_id", "_try").alias("needle_id"), "doc", "norm")
+    found = anchored(rows, pages.select("doc", F.col("page_no").alias("place"), F.col("page_text").alias("text")))
+    best = found.groupBy(F.col("needle_id._id").alias("needle_id")).agg(F.min(F.struct("needle_id._try", "place")).alias("m"))
+    return needles.select("needle_id").join(best.select("needle_id", F.col("m.place").alias("page_no")), "needle_id", "left")
 
 
 def hooked_variants(hook: Callable[[str], list[str]]) -> Callable[[str], Column]:

@@ -101,7 +101,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ingest import anchored
 
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("needle_id"), F.lit(None).cast("string").alias("doc"), normalize_for_match("text").alias("norm"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("place"), normalize_for_match("text").alias("norm"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("place"), "text")
     return anchored(items, texts).select(F.col("doc").alias("doc_id"), F.col("needle_id").alias("item_id")).distinct()
 
 

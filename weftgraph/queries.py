@@ -60,11 +60,14 @@ def read_documents(spark: SparkSession, d: str) -> DataFrame:
     return inbox(spark, d).where(F.col("suffix").isin(*readers.SUFFIXES)).select("doc_id", "suffix", "size_bytes")
 
 
-@register("""SELECT c_custkey, replace(replace(lower(c_name), '-', '_'), ' ', '_') AS doc_id,
-  regexp_replace(replace(replace(lower(c_mktsegment || '_' || c_custkey), '-', '_'), ' ', '_'), '^([a-z]+)_([0-9]+)$', '\\1\\2') AS collapsed FROM customer""")
+@register("""WITH s AS (SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN 'Interview' WHEN 1 THEN ' INTERVIEW - ' WHEN 2 THEN 'my interview_' ELSE c_mktsegment || '_' END || c_custkey || ' ' AS stem FROM customer)
+  SELECT c_custkey, replace(replace(lower(c_name), '-', '_'), ' ', '_') AS doc_id,
+  CASE WHEN c_custkey % 4 = 1 THEN 'interview' || c_custkey ELSE replace(replace(trim(lower(stem)), '-', '_'), ' ', '_') END AS thematic FROM s""")
 def derive_doc_id(spark: SparkSession, d: str) -> DataFrame:
-    stem = F.concat_ws("_", "c_mktsegment", F.col("c_custkey").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", fx.derive_doc_id("c_name").alias("doc_id"), fx.derive_doc_id(stem, True).alias("collapsed"))
+    k = F.col("c_custkey") % 4
+    lead = F.when(k == 0, F.lit("Interview")).when(k == 1, F.lit(" INTERVIEW - ")).when(k == 2, F.lit("my interview_")).otherwise(F.concat("c_mktsegment", F.lit("_")))
+    stem = F.concat(lead, F.col("c_custkey").cast("string"), F.lit(" "))
+    return table(spark, d, "customer").select("c_custkey", fx.derive_doc_id("c_name").alias("doc_id"), fx.derive_doc_id(stem, True).alias("thematic"))
 
 
 @register()
@@ -214,7 +217,7 @@ def page_map(spark: SparkSession, d: str) -> DataFrame:
 @register(f"""WITH {PAGE_SQL}, q AS (SELECT doc, page_no, {NORM.format('page_text')} AS t FROM p),
   s AS (SELECT CAST(doc_id AS VARCHAR) AS doc, {NORM.format('substring(text, 961, 70)')} AS n FROM documents),
   a AS (SELECT s.doc, min(page_no) AS page_no FROM s JOIN q ON q.doc = s.doc AND contains(q.t, s.n) WHERE s.n <> '' GROUP BY s.doc),
-  b AS (SELECT s.doc, min(page_no) AS page_no FROM s JOIN q ON q.doc = s.doc AND contains(q.t, trim(left(s.n, 30))) WHERE length(s.n) >= 40 AND s.doc NOT IN (SELECT doc FROM a) GROUP BY s.doc)
+  b AS (SELECT s.doc, min(page_no) AS page_no FROM s JOIN q ON q.doc = s.doc AND contains(q.t, left(s.n, 30)) WHERE length(s.n) >= 40 AND s.doc NOT IN (SELECT doc FROM a) GROUP BY s.doc)
   SELECT s.doc AS needle_id, CAST(coalesce(a.page_no, b.page_no) AS INTEGER) AS page_no FROM s LEFT JOIN a USING (doc) LEFT JOIN b USING (doc)""")
 def locate_page(spark: SparkSession, d: str) -> DataFrame:
     needles = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("needle_id"), F.col("doc_id").cast("string").alias("doc"), F.expr("substring(text, 961, 70)").alias("snippet"))
