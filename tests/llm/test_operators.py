@@ -200,6 +200,44 @@ def test_warc_round_trip(spark):
     assert warc.captures(df.limit(0)).count() == 0
 
 
+def test_warc_members_and_urls(spark):
+    import zlib
+
+    pages = [(i, u, "p" * 100 * i) for i, u in enumerate(["http://h/a\nb c\x7f", "http://h/%20", "u\r\nX-Page-Id: 9", "", "http://h/é"])]
+    path = f"{shared_dir(spark)}/warc-members"
+    warc.write_warc(spark.createDataFrame(pages, "page_id bigint, url string, html string"), path)
+    files = [r["content"] for r in spark.read.format("binaryFile").load(path).where("length > 0").collect()]
+    n = 0
+    for data in files:
+        while data:
+            member = zlib.decompressobj(31)
+            record = member.decompress(data)
+            assert record.startswith(b"WARC/1.0\r\n") and record.endswith(b"\r\n\r\n") and record.count(b"WARC-Type") == 1 and member.eof
+            data, n = member.unused_data, n + 1
+    assert n == 15
+    uris = {r["page_id"]: r["uri"] for r in warc.assemble(warc.read_warc(spark, path)).collect()}
+    assert uris == {0: "http://h/a%0Ab%20c%7F", 1: "http://h/%20", 2: "u%0D%0AX-Page-Id:%209", 3: "", 4: "http://h/é"}
+
+
+def test_warc_reads_what_is_whole():
+    import gzip
+
+    record = lambda i, size=3: f"WARC/1.0\r\nWARC-Type: metadata\r\nX-Page-Id: {i}\r\nContent-Length: {size}\r\n\r\nabc\r\n\r\n".encode()
+    bad = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: many\r\n\r\nabc\r\n\r\n"
+    kinds = lambda data: [(r[1], r[3]) for r in warc.parse_warc(data)]
+    whole = [("metadata", 1), ("error", None), ("metadata", 2)]
+    assert kinds(record(1) + bad + record(2)) == whole
+    assert kinds(gzip.compress(record(1)) + gzip.compress(bad) + gzip.compress(record(2))) == whole
+    assert kinds(gzip.compress(record(1) + bad + record(2))) == whole
+    assert kinds(record(1) + record(2)[:-9]) == kinds(record(1) + record(2, 30)) == [("metadata", 1), ("error", None)]
+    cut = gzip.compress(record(1)) + gzip.compress(record(2))[:-12]
+    assert kinds(cut)[0] == ("metadata", 1) and kinds(cut)[-1] == ("error", None)
+    assert kinds(gzip.compress(record(1)) + b"junk")[-1] == ("error", None) and kinds(b"junk") == [("error", None)]
+    assert kinds(b"") == [] and kinds(b"WARC/1.0\r\n") == [("error", None)]
+    response = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert kinds(response + record(4)) == [("error", None), ("metadata", 4)]
+
+
 def test_warc_repeated_rows(spark):
     df = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (1, "v", "b"), (None, None, "a")], "page_id bigint, url string, html string")
     assert warc.captures(df).count() == 4
