@@ -6,19 +6,19 @@ The latest event of a submission is its state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import numbered
+
 EVENT = "submission_id bigint, event string, timestamp string, seq bigint, doc_id string, files array<string>, reviewer string, notes string, prompt_version string, model string"
 
 
 def submit(entities: DataFrame, first_id: int = 1, timestamp: str = "2024-01-01T00:00:00Z", prompt_version: str = "v1", model: str = "rules") -> DataFrame:
-    """A PENDING event per source document, with the files of its entities. Ids follow the documents' order; the window runs
-    over one row per document of this batch."""
+    """A PENDING event per source document, with the files of its entities. Ids follow the documents' order and have no gaps."""
     docs = entities.groupBy(F.col("source_document").alias("doc_id")).agg(F.array_sort(F.collect_set("file")).alias("files"))
-    n = F.row_number().over(Window.orderBy("doc_id"))
-    return docs.select(
-        (n + (first_id - 1)).cast("bigint").alias("submission_id"), F.lit("PENDING").alias("event"), F.lit(timestamp).alias("timestamp"), F.lit(0).cast("bigint").alias("seq"), "doc_id", "files",
+    return numbered(docs, "doc_id", "submission_id", first_id).select(
+        "submission_id", F.lit("PENDING").alias("event"), F.lit(timestamp).alias("timestamp"), F.lit(0).cast("bigint").alias("seq"), "doc_id", "files",
         F.lit(None).cast("string").alias("reviewer"), F.lit(None).cast("string").alias("notes"), F.lit(prompt_version).alias("prompt_version"), F.lit(model).alias("model"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_lookup
 from ..plans.pack import Pack
+from ..sources.shared import cut
 from .pattern import LABEL, TYPE, filter_in, local_name, type_name
 
 SUFFIX = r"_e\d+$"
@@ -57,8 +58,9 @@ def result_entities(result: DataFrame, entity_prefix: str) -> DataFrame:
 
 
 def cq_subgraph(triples: DataFrame, result: DataFrame, entity_prefix: str) -> DataFrame:
-    """Outgoing triples of the entities in a query's result."""
-    return filter_in(triples, "s", result_entities(result, entity_prefix))
+    """Outgoing triples of the entities in a query's result. The query runs once: its entities are written, as
+    the filter is pushed into every branch of the triples."""
+    return filter_in(triples, "s", cut(result_entities(result, entity_prefix)))
 
 
 def graph_edges(triples: DataFrame) -> DataFrame:
@@ -94,8 +96,11 @@ def resolve_file(names: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def batch_result(outcomes: DataFrame) -> DataFrame:
-    """One row for a run's outcomes (name, ok, error): processed, succeeded, failed and the errors in order."""
-    return outcomes.agg(
-        F.count(F.lit(1)).alias("processed"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.concat_ws(": ", "name", "error")))), "; ").alias("errors"),
-    )
+    """One row for a run's outcomes (name, ok, error): processed, succeeded and failed. An unknown outcome failed."""
+    ok = F.coalesce("ok", F.lit(False))
+    return outcomes.agg(F.count(F.lit(1)).alias("processed"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
+
+
+def batch_errors(outcomes: DataFrame) -> DataFrame:
+    """(name, error) of the outcomes that failed, a row each, by name."""
+    return outcomes.where(~F.coalesce("ok", F.lit(False))).select("name", F.coalesce("error", F.lit("")).alias("error")).orderBy("name", "error")

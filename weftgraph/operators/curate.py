@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import subtheme_slug
 from ..plans.pack import Pack
+from ..sources.shared import cut
 
 OPERATIONS = ("merge_entities", "group_codes", "link_hierarchy", "rename_label")
 STATUSES = ("pending", "approved", "rejected", "deferred", "applied")
@@ -84,7 +85,7 @@ def propose_renames(entities: DataFrame) -> DataFrame:
     styled = entities.where("label is not null and label <> ''").select("id", "class", "label", style.alias("style"))
     counts = styled.groupBy("class", "style").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("class").agg(F.max_by("style", F.struct("n", "style")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("all")).where("2 * n > all")
-    odd = styled.join(F.broadcast(main), "class").where("style <> main")
+    odd = styled.join(main, "class").where("style <> main")
     new = F.when(F.col("main") == "lower", F.lower("label")).when(F.col("main") == "upper", F.upper("label")).when(F.col("main") == "title", F.initcap("label")).otherwise(F.concat(F.upper(F.substring("label", 1, 1)), F.lower(F.expr("substring(label, 2)"))))
     return _op(odd.where(new != F.col("label")), "rename_label", entity_id=F.col("id"), new_label=new)
 
@@ -207,22 +208,22 @@ def apply_links(edges: DataFrame, links: DataFrame) -> DataFrame:
     return edges.unionByName(links.select("src", "prop", "dst")).distinct()
 
 
-def merge_roots(merges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def merge_roots(merges: DataFrame) -> DataFrame:
     """(removed, kept) of merges (kept_id, removed_id, seq) with chains followed to their end, by pointer jumping.
 
-    A removed id's first merge counts; a merge whose kept id is already removed by an earlier one, or is itself, fails and is left out.
+    A removed id's first merge counts; a merge whose kept id is already removed by an earlier one, or is itself, fails and is left out. So
+    a valid merge's kept id is removed later or never, and chains end. Each jump doubles, and is checkpointed.
     """
-    first = Window.partitionBy("removed_id").orderBy("seq")
-    once = merges.where("kept_id <> removed_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    once = merges.where("kept_id <> removed_id").groupBy("removed_id").agg(F.min(F.struct("seq", "kept_id")).alias("m"))
+    once = once.select("removed_id", "m.seq", "m.kept_id")
     gone = once.select(F.col("removed_id").alias("kept_id"), F.col("seq").alias("_seq"))
-    valid = once.join(gone, "kept_id", "left").where("_seq is null or _seq > seq").select(F.col("removed_id").alias("removed"), F.col("kept_id").alias("kept")).cache()
-    for _ in range(most_rounds):
+    valid = cut(once.join(gone, "kept_id", "left").where("_seq is null or _seq > seq").select(F.col("removed_id").alias("removed"), F.col("kept_id").alias("kept")))
+    while True:
         up = valid.select(F.col("removed").alias("kept"), F.col("kept").alias("_up"))
-        new = valid.join(up, "kept", "left").select("removed", F.coalesce("_up", "kept").alias("kept"), F.col("_up").isNotNull().alias("moved")).cache()
+        new = cut(valid.join(up, "kept", "left").select("removed", F.coalesce("_up", "kept").alias("kept"), F.col("_up").isNotNull().alias("moved")))
         if new.where("moved").isEmpty():
             return valid
         valid = new.select("removed", "kept")
-    raise RuntimeError("merges form a cycle")
 
 
 def apply_merges(entities: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:

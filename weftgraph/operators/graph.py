@@ -27,16 +27,20 @@ class GraphTables:
     edges: DataFrame
     literals: DataFrame
 
-    def triples(self) -> DataFrame:
-        """Type and label of each entity, its edges and literals, with definition and source where the columns exist."""
+    def triples(self, classes: bool = False) -> DataFrame:
+        """Type and label of each entity, its edges and literals, with definition and source where the columns exist. With ``classes`` there is
+        a column s_class: the class of the entity that a row was made from, null for edges and literals. Its ids must be of one class each."""
         p, e = self.pack, self.entities
         iri, lit, none, en = F.lit("iri"), F.lit("lit"), F.lit(None).cast("string"), F.lit("en")
         me = entity_ref(p, F.col("id"))
 
+        mine = F.concat(F.lit(f"{p.prefix}:"), F.col("class"))
+
         def rows(df: DataFrame, s: Column, pred: Column, o: Column, kind: Column, lang: Column) -> DataFrame:
-            return df.select(s.alias("s"), pred.alias("p"), o.alias("o"), kind.alias("o_kind"), lang.alias("o_lang"))
+            known = [(mine if "class" in df.columns else none).alias("s_class")] if classes else []
+            return df.select(s.alias("s"), pred.alias("p"), o.alias("o"), kind.alias("o_kind"), lang.alias("o_lang"), *known)
 
-        out = rows(e, me, F.lit(TYPE), F.concat(F.lit(f"{p.prefix}:"), F.col("class")), iri, none)
+        out = rows(e, me, F.lit(TYPE), mine, iri, none)
         out = out.unionAll(rows(e, me, F.lit(LABEL), F.col("label"), lit, en))
         if "source_text" in e.columns:
             out = out.unionAll(rows(e.where("source_text <> ''"), me, F.lit(DEFINITION), F.col("source_text"), lit, en))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 TYPE, LABEL, DEFINITION, SOURCE = "rdf:type", "rdfs:label", "skos:definition", "dcterms:source"
 
 
@@ -27,8 +29,10 @@ def is_var(x: object) -> bool:
     return isinstance(x, str) and x.startswith("?")
 
 
-def triple_pattern(triples: DataFrame, s: str, p: str, o: str | Lit) -> DataFrame:
-    """Bindings of the variables (``?name``) in one pattern; a variable used twice must be equal."""
+def triple_pattern(triples: DataFrame, s: str, p: str, o: str | Lit, cls: str | None = None) -> DataFrame:
+    """Bindings of the variables (``?name``) in one pattern; a variable used twice must be equal. ``cls`` says that only subjects of
+    this class are wanted: where ``triples`` tell the class a row comes from (s_class), rows of others are left out, so
+    that tables of other classes are not read. It is a hint; ``of_class`` makes sure."""
     cond, columns = [], {}
     for place, term in (("s", s), ("p", p), ("o", o)):
         if isinstance(term, Lit):
@@ -41,6 +45,8 @@ def triple_pattern(triples: DataFrame, s: str, p: str, o: str | Lit) -> DataFram
             cond.append(F.col(place) == F.col(columns[term[1:]]))
         else:
             columns[term[1:]] = place
+    if cls is not None and "s_class" in triples.columns:
+        cond.append(F.coalesce(F.col("s_class") == cls, F.lit(True)))
     rows = triples.where(reduce(lambda a, b: a & b, cond)) if cond else triples
     return rows.select(*[F.col(place).alias(name) for name, place in columns.items()])
 
@@ -59,7 +65,12 @@ def bgp(*patterns: DataFrame) -> DataFrame:
 
 def of_class(rows: DataFrame, triples: DataFrame, var: str, cls: str) -> DataFrame:
     """``rows`` whose ``var`` is of the class: a semi join, for a triple occurs once."""
-    return rows.join(triple_pattern(triples, f"?{var}", TYPE, cls), var, "left_semi")
+    return rows.join(triple_pattern(triples, f"?{var}", TYPE, cls, cls), var, "left_semi")
+
+
+def labelled(triples: DataFrame, var: str, label: str, cls: str) -> DataFrame:
+    """(var, label) of the members of a class."""
+    return of_class(triple_pattern(triples, f"?{var}", LABEL, f"?{label}", cls), triples, var, cls)
 
 
 def optional(rows: DataFrame, *group: DataFrame) -> DataFrame:
@@ -114,10 +125,10 @@ def construct(rows: DataFrame, *template: tuple[Column, Column, Column, str]) ->
 
 
 def entity_catalog(triples: DataFrame, entity_prefix: str) -> DataFrame:
-    """(id, class, label) of every labelled entity in the namespace."""
+    """(id, class, label) of every labelled entity in the namespace, by class and label."""
     rows = bgp(triple_pattern(triples, "?entity", TYPE, "?type"), triple_pattern(triples, "?entity", LABEL, "?label"))
     mine = rows.where(F.col("entity").startswith(entity_prefix))
-    return mine.select(F.expr(f"substring(entity, {len(entity_prefix) + 1})").alias("id"), type_name("type").alias("class"), "label")
+    return mine.select(F.expr(f"substring(entity, {len(entity_prefix) + 1})").alias("id"), type_name("type").alias("class"), "label").orderBy("class", "label")
 
 
 def rows_as_strings(rows: DataFrame) -> DataFrame:
@@ -137,13 +148,16 @@ def exists(rows: DataFrame, other: DataFrame) -> DataFrame:
     return rows.join(other, [c for c in other.columns if c in rows.columns], "left_semi")
 
 
-def path_plus(edges: DataFrame, most_hops: int = 32) -> DataFrame:
-    """(src, dst) joined by one or more of ``edges`` (src, dst), to a fixpoint of at most ``most_hops``; cycles close."""
-    step = edges.select("src", "dst").distinct()
-    known = edge = step.cache()
-    for _ in range(most_hops):
-        new = edge.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst")).distinct().join(known, ["src", "dst"], "left_anti").cache()
-        if new.isEmpty():
-            break
-        known, edge = known.unionByName(new), new
+def path_plus(edges: DataFrame) -> DataFrame:
+    """(src, dst) joined by one or more of ``edges`` (src, dst); cycles close, ends that are null join nothing.
+
+    Paths double: each round joins those that the last one found with all that are known, so a chain of any length takes as many
+    rounds as its logarithm. Each round is checkpointed, which keeps the plan short; there is no limit on rounds, as every one
+    finds a new pair or ends the loop."""
+    new = known = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    ahead = lambda df: df.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
+    while not new.isEmpty():
+        longer = new.join(ahead(known), "dst").unionByName(known.join(ahead(new), "dst")).select("src", F.col("_to").alias("dst"))
+        new = cut(longer.distinct().join(known, ["src", "dst"], "left_anti"))
+        known = cut(known.unionByName(new))
     return known

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.pattern import path_plus
+
 CLASS_NAME = re.compile(r"^[A-Z][A-Za-z0-9]*$")
 PROPERTY_NAME = re.compile(r"^[a-z][A-Za-z0-9]*$")
 ID_PATTERN = "^[a-z][a-z0-9_]*$"
@@ -117,19 +119,14 @@ def closure_table(spark: SparkSession, pack: Pack) -> DataFrame:
     return spark.createDataFrame(pack.ancestors(), "child string, ancestor string")
 
 
-def class_closure(classes: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(child, ancestor) of a classes table (name, parent) of any size, by joins to a fixpoint; each class under itself.
+def class_closure(classes: DataFrame) -> DataFrame:
+    """(child, ancestor) of a classes table (name, parent) of any size; each class under itself.
 
-    Parents that are not declared end a chain; cycles end because a known pair is not added again."""
-    parents = classes.where("parent is not null").select(F.col("name").alias("ancestor"), F.col("parent").alias("next")).join(classes.select(F.col("name").alias("next")), "next", "left_semi")
-    known = classes.select(F.col("name").alias("child"), F.col("name").alias("ancestor")).distinct()
-    edge = known
-    for _ in range(most_rounds):
-        new = edge.join(parents, "ancestor").select("child", F.col("next").alias("ancestor")).join(known, ["child", "ancestor"], "left_anti").distinct().cache()
-        if new.isEmpty():
-            return known
-        known, edge = known.unionByName(new), new
-    raise RuntimeError(f"class chains are longer than {most_rounds}")
+    Parents that are not declared end a chain; cycles close. The rounds are those of ``path_plus``."""
+    declared = classes.select(F.col("name").alias("parent")).distinct()
+    steps = classes.join(declared, "parent", "left_semi").select(F.col("name").alias("src"), F.col("parent").alias("dst"))
+    above = path_plus(steps).select(F.col("src").alias("child"), F.col("dst").alias("ancestor"))
+    return above.unionByName(classes.select(F.col("name").alias("child"), F.col("name").alias("ancestor"))).distinct()
 
 
 COMPLIANCE = Pack(

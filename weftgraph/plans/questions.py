@@ -1,4 +1,7 @@
-"""The named competency questions: each a function of a graph's triples (and its constant, where it asks about one thing)."""
+"""The named competency questions: each a function of a graph's triples (and its constant, where it asks about one thing).
+
+Rows come in the question's order; where that leaves ties, their order is open. Ranges are sorted in parallel.
+"""
 
 from __future__ import annotations
 
@@ -6,84 +9,82 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..operators.pattern import LABEL, Lit, bgp, group_count, of_class, optional, triple_pattern, type_name
+from ..operators.pattern import LABEL, Lit, bgp, group_count, if_bound, labelled, of_class, optional, order_by, triple_pattern, type_name
 
 
 def obligations_on(t: DataFrame, party: str) -> DataFrame:
-    own = bgp(triple_pattern(t, "?obligation", "cco:imposesObligationOn", party), triple_pattern(t, "?obligation", LABEL, "?obligationLabel"))
-    own = of_class(own, t, "obligation", "cco:Obligation")
+    own = bgp(triple_pattern(t, "?obligation", "cco:imposesObligationOn", party), labelled(t, "obligation", "obligationLabel", "cco:Obligation"))
     rows = optional(own, triple_pattern(t, "?obligation", "dcterms:isPartOf", "?statute"), triple_pattern(t, "?statute", LABEL, "?statuteLabel"))
-    return rows.select("obligation", "obligationLabel", "statute", "statuteLabel")
+    return order_by(rows.select("obligation", "obligationLabel", "statute", "statuteLabel"), "obligationLabel")
 
 
 def regulators(t: DataFrame) -> DataFrame:
-    rows = bgp(triple_pattern(t, "?statute", "cco:enforcedBy", "?regulator"), triple_pattern(t, "?statute", LABEL, "?statuteLabel"), triple_pattern(t, "?regulator", LABEL, "?regulatorLabel"))
-    rows = of_class(of_class(rows, t, "statute", "cco:Statute"), t, "regulator", "cco:Regulator")
-    return rows.select("regulator", "regulatorLabel", "statute", "statuteLabel")
+    statutes = labelled(t, "statute", "statuteLabel", "cco:Statute")
+    rows = bgp(triple_pattern(t, "?statute", "cco:enforcedBy", "?regulator"), statutes, labelled(t, "regulator", "regulatorLabel", "cco:Regulator"))
+    return order_by(rows.select("regulator", "regulatorLabel", "statute", "statuteLabel"), "statuteLabel")
 
 
 def definitions(t: DataFrame, statute: str) -> DataFrame:
-    rows = of_class(bgp(triple_pattern(t, "?definition", "dcterms:isPartOf", statute), triple_pattern(t, "?definition", LABEL, "?label")), t, "definition", "cco:Definition")
-    rows = optional(rows, triple_pattern(t, "?definition", "dcterms:source", "?section"))
-    return optional(rows, triple_pattern(t, "?definition", "skos:definition", "?definitionText")).select("definition", "label", "section", "definitionText")
+    rows = bgp(triple_pattern(t, "?definition", "dcterms:isPartOf", statute), labelled(t, "definition", "label", "cco:Definition"))
+    rows = optional(rows, triple_pattern(t, "?definition", "dcterms:source", "?section", "cco:Definition"))
+    rows = optional(rows, triple_pattern(t, "?definition", "skos:definition", "?definitionText", "cco:Definition"))
+    return order_by(rows.select("definition", "label", "section", "definitionText"), "label")
 
 
 def codes_recur(t: DataFrame) -> DataFrame:
-    codes = of_class(triple_pattern(t, "?code", LABEL, "?label"), t, "code", "tha:Code")
     # Counted per code before the join: a hot code is combined map-side and the optional side has one row per code.
     counts = group_count(triple_pattern(t, "?excerpt", "tha:codedAs", "?code"), ["code"], "excerpt", "n")
-    return codes.join(counts, "code", "left").selectExpr("code", "label", "coalesce(n, 0) as nExcerpts")
+    rows = labelled(t, "code", "label", "tha:Code").join(counts, "code", "left").selectExpr("code", "label", "coalesce(n, 0) as nExcerpts")
+    return order_by(rows, "-nExcerpts", "label")
 
 
 def excerpts_per_theme(t: DataFrame) -> DataFrame:
-    themes = of_class(triple_pattern(t, "?theme", LABEL, "?themeLabel"), t, "theme", "tha:Theme")
-    rows = bgp(triple_pattern(t, "?excerpt", "tha:supportsTheme", "?theme"), themes, triple_pattern(t, "?excerpt", LABEL, "?excerptLabel"))
-    rows = optional(of_class(rows, t, "excerpt", "tha:Excerpt"), triple_pattern(t, "?excerpt", "tha:spokenBy", "?speaker"))
-    return rows.select("theme", "themeLabel", "excerpt", "excerptLabel", "speaker")
+    themes, excerpts = labelled(t, "theme", "themeLabel", "tha:Theme"), labelled(t, "excerpt", "excerptLabel", "tha:Excerpt")
+    rows = optional(bgp(triple_pattern(t, "?excerpt", "tha:supportsTheme", "?theme"), themes, excerpts), triple_pattern(t, "?excerpt", "tha:spokenBy", "?speaker"))
+    return order_by(rows.select("theme", "themeLabel", "excerpt", "excerptLabel", "speaker"), "themeLabel", "excerptLabel")
 
 
 def excerpts_by_speaker(t: DataFrame, speaker: str) -> DataFrame:
-    rows = of_class(bgp(triple_pattern(t, "?excerpt", "tha:spokenBy", Lit(speaker)), triple_pattern(t, "?excerpt", LABEL, "?excerptLabel")), t, "excerpt", "tha:Excerpt")
-    rows = optional(rows, triple_pattern(t, "?excerpt", "skos:definition", "?text"))
-    rows = optional(rows, triple_pattern(t, "?excerpt", "dcterms:source", "?section"))
+    rows = bgp(triple_pattern(t, "?excerpt", "tha:spokenBy", Lit(speaker)), labelled(t, "excerpt", "excerptLabel", "tha:Excerpt"))
+    rows = optional(rows, triple_pattern(t, "?excerpt", "skos:definition", "?text", "tha:Excerpt"))
+    rows = optional(rows, triple_pattern(t, "?excerpt", "dcterms:source", "?section", "tha:Excerpt"))
     rows = optional(rows, triple_pattern(t, "?excerpt", "tha:codedAs", "?code"), triple_pattern(t, "?code", LABEL, "?codeLabel"))
-    return rows.select("excerpt", "excerptLabel", "section", "text", "code", "codeLabel")
+    return order_by(rows.select("excerpt", "excerptLabel", "section", "text", "code", "codeLabel"), "section", "codeLabel")
 
 
 def papers_per_concept(t: DataFrame) -> DataFrame:
-    entities = of_class(triple_pattern(t, "?entity", LABEL, "?entityLabel"), t, "entity", "lit:Entity")
-    rows = bgp(triple_pattern(t, "?paper", "lit:studiesEntity", "?entity"), entities, triple_pattern(t, "?paper", LABEL, "?paperLabel"))
-    rows = optional(of_class(rows, t, "paper", "lit:Paper"), triple_pattern(t, "?paper", "lit:publishedYear", "?year"))
-    return rows.select("entity", "entityLabel", "paper", "paperLabel", "year")
+    entities, papers = labelled(t, "entity", "entityLabel", "lit:Entity"), labelled(t, "paper", "paperLabel", "lit:Paper")
+    rows = optional(bgp(triple_pattern(t, "?paper", "lit:studiesEntity", "?entity"), entities, papers), triple_pattern(t, "?paper", "lit:publishedYear", "?year"))
+    return order_by(rows.select("entity", "entityLabel", "paper", "paperLabel", "year"), "entityLabel", "paperLabel")
 
 
 def claims_by_methodology(t: DataFrame) -> DataFrame:
-    methods = of_class(triple_pattern(t, "?methodology", LABEL, "?methodLabel"), t, "methodology", "lit:Methodology")
-    rows = bgp(triple_pattern(t, "?claim", "lit:usesMethodology", "?methodology"), methods, triple_pattern(t, "?claim", LABEL, "?claimLabel"))
-    return of_class(rows, t, "claim", "lit:Claim").select("methodology", "methodLabel", "claim", "claimLabel")
+    methods, claims = labelled(t, "methodology", "methodLabel", "lit:Methodology"), labelled(t, "claim", "claimLabel", "lit:Claim")
+    rows = bgp(triple_pattern(t, "?claim", "lit:usesMethodology", "?methodology"), methods, claims)
+    return order_by(rows.select("methodology", "methodLabel", "claim", "claimLabel"), "methodLabel", "claimLabel")
 
 
 def citing(t: DataFrame) -> DataFrame:
-    cited = of_class(triple_pattern(t, "?citedPaper", LABEL, "?citedPaperLabel"), t, "citedPaper", "lit:Paper")
+    """The label of what cites is in the order only."""
+    cited = labelled(t, "citedPaper", "citedPaperLabel", "lit:Paper")
     rows = bgp(triple_pattern(t, "?claimOrPaper", "lit:citesPaper", "?citedPaper"), cited, triple_pattern(t, "?claimOrPaper", "rdf:type", "?type"))
-    rows = optional(rows, triple_pattern(t, "?claimOrPaper", LABEL, "?label"))
-    return rows.select("claimOrPaper", type_name("type").alias("typeLabel"), "citedPaper", "citedPaperLabel")
+    rows = optional(rows, triple_pattern(t, "?claimOrPaper", LABEL, "?label")).withColumn("by", if_bound("label", "claimOrPaper"))
+    return order_by(rows, "citedPaperLabel", "by").select("claimOrPaper", type_name("type").alias("typeLabel"), "citedPaper", "citedPaperLabel")
 
 
 def filings_by_issuer(t: DataFrame) -> DataFrame:
-    issuers = of_class(triple_pattern(t, "?issuer", LABEL, "?issuerLabel"), t, "issuer", "reg:Issuer")
-    rows = bgp(triple_pattern(t, "?filing", "reg:filedBy", "?issuer"), issuers, triple_pattern(t, "?filing", LABEL, "?filingLabel"))
-    rows = of_class(rows, t, "filing", "reg:Filing")
+    issuers, filings = labelled(t, "issuer", "issuerLabel", "reg:Issuer"), labelled(t, "filing", "filingLabel", "reg:Filing")
+    rows = bgp(triple_pattern(t, "?filing", "reg:filedBy", "?issuer"), issuers, filings)
     rows = optional(optional(rows, triple_pattern(t, "?issuer", "reg:tickerSymbol", "?ticker")), triple_pattern(t, "?filing", "reg:filingDate", "?date"))
-    return rows.select("issuer", "ticker", "filing", "filingLabel", "date")
+    return order_by(rows.select("issuer", "ticker", "filing", "filingLabel", "date"), "ticker", "date", "filingLabel")
 
 
 def disclosures_by_obligation(t: DataFrame) -> DataFrame:
-    duties = of_class(triple_pattern(t, "?obligation", LABEL, "?obligationLabel"), t, "obligation", "reg:Obligation")
-    rows = bgp(triple_pattern(t, "?disclosure", "reg:triggersObligation", "?obligation"), triple_pattern(t, "?disclosure", LABEL, "?disclosureLabel"), duties)
-    rows = of_class(rows, t, "disclosure", "reg:Disclosure")
-    filings = of_class(bgp(triple_pattern(t, "?filing", "reg:containsDisclosure", "?disclosure"), triple_pattern(t, "?filing", LABEL, "?filingLabel")), t, "filing", "reg:Filing")
-    return optional(rows, filings).select("obligation", "obligationLabel", "disclosure", "disclosureLabel", "filing", "filingLabel")
+    duties, disclosures = labelled(t, "obligation", "obligationLabel", "reg:Obligation"), labelled(t, "disclosure", "disclosureLabel", "reg:Disclosure")
+    rows = bgp(triple_pattern(t, "?disclosure", "reg:triggersObligation", "?obligation"), disclosures, duties)
+    rows = optional(rows, triple_pattern(t, "?filing", "reg:containsDisclosure", "?disclosure"), labelled(t, "filing", "filingLabel", "reg:Filing"))
+    rows = rows.select("obligation", "obligationLabel", "disclosure", "disclosureLabel", "filing", "filingLabel")
+    return order_by(rows, "obligationLabel", "disclosureLabel")
 
 
 def obligations_by_regulator(t: DataFrame) -> DataFrame:
@@ -91,8 +92,8 @@ def obligations_by_regulator(t: DataFrame) -> DataFrame:
     filed = of_class(triple_pattern(t, "?filing", "reg:filedWith", "?regulator"), t, "filing", "reg:Filing")
     hops = bgp(triple_pattern(t, "?filing", "reg:containsDisclosure", "?disclosure"), filed, triple_pattern(t, "?disclosure", "reg:triggersObligation", "?obligation"))
     pairs = hops.select("regulator", "obligation").distinct()
-    named = of_class(triple_pattern(t, "?regulator", LABEL, "?regulatorLabel"), t, "regulator", "reg:Regulator")
-    return bgp(pairs, named, triple_pattern(t, "?obligation", LABEL, "?obligationLabel")).select("regulator", "regulatorLabel", "obligation", "obligationLabel")
+    rows = bgp(pairs, labelled(t, "regulator", "regulatorLabel", "reg:Regulator"), triple_pattern(t, "?obligation", LABEL, "?obligationLabel"))
+    return order_by(rows.select("regulator", "regulatorLabel", "obligation", "obligationLabel"), "regulatorLabel", "obligationLabel")
 
 
 #: pack -> id -> question. A project's own questions go first, these are the fallback.

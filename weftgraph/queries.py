@@ -18,6 +18,7 @@ from .plans import mapping, questions
 from .plans.mapping import ref, table
 from .plans.pack import PACKS, THEMATIC, class_closure, props_table
 from .sources import readers, writers
+from .sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -416,7 +417,7 @@ def path_plus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cq(pack: str, cq: str, *constants: str) -> Query:
-    return lambda spark, d: questions.resolve(pack, cq)(getattr(mapping, pack)(spark, d).triples(), *constants)
+    return lambda spark, d: questions.resolve(pack, cq)(getattr(mapping, pack)(spark, d).triples(classes=True), *constants)
 
 
 CQS: dict[str, tuple[Query, str]] = {
@@ -510,7 +511,7 @@ def lint_strict_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    return lint.gate(mapping.vault(spark, d))[0]
+    return lint.gate(mapping.vault(spark, d))
 
 
 @register(f"WITH {VAULT} SELECT DISTINCT id AS src, prop, value AS dst FROM gp WHERE prop IN ('codedAs', 'supportsTheme', 'hasSubtheme') AND value <> id")
@@ -573,8 +574,8 @@ def result_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {REG_TRIPLES}, {REG_CQ1} SELECT s, p, o FROM t WHERE s IN (SELECT a FROM q UNION SELECT b FROM q)")
 def cq_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    t = reg(spark, d)
-    return browse.cq_subgraph(t, questions.filings_by_issuer(t), "rege:").select("s", "p", "o")
+    asked = questions.filings_by_issuer(mapping.regulatory(spark, d).triples(classes=True))
+    return browse.cq_subgraph(reg(spark, d), asked, "rege:").select("s", "p", "o")
 
 
 @register(f"WITH {REG_EDGES} SELECT 'rege:' || src AS src, prop AS label, 'rege:' || dst AS dst FROM e")
@@ -595,201 +596,18 @@ def resolve_file(spark: SparkSession, d: str) -> DataFrame:
     return browse.resolve_file(names, clean(spark, d))
 
 
-@register("SELECT count(*) AS processed, count(*) FILTER (n_chars >= 60) AS succeeded, count(*) FILTER (n_chars < 60) AS failed, string_agg(CASE WHEN n_chars < 60 THEN doc_id || ': too short' END, '; ' ORDER BY doc_id || ': too short') AS errors FROM documents")
-def batch_result(spark: SparkSession, d: str) -> DataFrame:
-    outcomes = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), (F.col("n_chars") >= 60).alias("ok"), F.lit("too short").alias("error"))
-    return browse.batch_result(outcomes)
-
-
-# ---- curation ----------------------------------------------------------------------------------------------------
-
-
-def part_entities(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    label = F.when(k % 10 == 0, F.upper("p_name")).otherwise(F.lower("p_name"))
-    return table(spark, d, "part").select(ref("part", "p_partkey").alias("id"), F.col("p_type").alias("class"), label.alias("label"), ref("part", "p_partkey").alias("uri"), F.lower(F.regexp_replace("p_brand", "#", "")).alias("source_document"), F.lit("").alias("source_section"), F.lit("").alias("source_text"))
-
-
-PART = "pe AS (SELECT 'part_' || p_partkey AS id, p_type AS class, CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) ELSE lower(p_name) END AS label, lower(replace(p_brand, '#', '')) AS doc FROM part)"
-
-
-@register(f"""WITH {PART}, s AS (SELECT class, id, list_sort(list_distinct(list_filter(string_split_regex(lower(label), '[^a-z0-9]+'), lambda w: w <> ''))) AS ws FROM pe),
-  h AS (SELECT class, ws, min(id) AS head FROM s WHERE len(ws) > 0 GROUP BY class, ws)
-  SELECT head AS kept_id, id AS removed_id FROM s JOIN h USING (class, ws) WHERE id <> head
-  UNION ALL SELECT a.head, b.head FROM h a JOIN h b ON a.class = b.class AND a.head < b.head WHERE len(list_intersect(a.ws, b.ws)) >= 0.5 * len(list_distinct(list_concat(a.ws, b.ws)))""")
-def propose_merges(spark: SparkSession, d: str) -> DataFrame:
-    return curate.propose_merges(part_entities(spark, d)).select("kept_id", "removed_id")
-
-
-@register("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source HAVING count(*) >= 3)
-  SELECT 'theme_' || lang AS parent_theme_id, array_to_string(list_sort(list('code_' || source)), '|') AS members FROM c GROUP BY lang HAVING count(*) >= 2""")
-def propose_groups(spark: SparkSession, d: str) -> DataFrame:
-    return curate.propose_groups(mapping.thematic(spark, d).edges, 3).select("parent_theme_id", joined("member_code_ids").alias("members"))
-
-
-@register(f"WITH {VAULT} SELECT DISTINCT value AS from_id, id AS to_id FROM gp a WHERE prop = 'supportsTheme' AND value <> id AND NOT EXISTS (SELECT 1 FROM gp b WHERE b.prop = 'hasSubtheme' AND b.id = a.value AND b.value = a.id)")
-def propose_links(spark: SparkSession, d: str) -> DataFrame:
-    return curate.propose_links(graph.entities_to_edges(clean(spark, d), THEMATIC)).select("from_id", "to_id")
-
-
-@register(f"WITH {PART} SELECT id AS entity_id, lower(label) AS new_label FROM pe WHERE label = upper(label)")
-def propose_renames(spark: SparkSession, d: str) -> DataFrame:
-    return curate.propose_renames(part_entities(spark, d)).select("entity_id", "new_label")
-
-
-def raw_proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Responses with one proposal each, made from orders over parts: of all four kinds and one unknown."""
-    k = F.col("o_orderkey")
-    op = F.element_at(F.array(*[F.lit(x) for x in (*curate.OPERATIONS, "split_entity")]), (k % 5 + 1).cast("int"))
-    a, b = ref("part", k % 199 + 1), ref("part", k % 199 + 1 + k % 7)
-    p = F.struct(
-        op.alias("operation"), F.lit("because").alias("rationale"), F.when(k % 3 == 0, F.lit("high")).alias("confidence"), a.alias("kept_id"), b.alias("removed_id"), F.concat(F.lit("Group "), (k % 11).cast("string")).alias("new_subtheme_label"), a.alias("parent_theme_id"),
-        F.when(k % 2 == 0, F.array(b)).otherwise(F.array(b, a)).alias("member_code_ids"), a.alias("from_id"), F.lit("relatedTo").alias("property"), b.alias("to_id"), a.alias("entity_id"), F.concat(F.lit("Name "), (k % 13).cast("string")).alias("new_label"),
-    )
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.to_json(F.struct(F.array(p).alias("proposals"))).alias("response"))
-
-
-RAW = """rp AS (SELECT o_orderkey AS k, ['merge_entities', 'group_codes', 'link_hierarchy', 'rename_label', 'split_entity'][o_orderkey % 5 + 1] AS operation, 'part_' || (o_orderkey % 199 + 1) AS a,
-    'part_' || (o_orderkey % 199 + 1 + o_orderkey % 7) AS b, 'Group ' || (o_orderkey % 11) AS g, 'Name ' || (o_orderkey % 13) AS m, CASE WHEN o_orderkey % 3 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM orders),
-  np AS (SELECT k, operation, confidence, CASE WHEN operation = 'merge_entities' THEN a END AS kept_id, CASE WHEN operation = 'merge_entities' THEN b END AS removed_id, CASE WHEN operation = 'group_codes' THEN g END AS new_subtheme_label,
-    CASE WHEN operation = 'group_codes' THEN a END AS parent_theme_id, CASE WHEN operation = 'group_codes' THEN CASE WHEN k % 2 = 0 THEN [b] ELSE [b, a] END END AS members, CASE WHEN operation = 'link_hierarchy' THEN a END AS from_id,
-    CASE WHEN operation = 'link_hierarchy' THEN 'relatedTo' END AS property, CASE WHEN operation = 'link_hierarchy' THEN b END AS to_id, CASE WHEN operation = 'rename_label' THEN a END AS entity_id, CASE WHEN operation = 'rename_label' THEN m END AS new_label FROM rp),
-  fp AS (SELECT *, 'proposal_' || left(sha1(operation || '|(' || CASE operation WHEN 'merge_entities' THEN '''' || kept_id || ''', ''' || removed_id || ''''
-      WHEN 'group_codes' THEN '''' || parent_theme_id || ''', (' || array_to_string(list_transform(list_sort(members), lambda x: '''' || x || ''''), ', ') || CASE WHEN len(members) = 1 THEN ',' ELSE '' END || ')'
-      WHEN 'link_hierarchy' THEN '''' || from_id || ''', ''' || property || ''', ''' || to_id || '''' WHEN 'rename_label' THEN '''' || entity_id || ''',' ELSE '''{}'',' END || ')'), 8) AS proposal_id FROM np),
-  pp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY k) AS n FROM fp) WHERE n = 1),
-  sp AS (SELECT *, CASE WHEN ord % 2 = 0 THEN 'approved' WHEN ord % 3 = 0 THEN 'rejected' ELSE 'pending' END AS status FROM (SELECT *, CAST(('0x' || substring(proposal_id, 13, 4)) AS BIGINT) AS ord FROM pp))"""
-
-
-def proposals(spark: SparkSession, d: str) -> DataFrame:
-    """Normalised proposals with ids, one per fingerprint (the first by order), and a status drawn from the id."""
-    raw = curate.normalize_proposals(raw_proposals(spark, d))
-    named = raw.withColumn("proposal_id", F.concat(F.lit("proposal_"), curate.fingerprint()))
-    columns = [c for c in named.columns if c != "proposal_id"]
-    first = named.groupBy("proposal_id").agg(F.min(F.struct(*columns)).alias("p")).select("proposal_id", "p.*")
-    order = F.conv(F.substring("proposal_id", 13, 4), 16, 10).cast("bigint")
-    status = F.when(order % 2 == 0, "approved").when(order % 3 == 0, "rejected").otherwise("pending")
-    return first.withColumn("status", status).withColumn("reviewer_notes", F.lit(None).cast("string"))
-
-
-@register(f"WITH {RAW} SELECT operation, confidence, kept_id, removed_id, new_subtheme_label, parent_theme_id, array_to_string(members, '|') AS members, from_id, property, to_id, entity_id, new_label FROM np")
-def normalize_proposals(spark: SparkSession, d: str) -> DataFrame:
-    return curate.normalize_proposals(raw_proposals(spark, d)).select("operation", "confidence", "kept_id", "removed_id", "new_subtheme_label", "parent_theme_id", joined("member_code_ids").alias("members"), "from_id", "property", "to_id", "entity_id", "new_label")
-
-
-@register(f"WITH {RAW} SELECT proposal_id, operation, count(*) AS n FROM fp GROUP BY 1, 2")
-def proposal_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    named = curate.normalize_proposals(raw_proposals(spark, d)).withColumn("proposal_id", F.concat(F.lit("proposal_"), curate.fingerprint()))
-    return named.groupBy("proposal_id", "operation").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register(f"WITH {RAW} SELECT proposal_id, operation, CASE WHEN ord % 5 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN ord % 7 = 0 THEN 'old' ELSE 'because' END AS rationale FROM sp")
-def upsert_proposals(spark: SparkSession, d: str) -> DataFrame:
-    p = proposals(spark, d)
-    order = F.conv(F.substring("proposal_id", 13, 4), 16, 10).cast("bigint")
-    existing = p.where(order % 5 != 0).withColumn("rationale", F.lit("old")).unionByName(p.where((order % 5 == 0) & (order % 7 == 0)).withColumn("rationale", F.lit("old")).withColumn("status", F.lit("pending")))
-    return curate.upsert_proposals(existing, p.where(order % 7 != 0).drop("status", "reviewer_notes")).select("proposal_id", "operation", "status", "rationale")
-
-
-@register(f"WITH {RAW} SELECT proposal_id, CASE WHEN ord % 10 = 0 THEN 'deferred' ELSE status END AS status, CASE WHEN ord % 10 = 0 THEN 'later' END AS reviewer_notes FROM sp")
-def set_status(spark: SparkSession, d: str) -> DataFrame:
-    p = proposals(spark, d)
-    order = F.conv(F.substring("proposal_id", 13, 4), 16, 10).cast("bigint")
-    made = p.where(order % 10 == 0).select("proposal_id", F.inline(F.array(*[F.struct(F.lit(s).alias("status"), F.lit(n).cast("string").alias("notes"), F.lit(i).cast("bigint").alias("seq")) for i, (s, n) in enumerate((("rejected", None), ("deferred", "later"), ("bogus", "no")))])))
-    return curate.set_status(p, made)[0].select("proposal_id", "status", "reviewer_notes")
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), (F.col("n_chars") >= 60).alias("ok"), F.lit("too short").alias("error"))
 
 
-@register(f"WITH {RAW} SELECT s AS status, count(proposal_id) AS n FROM (VALUES ('pending'), ('approved'), ('rejected'), ('deferred'), ('applied')) v(s) LEFT JOIN sp ON status = s GROUP BY s")
-def proposal_counts(spark: SparkSession, d: str) -> DataFrame:
-    return curate.proposal_counts(proposals(spark, d))
-
-
-_SUMMARY = """CASE operation WHEN 'merge_entities' THEN 'Keep `' || kept_id || '`, remove `' || removed_id || '`.' WHEN 'group_codes' THEN 'New Subtheme ''X'' under `' || parent_theme_id || '` (' || len(members) || ' member code(s)).'
-  WHEN 'link_hierarchy' THEN '`' || from_id || '` —' || property || '→ `' || to_id || '`.' WHEN 'rename_label' THEN '`' || entity_id || '` → label ''X''.' ELSE operation END"""
-
-
-@register(f"WITH {RAW} SELECT proposal_id, {_SUMMARY} AS summary FROM sp")
-def payload_summary(spark: SparkSession, d: str) -> DataFrame:
-    fixed = proposals(spark, d).withColumns({"new_subtheme_label": F.lit("X"), "new_label": F.lit("X")})
-    return fixed.select("proposal_id", curate.payload_summary().alias("summary"))
-
-
-@register(f"WITH {RAW} SELECT proposal_id, operation FROM sp WHERE status = 'approved'")
-def apply_dry_run(spark: SparkSession, d: str) -> DataFrame:
-    return curate.dry_run(proposals(spark, d)).select("proposal_id", "operation")
-
-
-@register(f"""WITH {RAW} SELECT proposal_id, removed_id AS src, kept_id AS dst, 'merge into' AS label, 'remove' AS change FROM sp WHERE operation = 'merge_entities'
-  UNION ALL SELECT proposal_id, parent_theme_id, 'NEW:X', 'hasSubtheme', 'add' FROM sp WHERE operation = 'group_codes' UNION ALL SELECT proposal_id, 'NEW:X', unnest(members), '(implied)', 'imply' FROM sp WHERE operation = 'group_codes'
-  UNION ALL SELECT proposal_id, from_id, to_id, property, 'add' FROM sp WHERE operation = 'link_hierarchy' UNION ALL SELECT proposal_id, entity_id, entity_id, 'X', 'relabel' FROM sp WHERE operation = 'rename_label'""")
-def proposal_preview_edges(spark: SparkSession, d: str) -> DataFrame:
-    fixed = proposals(spark, d).withColumns({"new_subtheme_label": F.lit("X"), "new_label": F.lit("X")})
-    return curate.preview_edges(fixed)
-
-
-def part_edges(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").select("p_partkey")
-    return parts.select(ref("part", "p_partkey").alias("src"), F.lit("relatedTo").alias("prop"), ref("part", F.col("p_partkey") % 97 + 1).alias("dst")).where("src <> dst")
-
-
-PART_EDGES = "ed AS (SELECT * FROM (SELECT 'part_' || p_partkey AS src, 'relatedTo' AS prop, 'part_' || (p_partkey % 97 + 1) AS dst FROM part) WHERE src <> dst)"
-MERGES = """mg AS (SELECT 'part_' || (o_orderkey % 199 + 1) AS kept_id, 'part_' || (o_orderkey % 199 + 1 + o_orderkey % 7) AS removed_id, o_orderkey AS seq FROM orders),
-  m1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY removed_id ORDER BY seq, kept_id) AS n FROM mg WHERE kept_id <> removed_id) WHERE n = 1),
-  m2 AS (SELECT a.removed_id AS removed, a.kept_id AS kept FROM m1 a LEFT JOIN m1 b ON a.kept_id = b.removed_id WHERE b.seq IS NULL OR b.seq > a.seq),
-  mr AS (SELECT removed, kept FROM m2 UNION ALL SELECT mr.removed, m2.kept FROM mr JOIN m2 ON mr.kept = m2.removed),
-  root AS (SELECT removed, kept FROM mr WHERE kept NOT IN (SELECT removed FROM m2))"""
-
-
-def merges(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, d, "orders").select(ref("part", k % 199 + 1).alias("kept_id"), ref("part", k % 199 + 1 + k % 7).alias("removed_id"), k.alias("seq"))
-
-
-@register(f"WITH RECURSIVE {PART_EDGES}, {MERGES} SELECT DISTINCT src, prop, coalesce(kept, dst) AS dst FROM ed LEFT JOIN root ON dst = removed WHERE src NOT IN (SELECT removed FROM root)")
-def apply_merges(spark: SparkSession, d: str) -> DataFrame:
-    return curate.apply_merges(part_entities(spark, d), part_edges(spark, d), merges(spark, d))[1]
-
-
-@register(f"WITH RECURSIVE {PART}, {MERGES} SELECT id, label FROM pe WHERE id NOT IN (SELECT removed FROM root)")
-def apply_merges_entities(spark: SparkSession, d: str) -> DataFrame:
-    return curate.apply_merges(part_entities(spark, d), part_edges(spark, d), merges(spark, d))[0].select("id", "label")
-
-
-@register(f"WITH {PART}, r AS (SELECT 'part_' || (o_orderkey % 199 + 1) AS id, arg_max('Name ' || o_orderkey, o_orderkey) AS l FROM orders GROUP BY 1) SELECT pe.id, coalesce(l, label) AS label FROM pe LEFT JOIN r ON r.id = pe.id")
-def apply_renames(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    renames = table(spark, d, "orders").select(ref("part", k % 199 + 1).alias("entity_id"), ref("Name", k).alias("new_label"), k.alias("seq")).withColumn("new_label", F.replace("new_label", F.lit("_"), F.lit(" ")))
-    return curate.apply_renames(part_entities(spark, d), renames).select("id", "label")
-
-
-@register(f"WITH {PART_EDGES} SELECT * FROM ed UNION SELECT 'part_' || (o_orderkey % 199 + 1), 'relatedTo', 'part_' || (o_orderkey % 50 + 1) FROM orders")
-def apply_links(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return curate.apply_links(part_edges(spark, d), table(spark, d, "orders").select(ref("part", k % 199 + 1).alias("src"), F.lit("relatedTo").alias("prop"), ref("part", k % 50 + 1).alias("dst")))
-
-
-GROUPS = f"""gr AS (SELECT * FROM (SELECT doc || '_subtheme_group_' || regexp_extract(new_subtheme_label, '[0-9]+') AS id, parent_theme_id AS parent, 'Group ' || regexp_extract(new_subtheme_label, '[0-9]+') AS label,
-    row_number() OVER (PARTITION BY doc || '_subtheme_group_' || regexp_extract(new_subtheme_label, '[0-9]+') ORDER BY parent_theme_id) AS n2 FROM (SELECT DISTINCT new_subtheme_label, parent_theme_id FROM np WHERE operation = 'group_codes') JOIN pe ON pe.id = parent_theme_id) WHERE n2 = 1)"""
-
-
-@register(f"WITH {RAW}, {PART}, {GROUPS} SELECT 'hasSubtheme' AS prop, parent AS src, id AS dst, label FROM gr")
-def apply_groups(spark: SparkSession, d: str) -> DataFrame:
-    p = curate.normalize_proposals(raw_proposals(spark, d)).where("operation = 'group_codes'").select("new_subtheme_label", "parent_theme_id").distinct()
-    groups = p.withColumn("proposal_id", F.col("parent_theme_id")).withColumn("member_code_ids", F.array().cast("array<string>"))
-    entities, edges = curate.apply_groups(part_entities(spark, d), part_edges(spark, d), groups, THEMATIC)
-    new = entities.where("class = 'Subtheme'").select(F.col("id").alias("dst"), "label")
-    return edges.where("prop = 'hasSubtheme'").join(new, "dst").select("prop", "src", "dst", "label")
-
-
-@register()
-def apply_approved(spark: SparkSession, d: str) -> DataFrame:
-    _, _, edges, _ = curate.apply_approved(proposals(spark, d), part_entities(spark, d), part_edges(spark, d), THEMATIC)
-    return edges
+@register("SELECT count(*) AS processed, count(*) FILTER (n_chars >= 60) AS succeeded, count(*) FILTER (n_chars < 60) AS failed FROM documents")
+def batch_result(spark: SparkSession, d: str) -> DataFrame:
+    return browse.batch_result(outcomes(spark, d))
 
 
-@register()
-def apply_results(spark: SparkSession, d: str) -> DataFrame:
-    return curate.apply_results(proposals(spark, d), part_entities(spark, d), THEMATIC)
+@register("SELECT CAST(doc_id AS VARCHAR) AS name, 'too short' AS error FROM documents WHERE n_chars < 60")
+def batch_errors(spark: SparkSession, d: str) -> DataFrame:
+    return browse.batch_errors(outcomes(spark, d))
 
 
 # ---- approval ----------------------------------------------------------------------------------------------------
@@ -874,7 +692,7 @@ def findings_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/weftgraph"
+    return shared_dir(spark)
 
 
 @register(f"WITH {VAULT} SELECT regexp_replace(lower(id), '[^a-z0-9_]', '_', 'g') || '.md' AS file, class, id, label FROM g")
