@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch, cut, remove, shared_dir
+
+__all__ = ["Scratch", "ascii_lower", "cut", "partitions", "remove", "shared_dir", "small", "table", "uniform", "unused"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,51 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode (tests on one machine), a
-    temporary folder takes its place where the session names none; on a cluster that is an error."""
-    sc = spark.sparkContext
-    set_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not set_dir:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        set_dir = sc.getCheckpointDir()
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(set_dir)
-    return set_dir
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there: the lineage ends,
-    later uses don't compute it again, and a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-class Scratch:
-    """Written tables of one run, in a folder of their own under the shared one; ``drop`` removes them all."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df`` written as Parquet and read back: as ``cut``, but columnar and removable."""
-        self.n += 1
-        path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` with all that is in it, on any file system that Spark knows."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
