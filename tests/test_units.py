@@ -341,3 +341,82 @@ def test_inbox(spark, tmp_path):
     (box / "one.md").write_text("Ann: a new version")
     go()
     assert [r["label"] for r in inbox.current_entities(spark, str(out)).collect()] == ["a new version"]
+
+
+# ---- fixpoints ---------------------------------------------------------------------------------------------------
+
+
+def test_chains_of_a_thousand(spark):
+    mixed = random.Random(8).sample(range(1000), 1000)
+    for order in (list(range(1000)), mixed):
+        # Each merge keeps the next id; later merges come first in the chain, so all are valid.
+        merges = [(str(order[i + 1]), str(order[i]), i) for i in range(999)]
+        roots = curate.merge_roots(spark.createDataFrame(merges, "kept_id string, removed_id string, seq bigint")).collect()
+        assert len(roots) == 999 and {r["kept"] for r in roots} == {str(order[-1])}
+
+
+def test_paths_and_closures_of_long_chains(spark):
+    mixed = random.Random(8).sample(range(300), 300)
+    edges = [(mixed[i], mixed[i + 1]) for i in range(299)] + [(-1, -2), (-2, -1), (None, 5), (5, None)]
+    got = {(r["src"], r["dst"]) for r in pt.path_plus(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    want = {(mixed[i], mixed[j]) for i in range(300) for j in range(i + 1, 300)} | {(-1, -2), (-2, -1), (-1, -1), (-2, -2)}
+    assert got == want
+    assert pt.path_plus(spark.createDataFrame([], "src int, dst int")).count() == 0
+    classes = [(f"c{i}", f"c{i + 1}") for i in range(100)]  # the last parent is not declared
+    closed = {(r["child"], r["ancestor"]) for r in pk.class_closure(spark.createDataFrame(classes, "name string, parent string")).collect()}
+    assert closed == {(f"c{i}", f"c{j}") for i in range(100) for j in range(i, 100)}
+
+
+# ---- questions ---------------------------------------------------------------------------------------------------
+
+ORDER = {
+    "cq_compliance_1": ["obligationLabel"], "cq_compliance_2": ["statuteLabel"], "cq_compliance_3": ["label"], "cq_thematic_1": ["-nExcerpts", "label"],
+    "cq_thematic_2": ["themeLabel", "excerptLabel"], "cq_thematic_3": ["section", "codeLabel"], "cq_literature_1": ["entityLabel", "paperLabel"],
+    "cq_literature_2": ["methodLabel", "claimLabel"], "cq_literature_3": ["citedPaperLabel"], "cq_regulatory_1": ["ticker", "date", "filingLabel"],
+    "cq_regulatory_2": ["obligationLabel", "disclosureLabel"], "cq_regulatory_3": ["regulatorLabel", "obligationLabel"], "entity_catalog": ["class", "label"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDER))
+def test_questions_come_in_order(spark, name):
+    rows = queries.REGISTRY[name](spark, "/root/testdata/sf0.01").collect()
+    key = lambda r: [(r[k[1:]] is None, -r[k[1:]]) if k[0] == "-" else (r[k] is not None, r[k] or "") for k in ORDER[name]]
+    assert [key(r) for r in rows] == sorted(key(r) for r in rows) and rows
+
+
+def test_questions_read_the_tables_of_their_classes(spark):
+    plan = queries.REGISTRY["cq_regulatory_1"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    read = set(re.findall(r"\b([a-z]+)_[a-z]+#\d+[^\n]* parquet", plan))
+    assert {"o", "c"} <= read and not read & {"l", "p", "n"}, plan
+
+
+def test_numbers_follow_the_order(spark):
+    from weftgraph.sources.shared import numbered
+
+    names = [f"d{i:04d}" for i in range(700)]
+    random.Random(3).shuffle(names)
+    got = numbered(spark.createDataFrame([(x,) for x in names], "doc_id string"), "doc_id", "n", 5).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == {f"d{i:04d}": i + 5 for i in range(700)}
+
+
+def test_findings_say_what_is_wrong(spark):
+    kinds = "class string, id string, label string, uri string, source_document string, source_section string, properties map<string,array<string>>, file string, corrupt boolean"
+    rows = [
+        ("Excerpt", "a", "A", "x/a", "d", "s", {"spokenBy": ["P"], "codedAs": ["[[nobody]]", "a"], "odd": ["1"]}, "a.md", None),
+        ("Excerpt", "a", "A", "x/a", "d", "s", {}, "b.md", None), ("Code", "c", "", "x/y", "d", None, None, "c.md", False),
+        ("Theme", "t", "T", "x/t", "d", None, {"codedAs": []}, "t.md", None), (None, None, None, None, None, None, None, "n.md", None), (None, "z", None, None, None, None, None, "z.md", True),
+    ]
+    got = {(r["rule"], r["entity_id"], r["file"]): (r["message"], r["suggested_fix"]) for r in lint.lint(spark.createDataFrame(rows, kinds), pk.THEMATIC).collect()}
+    assert got == {
+        ("dangling_wikilink", "a", "a.md"): ("property codedAs links to nobody, which does not exist", None),
+        ("self_reference", "a", "a.md"): ("property codedAs links to its own entity", None),
+        ("unknown_property", "a", "a.md"): ("property odd is not declared", None),
+        ("duplicate_id", "a", "b.md"): ("id a already declared in a.md", None),
+        ("missing_required_field", "c", "c.md"): ("required field missing or empty: label", None),
+        ("uri_id_mismatch", "c", "c.md"): ("uri does not end with c", None),
+        ("orphan_code", "c", "c.md"): ("code is not linked from any excerpt", None),
+        ("theme_without_subthemes", "t", "t.md"): ("theme has no hasSubtheme", None),
+        ("domain_violation", "t", "t.md"): ("property codedAs is only valid on Excerpt, not Theme", "move this triple onto a Excerpt"),
+        ("missing_id", "", "n.md"): ("front matter has no id", None),
+        ("no_frontmatter", "", "z.md"): ("file has no front matter", None),
+    }
