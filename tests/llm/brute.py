@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
+import unicodedata
 from collections import defaultdict
 from zlib import crc32
 
@@ -182,3 +184,80 @@ def lines(docs, least_chars=20, least_docs=3) -> dict:
 
 def held_out(doc_id: int) -> bool:
     return crc32(str(doc_id).encode()) % 4 == 2
+
+
+def _letters(text: str) -> list[str]:
+    """Words of letters, each with the marks that follow its letters."""
+    out, word = [], ""
+    for c in unicodedata.normalize("NFC", text).lower() + " ":
+        if c.isalpha() or (word and unicodedata.category(c)[0] == "M"):
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
+def _buckets(word: str, buckets: int = 1 << 15) -> list[int]:
+    """The buckets of the 1- to 3-grams of <word>, by the hash that the model fixes."""
+    mask, s, out = (1 << 64) - 1, f"<{word}>", []
+    for n in (1, 2, 3):
+        for i in range(len(s) - n + 1):
+            h = 0
+            for k in range(n):
+                h = ((h + ord(s[i + k]) + k + 1) * 0x9E3779B97F4A7C15) & mask
+                h ^= h >> 29
+            out.append(h % buckets)
+    return out
+
+
+def _script(word: str, scripts) -> str:
+    return [name for start, name in scripts if start <= ord(word[0])][-1]
+
+
+def language_model(rows, scripts, buckets: int = 1 << 15) -> dict:
+    """(text, lang) rows -> langs, log weights less their mean by bucket, and the languages of each script."""
+    langs = sorted({x for _, x in rows})
+    freq, chars = {x: defaultdict(int) for x in langs}, defaultdict(int)
+    for text, lang in rows:
+        for w in _letters(text):
+            for b in _buckets(w):
+                freq[lang][b] += 1
+            chars[lang, _script(w, scripts)] += len(w)
+    total = {x: sum(freq[x].values()) for x in langs}
+
+    def weight(b: int) -> list[float]:
+        raw = [math.log((freq[x][b] + 0.5) / (total[x] + 0.5 * buckets)) for x in langs]
+        return [r - sum(raw) / len(raw) for r in raw]
+
+    whole = {x: sum(v for (y, _), v in chars.items() if y == x) for x in langs}
+    uses = {(x, s) for (x, s), v in chars.items() if v >= 0.01 * max(whole[x], 1)}
+    return {"langs": langs, "weight": weight, "uses": uses}
+
+
+def language_of(text: str | None, model: dict, scripts, penalty: float = 6.0, tau: float = 0.5) -> tuple[str, float]:
+    """lang_pred and score of one text, word by word."""
+    words, langs = _letters(text or ""), model["langs"]
+    if not words or not langs:
+        return "und", 0.0
+    scores = []
+    for w in words:
+        grams = [model["weight"](b) for b in _buckets(w)]
+        mean = [sum(g[i] for g in grams) / len(grams) * min(4.0, 1 + len(w) / 2) for i in range(len(langs))]
+        fits = [(x, _script(w, scripts)) in model["uses"] for x in langs]
+        scores.append([m if f else min(mean) - 2.0 for m, f in zip(mean, fits, strict=True)] if any(fits) else [0.0] * len(langs))
+    paths = [(s, [i]) for i, s in enumerate(scores[0])]
+    for s in scores[1:]:
+        top = max(paths, key=lambda p: p[0])
+        paths = [(max(v, top[0] - penalty) + s[i], (path if v >= top[0] - penalty else top[1]) + [i]) for i, (v, path) in enumerate(paths)]
+    labels = max(paths, key=lambda p: p[0])[1]
+    told = [any(s) for s in scores]
+    mass = [sum(len(w) for w, y, t in zip(words, labels, told, strict=True) if t and y == i) for i in range(len(langs))]
+    top = mass.index(max(mass))
+    share = mass[top] / sum(map(len, words))
+    own = [s for s, y, t in zip(scores, labels, told, strict=True) if t and y == top]
+    if len(langs) == 1 or not own:
+        return langs[top], share
+    sums = [sum(s[i] for s in own) for i in range(len(langs))]
+    margin = (sums[top] - max(v for i, v in enumerate(sums) if i != top)) / len(own)
+    return langs[top], share * (1 - math.exp(-max(margin, 0) / tau))

@@ -356,6 +356,30 @@ def test_language(spark):
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_language_matches_plain(spark):
+    rng = random.Random(6)
+    stock = {"en": "the of and house river stone water light people think", "de": "der die und über straße wasser licht leute denken schön", "ru": "дом река камень вода свет люди думать", "hi": "नदी पत्थर पानी प्रकाश लोग सोचना"}
+    stock = {k: v.split() for k, v in stock.items()}
+    rows = [(i, " ".join(rng.choice(stock[k]) for _ in range(rng.randrange(1, 15))), k) for i, k in enumerate(rng.choice(list(stock)) for _ in range(200))]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    plain = brute.language_model([(t, k) for _, t, k in rows], language.SCRIPTS)
+    mixed = [" ".join(rng.choice(stock[rng.choice(list(stock))]) for _ in range(12)) for _ in range(20)]
+    texts = [None, "", "12 !", "中文文本在这里", "the 中文文本在这里", "xq zzk", "प्रकाश", "a", "Δοκιμή κειμένου", *[t for _, t, _ in rows[:60]], *mixed]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    for i, t in enumerate(texts):
+        lang, score = brute.language_of(t, plain, language.SCRIPTS)
+        assert (got[i]["lang_pred"], got[i]["score"]) == (lang, pytest.approx(score, abs=1e-4)), t
+    assert got[3]["score"] == got[8]["score"] == 0 and 0 < got[4]["score"] < 0.4 and got[6]["lang_pred"] == "hi" and len(got[6]["lang_spans"]) == 1
+    one = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").where("lang = 'en'"))
+    assert {r["lang_pred"] for r in language.identify(df, one).where("doc_id > 5").collect()} == {"en"}
+    two = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), most_langs=2)
+    assert len(two["langs"]) == 2
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(1000 + i, t, k, "s", len(t)) for i, t, k in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert left >= {1000 + i for i, _, _ in rows} and not left & {0, 1, 2, 3, 8}
+
+
 def test_viterbi_matches_plain(spark):
     import numpy as np
 

@@ -28,7 +28,22 @@ BUCKETS = 1 << 15
 SAMPLE = 2_000
 PENALTY = 6.0
 CACHE = 1 << 18
-WORDS = re.compile(r"[^\W\d_]+")
+#: Languages that are learned at most, those with most labelled rows.
+MOST_LANGS = 100
+#: A mean margin of so much per word makes a score of 1 - 1/e.
+TAU = 0.5
+
+
+def _marks() -> str:
+    """All combining marks, as ranges for a pattern: they belong to the word that they stand in."""
+    codes = [c for c in range(0x300, 0x11FFF) if unicodedata.category(chr(c))[0] == "M"]
+    known = set(codes)
+    starts = [c for c in codes if c - 1 not in known]
+    ends = [c for c in codes if c + 1 not in known]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+WORDS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_marks()}])*")
 #: First code points of script ranges and their names (fixed values).
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
 _STARTS = np.array([x for x, _ in SCRIPTS])
@@ -62,11 +77,13 @@ def holdout(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:
-    """A model from rows with a text and a language. The sample is drawn by the id's hash; ids and sources are no inputs
-    of the model. Without any labelled row the model has no language and predicts ``und``."""
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, most_langs: int = MOST_LANGS) -> dict:
+    """A model from rows with a text and a language, of ``sample`` rows per language, in expectation, and the ``most_langs`` languages that have
+    most rows. The sample is drawn by the id's hash; ids and sources are no inputs of the model. Without any labelled row the model
+    has no language and predicts ``und``."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_lang = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": [], "weights": np.zeros((BUCKETS, 0), np.float32), "scripts": {}}
@@ -113,7 +130,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 def score_words(model: dict, words: list[str]) -> np.ndarray:
     """A score per word and language: the mean of its grams' log-weights, more for longer words. A language that doesn't use
-    the word's script gets less than the worst; a word in a script that no language uses says nothing."""
+    the word's script gets less than the worst; a word in a script that no language uses says nothing: all its scores are 0."""
     if not words:
         return np.zeros((0, len(model["langs"])), np.float32)
     buckets, starts, script = grams(words)
@@ -168,8 +185,11 @@ SPANS = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("lang", pa.s
 def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = PENALTY, spans: bool = True, group: int = 2048) -> DataFrame:
     """``docs`` with lang_pred, score and (if ``spans``) lang_spans: first word, number of words and language of each span.
 
-    lang_pred is ``und`` and score 0 if the text is null or has no letter. score is the share of letters in
-    spans of lang_pred. All rows and columns stay; columns of these names are replaced.
+    lang_pred is ``und`` and score 0 if the text is null or has no letter. score is the share of all letters that is in spans
+    of lang_pred and in a script that a learned language uses, times 1 - exp(-m / ``TAU``), where m is the mean per such word of what
+    lang_pred scores above the next language. So it is 0 in a script that no language uses, and near 0 where words tell nothing. With
+    one learned language m has no next and the score is the share. All rows and columns stay; columns of these names are replaced. Very long
+    texts are taken whole, in a batch's memory.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers per language
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")]
@@ -201,10 +221,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
                 lengths = np.fromiter((len(ws) for ws in texts), np.int64, len(texts))
                 has = lengths > 0
                 labels = viterbi(vectors[at], lengths[has], penalty)
-                mass = np.zeros((len(texts), max(1, len(langs))))
-                np.add.at(mass, (np.repeat(np.arange(len(texts)), lengths), labels), sizes[at])
-                top = mass.argmax(1)
-                share = np.where(has, mass[np.arange(len(texts)), top] / np.maximum(mass.sum(1), 1), 0.0)
+                top, share = confidence(vectors[at], sizes[at], labels, lengths)
                 columns = [*part.columns, pa.array([langs[x] if h else "und" for x, h in zip(top, has, strict=True)], pa.string()), pa.array(share, pa.float64())]
                 if spans:
                     columns.append(pa.array(list(_spans(labels, lengths, langs)), SPANS))
@@ -213,6 +230,27 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
     return rest.mapInArrow(predict, schema)
 
 
+def confidence(scores: np.ndarray, sizes: np.ndarray, labels: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The language and score of each document, of its words' scores, letters and labels, laid end to end."""
+    n, k = len(lengths), scores.shape[1]
+    doc = np.repeat(np.arange(n), lengths)
+    told = scores.any(1)  # a word of a script that no language uses has no score
+    mass = np.zeros((n, k))
+    np.add.at(mass, (doc[told], labels[told]), sizes[told])
+    top = mass.argmax(1)
+    letters = np.bincount(doc, sizes, n)
+    share = mass[np.arange(n), top] / np.maximum(letters, 1)
+    own = told & (labels == top[doc])
+    if k == 1:
+        return top, share
+    sums = np.zeros((n, k))
+    np.add.at(sums, doc[own], scores[own])
+    best = sums[np.arange(n), top].copy()
+    sums[np.arange(n), top] = -np.inf
+    margin = (best - sums.max(1)) / np.maximum(np.bincount(doc[own], minlength=n), 1)
+    return top, share * (1 - np.exp(-np.maximum(margin, 0.0) / TAU))
+
+
 def _spans(labels: np.ndarray, lengths: np.ndarray, langs: list[str]) -> Iterator[list[dict]]:
     end = 0
     for n in lengths:
