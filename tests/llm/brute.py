@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import math
 import re
@@ -261,3 +262,89 @@ def language_of(text: str | None, model: dict, scripts, penalty: float = 6.0, ta
     sums = [sum(s[i] for s in own) for i in range(len(langs))]
     margin = (sums[top] - max(v for i, v in enumerate(sums) if i != top)) / len(own)
     return langs[top], share * (1 - math.exp(-max(margin, 0) / tau))
+
+
+# ---- pseudonyms --------------------------------------------------------------------------------------------------
+
+
+def _stream(key: str, tag: str, n: int, part: str) -> str:
+    return sha(f"{key}|{tag}{n}|{part}")
+
+
+def _moved(text: str, stream: str, alphabets) -> str:
+    out = ""
+    for i, c in enumerate(text):
+        k = int(stream[(i % 32) * 2 : (i % 32) * 2 + 2], 16) + i // 32
+        found = next((a for a in alphabets if c in a), None)
+        out += found[(found.index(c) + k) % len(found)] if found else c
+    return out
+
+
+def feistel_text(key: str, tag: str, text: str, alphabets, rounds: int = 8) -> str:
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for r in range(rounds // 2):
+        left = _moved(left, _stream(key, tag, 2 * r, right), alphabets)
+        right = _moved(right, _stream(key, tag, 2 * r + 1, left), alphabets)
+    return left + right
+
+
+def feistel_pair(key: str, tag: str, a: int, b: int, size_a: int, size_b: int, rounds: int = 8) -> tuple[int, int]:
+    number = lambda t, r, part, below: int(sha(f"{key}|{tag}{t}{r}|{part}")[:14], 16) % below
+    for r in range(rounds // 2):
+        a = (a + number("a", r, b, size_a)) % size_a
+        b = (b + number("b", r, a, size_b)) % size_b
+    return a, b
+
+
+def luhn(digits: str) -> int:
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10
+
+
+def _filled(shape: str, digits: str) -> str:
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in shape)
+
+
+def pseudonym(key: str, kind: str, v: str) -> str | None:
+    """A value's pseudonym by its kind; None where it is not valid."""
+    only = re.sub("[^0-9]", "", v)
+    nums = "0123456789"
+    if kind == "card":
+        if luhn(only):
+            return None
+        body = feistel_text(key, "card", only[:-1], (nums,))
+        return _filled(v, body + next(c for c in nums if luhn(body + c) == 0))
+    if kind == "phone":
+        plus = v.startswith("+")
+        full = only if plus else "1" + only
+        if not 8 <= len(full) <= 15:
+            return None
+        short = {"1", "7", "20", "27"} | {str(x) for x in (*range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98)}
+        code = next(full[:n] for n in (1, 2, 3) if full[:n] in short or n == 3)
+        new = feistel_text(key, "phone", full[len(code) :], (nums,))
+        return _filled(v, code + new if plus else new)
+    if kind == "ssn":
+        area, group, serial = map(int, v.split("-"))
+        if not 1 <= area <= 899 or area == 666 or not group or not serial:
+            return None
+        a, b = feistel_pair(key, "ssn", area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+        return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+    if kind == "ip":
+        o = [int(x) for x in v.split(".")]
+        a, b = feistel_pair(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+    if kind == "date":
+        cycle = (int(v[:4]) - 1800) // 400
+        first = datetime.date(1800, 1, 1)
+        try:
+            days = (datetime.date.fromisoformat(f"{int(v[:4]) - 400 * cycle:04d}{v[4:]}") - first).days
+        except ValueError:
+            return None
+        a, b = feistel_pair(key, "date", days // 773, days % 773, 189, 773)
+        d = first + datetime.timedelta(a * 773 + b)
+        return f"{d.year + 400 * cycle:04d}-{d.month:02d}-{d.day:02d}"
+    if kind == "email":
+        local, domain = v.split("@")
+        new = feistel_text(key, "email", local.lower(), (nums, LOW))
+        return "".join(c.upper() if o in UP else c for c, o in zip(new, local, strict=True)) + "@" + domain
+    return feistel_text(key, "secret", v, ("0123456789ABCDEF" if re.search("[A-F]", v) else "0123456789abcdef",))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -422,8 +423,6 @@ def luhn(digits: str) -> bool:
 
 
 def test_pii(spark):
-    import re
-
     from weftgraph.llm import pii
 
     texts = [
@@ -448,6 +447,27 @@ def test_pii(spark):
     assert pii.pseudonymise(df.limit(0), "key").count() == 0
 
 
+def test_pii_matches_plain(spark):
+    from weftgraph.llm import pii
+
+    values = [
+        ("card", "4111 1111 1111 1111"), ("card", "4111111111111111"), ("card", "4111111111111112"), ("card", "378282246310005"), ("phone", "+49 30 1234567"), ("phone", "+49301234567"), ("phone", "+33 1 23 45 67 89"), ("phone", "+33123456789"),
+        ("phone", "+1 (212) 555-0199"), ("phone", "(212) 555-0199"), ("phone", "+12125550199"), ("phone", "+353 87 123 4567"), ("phone", "+1 23 45"), ("ssn", "123-45-6789"), ("ssn", "666-12-3456"), ("ssn", "899-99-9999"), ("ip", "0.0.0.0"), ("ip", "192.168.255.1"),
+        ("date", "1985-02-28"), ("date", "1750-01-01"), ("date", "1000-12-31"), ("date", "2999-06-15"), ("date", "2023-02-30"), ("date", "2000-02-29"), ("date", "1900-02-29"), ("email", "Jo@x.com"), ("email", "jo@x.com"), ("email", "A.b-C_9@mail7.example.com"), ("email", "z@q.org"), ("email", "UPPER.CASE@x.com"),
+        ("secret", "5f8a0b1c2d3e4f5061728394a5b6c7d8e9f00112"), ("secret", "5F8A0B1C2D3E4F5061728394A5B6C7D8E9F00112"),
+    ]
+    lead = {"secret": "key = "}
+    df = spark.createDataFrame([(i, f"see {lead.get(k, '')}{v} there") for i, (k, v) in enumerate(values)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "k1").collect()}
+    for i, (kind, v) in enumerate(values):
+        new = brute.pseudonym("k1", kind, v)
+        assert got[i]["text"] == f"see {lead.get(kind, '')}{new or v} there", (kind, v)
+        assert [x["kind"] for x in got[i]["pii_found"]] == ([kind] if new else [])
+    new = {v: re.sub("[^0-9a-z]", "", got[i]["text"].split("see ")[1][: len(v)].lower()) for i, (_, v) in enumerate(values)}
+    assert new["+49 30 1234567"] == new["+49301234567"] and new["+33 1 23 45 67 89"] == new["+33123456789"] and new["Jo@x.com"] == new["jo@x.com"]
+    assert new["+1 (212) 555-0199"] == new["+12125550199"] == "1" + new["(212) 555-0199"]
+
+
 def test_pii_permutations(spark):
     from weftgraph.llm import pii
 

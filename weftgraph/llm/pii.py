@@ -5,6 +5,13 @@ letters of their case, separators stay, card numbers keep a right check digit, a
 permutation is a Feistel network, so different values stay different, and equal values in any documents get equal pseudonyms.
 What fails validation (a card number with a wrong check digit, a 31st of February) is left alone, and so is all other text.
 
+What is looked for: e-mail addresses, hexadecimal secrets after a word like token or key, IPv4 addresses, ISO dates of the years 1000 to
+2999, social security numbers with hyphens, phone numbers with + and country code or in the form (212) 555-0199, and card
+numbers. Dates move within their 400 years (1800 to 2199, and the like before and after). Equal phone numbers are linked however they are
+spaced, with the country code or, for +1, without it; a trunk zero written in brackets counts as a digit. An e-mail address's local part is linked in
+any letter case; its domain stays, as does a phone number's country code. Not found, and so left in clear: other ways to write dates, social
+security numbers without hyphens, IBANs, IPv6 addresses, national phone numbers in other forms, names and street addresses.
+
 A document is one row throughout: no shuffle, no table of values, nothing gathered. Texts without a digit or ``@`` are not searched.
 """
 
@@ -25,10 +32,12 @@ PATTERNS = {
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z\-])[12][0-9]{3}-[01][0-9]-[0-3][0-9](?![0-9A-Za-z]|-[0-9])",
     "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){1,6}(?![0-9])|(?<![0-9A-Za-z+)])\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9A-Za-z])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Country codes of phone numbers: those of one and two digits; all others have three (fixed values).
+COUNTRY = r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Days from 1800-01-01 to 2199-12-31 (a cycle of the calendar): 189 times 773.
 DAYS, DAYS_A, DAYS_B = 146_097, 189, 773
 
@@ -119,9 +128,13 @@ def _card(key: str, v: Column) -> Column:
 
 
 def _phone(key: str, v: Column) -> Column:
-    lead = F.regexp_extract(v, r"^\+[0-9]{1,3}?(?=[ .\-(]|[0-9]{8,10}$)[ .\-]?", 0)
-    rest = F.substring(v, F.length(lead) + 1, F.length(v))
-    return F.when(F.length(only_digits(v)).between(8, 15), F.concat(lead, _into(rest, permute_text(key, "phone", only_digits(rest), (DIGITS,)))))
+    """The digits after the country code are permuted together, however they are grouped; a number without + is one of +1."""
+    bare = F.concat(F.when(v.startswith("+"), F.lit("+")).otherwise(F.lit("+1")), only_digits(v))
+    good = F.length(bare).between(9, 16)  # 8 to 15 digits
+    lead = F.regexp_extract(bare, COUNTRY, 0)
+    national = permute_text(key, "phone", F.substring(bare, F.length(lead) + 1, F.length(bare)), (DIGITS,))
+    shown = F.when(v.startswith("+"), _into(v, F.concat(F.substring(lead, F.lit(2), F.lit(3)), national))).otherwise(_into(v, national))
+    return F.when(good, shown)
 
 
 def _ssn(key: str, v: Column) -> Column:
@@ -141,14 +154,23 @@ def _ip(key: str, v: Column) -> Column:
 
 
 def _date(key: str, v: Column) -> Column:
+    """The calendar repeats every 400 years, so a date is permuted as the one of 1800 to 2199 in its place."""
+    year = F.substring(v, 1, 4).cast("int")
+    cycle = F.floor((year - 1800) / 400).cast("int")
+    there = lambda date, by: F.concat(F.lpad((F.substring(date, 1, 4).cast("int") + by).cast("string"), 4, "0"), F.substring(date, 5, 6))
     first = F.lit("1800-01-01").cast("date")
-    days = F.datediff(F.try_to_date(v, "yyyy-MM-dd"), first)
+    days = F.datediff(F.try_to_date(there(v, -400 * cycle), "yyyy-MM-dd"), first)
     pair = permute_pair(key, "date", F.floor(days / DAYS_B), days % DAYS_B, DAYS_A, DAYS_B)
-    return F.when(days.between(0, DAYS - 1), let(pair, lambda p: F.date_format(F.date_add(first, (p["a"] * DAYS_B + p["b"]).cast("int")), "yyyy-MM-dd")))
+    moved = let(pair, lambda p: F.date_format(F.date_add(first, (p["a"] * DAYS_B + p["b"]).cast("int")), "yyyy-MM-dd"))
+    return F.when(days.between(0, DAYS - 1), let(moved, lambda d: there(d, 400 * cycle)))
 
 
 def _email(key: str, v: Column) -> Column:
-    return F.concat(permute_text(key, "email", F.substring_index(v, "@", 1)), F.lit("@"), F.substring_index(v, "@", -1))
+    """The local part in lower case is permuted, and takes the letter case of the places back."""
+    local = F.substring_index(v, "@", 1)
+    cased = lambda new: F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(local, i + 1, F.lit(1)).between("A", "Z"), F.upper(c)).otherwise(c))
+    new = let(permute_text(key, "email", F.lower(local), (DIGITS, LOWER)), lambda n: F.array_join(cased(n), ""))
+    return F.concat(new, F.lit("@"), F.substring_index(v, "@", -1))
 
 
 def _secret(key: str, v: Column) -> Column:
@@ -157,7 +179,7 @@ def _secret(key: str, v: Column) -> Column:
 
 KINDS = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 WHOLE = {
-    "email": "@", "ip": rf"^(?:{OCTET}\.){{3}}{OCTET}$", "date": "^[12][0-9]{3}-[01][0-9]-[0-3][0-9]$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "phone": r"^\+", "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})$",
+    "email": "@", "ip": rf"^(?:{OCTET}\.){{3}}{OCTET}$", "date": "^[12][0-9]{3}-[01][0-9]-[0-3][0-9]$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "phone": r"^[+(]", "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})$",
 }
 
 
@@ -180,7 +202,8 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``, and the columns pii_found (array of (kind, pseudonym)) and n_pii.
 
-    A null or empty text stays and has nothing found. All rows and columns stay; columns of these two names are replaced.
+    A null or empty text stays and has nothing found. All rows and columns stay, repeated rows too; columns of these two names are
+    replaced. Texts of any length are searched whole, in one row's memory.
     """
     text = F.col(text_col)
     searched = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
