@@ -348,3 +348,17 @@ def pseudonym(key: str, kind: str, v: str) -> str | None:
         new = feistel_text(key, "email", local.lower(), (nums, LOW))
         return "".join(c.upper() if o in UP else c for c, o in zip(new, local, strict=True)) + "@" + domain
     return feistel_text(key, "secret", v, ("0123456789ABCDEF" if re.search("[A-F]", v) else "0123456789abcdef",))
+
+
+def spots(text: str | None, anchors, drawn, chain: int = 2) -> frozenset:
+    """Spot signatures as tuples of words; ``drawn`` says which words are anchors besides the common ones."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII_LOWER))
+    is_anchor = [w in anchors or drawn(w) for w in ws]
+    if not any(is_anchor):
+        return frozenset(tuple(ws[i : i + chain + 1]) for i in range(len(ws)))
+    rest = lambda i: [w for w, x in zip(ws[i + 1 :], is_anchor[i + 1 :], strict=True) if not x]
+    return frozenset((w, *rest(i)[:chain]) for i, w in enumerate(ws) if is_anchor[i])
+
+
+def alike(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0

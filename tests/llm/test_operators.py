@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 import re
 
@@ -155,13 +156,31 @@ def test_spotsigs_edits(frame, docs):
     rows = spotsigs.edit_report(frame).collect()
     want = brute.edited(docs)
     assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"]) for r in rows} == want
-    words = frozenset(x.encode() for x in spotsigs.ANCHORS)
+    from xxhash import xxh3_64_intdigest
+
+    drawn = lambda w: xxh3_64_intdigest(w.encode()) % spotsigs.SPARE == 0
     text = {d["doc_id"]: d["text"] or "" for d in docs}
-    for r in rows:
-        sigs = spotsigs.signatures(text[r["doc_id"]], words)
-        assert r["fingerprint"] == spotsigs.encode(sigs)
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert len({r["fingerprint"] for r in rows if text[r["doc_id"]] == text[docs[7]["doc_id"]]}) == 1
+    ids = sorted(text)
+    prints = {}
+    for i, after in zip(ids, [*ids[1:], ids[0]], strict=True):
+        r = next(r for r in rows if r["doc_id"] == i)
+        q = len(text[i]) // 4
+        own, edited, following = (brute.spots(t, spotsigs.ANCHORS, drawn) for t in (text[i], text[i][: len(text[i]) - q] + text[after][:q], text[after]))
+        assert r["near_edited"] == pytest.approx(brute.alike(own, edited)) and r["near_next"] == pytest.approx(brute.alike(own, following))
+        assert len(base64.b64decode(r["fingerprint"])) == 4 * len(own) and len(base64.b64decode(r["edited_fingerprint"])) == 4 * len(edited)
+        assert prints.setdefault(own, r["fingerprint"]) == r["fingerprint"] and prints.setdefault(edited, r["edited_fingerprint"]) == r["edited_fingerprint"]
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_spotsigs_hot_ids(spark):
+    """One id for most rows: its rows follow in the order of their texts' hashes, over many ranges."""
+    rows = [(7 if i % 3 else (None if i % 2 else i), f"the cat{i} sat on a mat{i} of {i}") for i in range(300)]
+    got = spotsigs.edit_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in got) == sorted((i or -1, len(t)) for i, t in rows)
+    hashes = {r["text"]: r["h"] for r in spark.createDataFrame(rows, "doc_id bigint, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], hashes[r[1]]))
+    want = sorted(brute.sha(t[: len(t) - len(t) // 4] + n[: len(t) // 4]) for (_, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True))
+    assert sorted(r["edited_sha256"] for r in got) == want
 
 
 def test_spotsigs_repeats_and_empty(spark, frame):
