@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as fx
 from ..plans.pack import ID_PATTERN, Pack
+from ..sources.shared import cut
 from .graph import ENTITY
 
 # The patterns of natural boundaries, with their priorities.
@@ -23,7 +24,7 @@ PARAGRAPH = re.compile(r"\n[ \t]*\n")
 SENTENCE = re.compile(r"[\.!?][\"')\]]?\s+(?=[A-Z])")
 KINDS = (("speaker", SPEAKER, 5), ("timestamp", TIMESTAMP, 4), ("heading", HEADING, 3), ("paragraph", PARAGRAPH, 2), ("sentence", SENTENCE, 1))
 MOST_CHUNKS = 1000
-#: Needles that name no document are sent to all tasks up to so many; more are joined by a shuffle.
+#: Needles, or pairs to be verified, are sent to all tasks up to so many; more are joined by a shuffle.
 MOST_SENT = 200_000
 BOUNDARY = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("priority", T.IntegerType())]))
 CHUNK = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("section_hint", T.StringType())]))
@@ -91,10 +92,10 @@ def chunk_documents(docs: DataFrame, max_chars: int, id_col: str = "doc_id", tex
     """(doc_id, chunk_index, n_chunks, chunk_doc_id, text, section_hint): each document cut in one Arrow call, no shuffle."""
 
     @F.pandas_udf(CHUNK)
-    def cut(texts: pd.Series) -> pd.Series:
+    def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"chunk_index": i, "text": x, "section_hint": h} for i, x, h in split_chunks(t, max_chars, whole)])
 
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), cut(text_col).alias("cs")).select("doc_id", F.size("cs").alias("n_chunks"), F.inline("cs"))
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), split(text_col).alias("cs")).select("doc_id", F.size("cs").alias("n_chunks"), F.inline("cs"))
     return rows.select("doc_id", "chunk_index", "n_chunks", fx.chunk_doc_id("doc_id", "chunk_index", "n_chunks").alias("chunk_doc_id"), "text", "section_hint")
 
 
@@ -192,21 +193,28 @@ def anchored(needles: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
     norm = fx.normalize_for_match("text")
     needles = needles.where("norm <> ''").select("needle_id", "doc", "norm", F.split("norm", " ", -1).alias("_w"))
     needles = needles.withColumn("_n", F.least(F.lit(width), F.size("_w") - 2))
-    widths = sorted(r[0] for r in needles.where("_n > 0").select("_n").distinct().collect())  # ``width`` numbers at most
+    kinds = needles.groupBy("_n", F.col("doc").isNull().alias("free")).agg(F.count(F.lit(1)).alias("c")).collect()  # 2 * (width + 2) rows at most
+    widths = sorted({r["_n"] for r in kinds if r["_n"] > 0})
     # A lambda binds the words, so that a text is split once and not for each of them.
-    keys = F.transform(F.array(F.split(norm, " ", -1)), lambda ws: F.concat(*[_runs(ws, n) for n in widths]) if widths else F.array().cast("array<bigint>"))
+    keys = F.transform(F.array(F.split(norm, " ", -1)), lambda ws: F.concat(F.array().cast("array<bigint>"), *[_runs(ws, n) for n in widths]))
     keyed = texts.select("doc", "place", F.explode(F.array_distinct(F.element_at(keys, 1))).alias("_k"))
-    inner = needles.where("_n > 0").select("needle_id", "doc", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))).alias("_k"))
-    named, free = inner.where("doc is not null"), inner.where("doc is null").drop("doc")
-    short = needles.where("_n <= 0").select("needle_id", "doc", F.col("norm").alias("_s"))
-    hit = keyed.join(named, ["doc", "_k"]).select("doc", "place", "needle_id")
-    hit = hit.unionByName(texts.join(short.where("doc is not null").select("needle_id", "doc"), "doc").select("doc", "place", "needle_id"))
-    if (n := needles.where("doc is null").count()) > 0:
-        sent = F.broadcast(free) if n <= MOST_SENT else free
-        hit = hit.unionByName(keyed.join(sent, "_k").select("doc", "place", "needle_id"))
-        anywhere = short.where("doc is null").drop("doc")
-        hit = hit.unionByName(texts.join(anywhere, F.contains(norm, F.col("_s"))).select("doc", "place", "needle_id"))
-    full = hit.distinct().join(texts, ["doc", "place"]).join(needles.select("needle_id", F.col("norm").alias("_s")), "needle_id")
+    out = ["doc", "place", "needle_id"]
+    hit = texts.limit(0).select("doc", "place").join(needles.limit(0).select("needle_id"), F.lit(False)) if not kinds else None
+    for free in (False, True):
+        mine = needles.where(F.col("doc").isNull() if free else F.col("doc").isNotNull())
+        sent = F.broadcast if sum(r["c"] for r in kinds if r["free"] == free) <= MOST_SENT else lambda df: df
+        found = []
+        if any(r["_n"] > 0 for r in kinds if r["free"] == free):
+            inner = mine.where("_n > 0").select("needle_id", "doc", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))).alias("_k"))
+            found.append(keyed.join(sent(inner.drop("doc") if free else inner), ["_k"] if free else ["doc", "_k"]))
+        if any(r["_n"] <= 0 for r in kinds if r["free"] == free):
+            short = mine.where("_n <= 0").select("needle_id", "doc", F.col("norm").alias("_s"))
+            found.append(texts.join(short.drop("doc"), F.contains(norm, F.col("_s"))) if free else texts.join(short, "doc"))
+        for rows in found:
+            hit = rows.select(*out) if hit is None else hit.unionByName(rows.select(*out))
+    hit = cut(hit.distinct())
+    few = F.broadcast(hit) if hit.count() <= MOST_SENT else hit
+    full = texts.join(few, ["doc", "place"]).join(needles.select("needle_id", F.col("norm").alias("_s")), "needle_id")
     return full.where(F.contains(norm, F.col("_s"))).select("doc", "needle_id", "place")
 
 

@@ -15,6 +15,13 @@ from ..operators.graph import ENTITY, GraphTables
 from .pack import COMPLIANCE, LITERATURE, REGULATORY, THEMATIC
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts take long work per row. A file that gives fewer tasks than there are cores is dealt out first; a large
+    table has enough tasks and is not shuffled."""
+    rows, n = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,8 +108,8 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ingest import anchored
 
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("needle_id"), F.lit(None).cast("string").alias("doc"), normalize_for_match("text").alias("norm"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("place"), "text")
-    return anchored(items, texts).select(F.col("doc").alias("doc_id"), F.col("needle_id").alias("item_id")).distinct()
+    docs = texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("place"), "text")
+    return anchored(items, docs).select(F.col("doc").alias("doc_id"), F.col("needle_id").alias("item_id")).distinct()
 
 
 def literature(spark: SparkSession, sf_dir: str) -> GraphTables:

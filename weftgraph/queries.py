@@ -15,7 +15,7 @@ from .functions import text as fx
 from .operators import approval, browse, curate, graph, ingest, lint
 from .operators import pattern as pt
 from .plans import mapping, questions
-from .plans.mapping import ref, table
+from .plans.mapping import ref, table, texts
 from .plans.pack import PACKS, THEMATIC, class_closure, props_table
 from .sources import readers, writers
 from .sources.shared import shared_dir
@@ -78,7 +78,7 @@ def find_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.chunk_documents(table(spark, d, "documents"), 2000, whole=True)
+    return ingest.chunk_documents(texts(spark, d), 2000, whole=True)
 
 
 @register()
@@ -127,7 +127,7 @@ def render_requests(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def render_chunk_requests(spark: SparkSession, d: str) -> DataFrame:
     """One request per chunk of each document, so that every part of a text is in a request."""
-    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    docs = texts(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
     chunks = ingest.chunk_documents(docs, THEMATIC.window_chars, whole=True)
     return ingest.render_requests(chunks, THEMATIC).select("chunk_doc_id", "system", F.sha2("user", 256).alias("user_sha"))
 
@@ -197,13 +197,13 @@ NORM = "trim(regexp_replace(regexp_replace(lower({}), '[‘’“”`''\"]+', ''
 
 @register(f"SELECT doc_id, sha256({NORM.format('text')}) AS norm_sha FROM documents")
 def normalize_for_match(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2(fx.normalize_for_match("text"), 256).alias("norm_sha"))
+    return texts(spark, d).select("doc_id", F.sha2(fx.normalize_for_match("text"), 256).alias("norm_sha"))
 
 
 def page_table(spark: SparkSession, d: str, size: int = 1000) -> DataFrame:
     """Documents as pages of ``size`` characters."""
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / size)).cast("int")
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("page_no"), F.substring("text", (i - 1) * size + 1, F.lit(size)).alias("page_text"))).alias("ps"))
+    docs = texts(spark, d).select(F.col("doc_id").cast("string").alias("doc"), F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("page_no"), F.substring("text", (i - 1) * size + 1, F.lit(size)).alias("page_text"))).alias("ps"))
     return docs.select("doc", F.inline("ps"))
 
 
