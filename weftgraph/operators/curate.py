@@ -226,13 +226,40 @@ def merge_roots(merges: DataFrame) -> DataFrame:
         valid = new.select("removed", "kept")
 
 
+#: A link inside a text (fixed value).
+LINK = r"\[\[(.+?)\]\]"
+
+
+def rewrite_links(rows: DataFrame, roots: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with the links ``[[removed]]`` inside ``text_col`` pointing to the kept id of ``roots`` (removed, kept). Texts without a link
+    aren't shuffled; of the others, equal texts are looked up once."""
+    has = F.coalesce(F.col(text_col).rlike(LINK), F.lit(False))
+    linked = rows.where(has).withColumn("_t", F.xxhash64(text_col))
+    ids = F.transform(F.regexp_extract_all(text_col, F.lit(LINK), F.lit(1)), lambda x: F.trim(x))
+    named = linked.select("_t", F.explode(F.array_distinct(ids)).alias("removed")).distinct().join(roots.select("removed", "kept"), "removed")
+    maps = named.groupBy("_t").agg(F.map_from_entries(F.collect_list(F.struct("removed", "kept"))).alias("_to"))
+    whole, between = F.regexp_extract_all(text_col, F.lit(LINK), F.lit(0)), F.split(text_col, LINK, -1)
+
+    def piece(s: Column, i: Column) -> Column:
+        kept = F.try_element_at(F.col("_to"), F.get(ids, i))
+        return F.concat(s, F.coalesce(F.concat(F.lit("[["), kept, F.lit("]]")), F.get(whole, i), F.lit("")))
+
+    new = F.when(F.col("_to").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(between, piece), ""))
+    done = linked.join(maps, "_t", "left").withColumn(text_col, new).select(*rows.columns)
+    return rows.where(~has).unionByName(done)
+
+
 def apply_merges(entities: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, edges) after merges: links to removed ids go to the kept ones, removed rows and their own links go.
+    """(entities, edges) after merges: links to removed ids go to the kept ones, in edges and inside the texts (source_text and body, where
+    there are such columns); removed rows and their own links go.
 
     A removed entity's properties are dropped, not moved. A kept entity that linked to the removed one now links to itself.
     A few hot targets don't hurt: the map of merges has a row per removed id, so each edge meets at most one."""
     roots = merge_roots(merges)
-    left = entities.join(roots.select(F.col("removed").alias("id")), "id", "left_anti")
+    left = entities.join(roots.select(F.col("removed").alias("id")), "id", "left_anti").select(*entities.columns)
+    for text_col in ("source_text", "body"):
+        if text_col in left.columns:
+            left = rewrite_links(left, roots, text_col)
     moved = edges.join(roots.select(F.col("removed").alias("dst"), F.col("kept").alias("_to")), "dst", "left").select("src", "prop", F.coalesce("_to", "dst").alias("dst"))
     return left, moved.join(roots.select(F.col("removed").alias("src")), "src", "left_anti").select("src", "prop", "dst").distinct()
 

@@ -83,9 +83,20 @@ def find_boundaries(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"pos": p, "kind": k, "priority": n} for p, k, n in boundaries(t or "")])
 
 
-@F.pandas_udf(T.StringType())
-def section_hint(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: hint(t or ""))
+def section_hint(text: Column | str) -> Column:
+    """``hint`` as column functions: the first speaker, time or heading line of the first 500 characters, else the first words."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    ends = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+    bare = lambda c: F.regexp_replace(c, ends, "")
+    head = F.substring(text, 1, 500)
+    speaker, time = (F.regexp_extract(head, p.pattern, 0) for p in (SPEAKER, TIMESTAMP))
+    begin = F.regexp_instr(head, F.lit(HEADING.pattern))
+    rest = F.substring(text, begin, F.length(text))
+    line = F.when(F.contains(rest, F.lit("\n")), F.substring_index(rest, "\n", 1)).otherwise(F.substring(rest, 1, 120))
+    words = F.array_join(F.slice(F.split(bare(text), r"(?U)[\s\x1c-\x1f]+", 9), 1, 8), " ")
+    first = F.when(F.length(words) <= 80, words).otherwise(F.concat(F.substring(words, 1, 80), F.lit("…")))
+    named = bare(F.regexp_replace(bare(speaker), ":+$", ""))
+    return F.when(speaker != "", named).when(time != "", bare(time)).when(begin > 0, bare(line)).otherwise(first)
 
 
 def chunk_documents(docs: DataFrame, max_chars: int, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:

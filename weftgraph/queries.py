@@ -18,7 +18,7 @@ from .plans import mapping, questions
 from .plans.mapping import ref, table, texts
 from .plans.pack import PACKS, THEMATIC, class_closure, props_table
 from .sources import readers, writers
-from .sources.shared import shared_dir
+from .sources.shared import cut, remove, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -55,10 +55,17 @@ def inbox_profile(spark: SparkSession, d: str) -> DataFrame:
     return readers.inbox_profile(inbox(spark, d), 2000)
 
 
-@register("""SELECT doc_id, suffix, size_bytes FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.md' ELSE '.txt' END AS suffix,
-  CAST(strlen(text) AS BIGINT) AS size_bytes FROM documents) WHERE suffix IN ('.txt', '.md', '.markdown', '.vtt', '.srt')""")
+@register("SELECT CAST(doc_id AS VARCHAR) AS doc_id, '.txt' AS suffix, sha256(text) AS text_sha FROM documents")
 def read_documents(spark: SparkSession, d: str) -> DataFrame:
-    return inbox(spark, d).where(F.col("suffix").isin(*readers.SUFFIXES)).select("doc_id", "suffix", "size_bytes")
+    """Texts written as files of up to 500 lines each, read as documents, whole, and taken apart again."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    lines = texts(spark, d).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "text")).alias("value"))
+    lines.write.option("maxRecordsPerFile", 500).text(path)
+    rows = readers.read_documents(spark, path).select("suffix", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    parsed = rows.select("suffix", F.from_json("line", "doc_id string, text string").alias("x"))
+    out = cut(parsed.select("x.doc_id", "suffix", F.sha2("x.text", 256).alias("text_sha")))
+    remove(spark, path)
+    return out
 
 
 @register("""WITH s AS (SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN 'Interview' WHEN 1 THEN ' INTERVIEW - ' WHEN 2 THEN 'my interview_' ELSE c_mktsegment || '_' END || c_custkey || ' ' AS stem FROM customer)
@@ -402,10 +409,11 @@ def bind_if_bound(spark: SparkSession, d: str) -> DataFrame:
     return pt.optional(pt.triple_pattern(t, "?issuer", "reg:tickerSymbol", "?ticker"), first).select("issuer", pt.if_bound("date", "ticker").alias("shown"))
 
 
-@register("SELECT 'rege:iss_' || c_custkey AS issuer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SELECT 'rege:iss_' || c_custkey AS issuer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
 def minus_not_exists(spark: SparkSession, d: str) -> DataFrame:
     t = reg(spark, d)
-    return pt.minus(pt.triple_pattern(t, "?issuer", "rdf:type", "reg:Issuer"), pt.triple_pattern(t, "?filing", "reg:filedBy", "?issuer").select("issuer"))
+    filed = pt.triple_pattern(t, "?filing", "reg:filedBy", "?issuer").where(F.regexp_extract("filing", r"(\d+)$", 1).cast("bigint") % 3 == 0)
+    return pt.minus(pt.triple_pattern(t, "?issuer", "rdf:type", "reg:Issuer"), filed.select("issuer"))
 
 
 @register("SELECT 'sup_' || s_suppkey AS src, 'nat_' || s_nationkey AS dst FROM supplier UNION SELECT 'nat_' || n_nationkey, 'reg_' || n_regionkey FROM nation UNION SELECT 'sup_' || s_suppkey, 'reg_' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -524,12 +532,14 @@ def entities_to_literals(spark: SparkSession, d: str) -> DataFrame:
     return graph.entities_to_literals(clean(spark, d), THEMATIC)
 
 
-@register(f"""WITH {VAULT} SELECT p, count(*) AS n, count(DISTINCT o) AS objects FROM (SELECT 'rdf:type' AS p, id AS s, CASE WHEN class IN ('Theme', 'Subtheme', 'Code', 'Excerpt') THEN class ELSE 'Theme' END AS o FROM g
-  UNION ALL SELECT 'rdfs:label', id, label FROM g UNION ALL SELECT 'dcterms:source', id, source_section FROM g WHERE source_section <> ''
-  UNION ALL SELECT DISTINCT 'tha:' || prop, id, value FROM gp WHERE prop <> 'mood' AND (value <> id OR prop = 'spokenBy')) GROUP BY p""")
+@register(f"""WITH {VAULT}, t AS (SELECT id AS s, 'rdf:type' AS p, 'tha:' || CASE WHEN class IN ('Theme', 'Subtheme', 'Code', 'Excerpt') THEN class ELSE 'Theme' END AS o, 'iri' AS o_kind FROM g
+  UNION ALL SELECT id, 'rdfs:label', label, 'lit' FROM g UNION ALL SELECT id, 'dcterms:source', source_section, 'lit' FROM g WHERE source_section <> ''
+  UNION ALL SELECT id, 'skos:definition', rtrim('text of ' || label), 'lit' FROM g
+  UNION ALL SELECT DISTINCT id, 'tha:' || prop, CASE WHEN prop = 'spokenBy' THEN value ELSE 'thae:' || value END, CASE WHEN prop = 'spokenBy' THEN 'lit' ELSE 'iri' END FROM gp WHERE prop <> 'mood' AND (value <> id OR prop = 'spokenBy'))
+  SELECT 'thae:' || s AS s, p, o, o_kind FROM t""")
 def entities_to_triples(spark: SparkSession, d: str) -> DataFrame:
-    t = graph.graph_of(clean(spark, d).drop("source_text").withColumn("source_text", F.lit("")), THEMATIC).triples()
-    return t.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o").alias("objects"))
+    told = clean(spark, d).withColumn("source_text", F.concat(F.lit("  text\nof "), "label", F.lit(" ")))
+    return graph.graph_of(told, THEMATIC).triples().select("s", "p", "o", "o_kind")
 
 
 # ---- browse ------------------------------------------------------------------------------------------------------
@@ -882,10 +892,6 @@ def findings_json(spark: SparkSession, d: str) -> DataFrame:
     return writers.as_json(findings(spark, d).select("severity", "rule", "entity_id", "file"))
 
 
-def _shared(spark: SparkSession) -> str:
-    return shared_dir(spark)
-
-
 @register(f"WITH {VAULT} SELECT regexp_replace(lower(id), '[^a-z0-9_]', '_', 'g') || '.md' AS file, class, id, label FROM g")
 def read_vault(spark: SparkSession, d: str) -> DataFrame:
     """Records rendered as Markdown and parsed again."""
@@ -898,11 +904,13 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Transcripts written as files, streamed through the ingest once, and read back."""
     from .streaming import inbox as stream
 
-    base = f"{_shared(spark)}/ingest-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     lines = table(spark, d, "conversations").where(F.regexp_like("text", F.lit(r"\S"))).select(F.concat(F.col("role"), F.lit(": "), F.trim(F.regexp_replace("text", r"[:\s]+", " "))))
     lines.write.text(f"{base}/inbox")
     stream.start(spark, f"{base}/inbox", f"{base}/out", f"{base}/state", ingest.rule_extractor, THEMATIC, once=True).awaitTermination()
-    return stream.current_entities(spark, f"{base}/out").groupBy(F.get("properties.spokenBy", F.lit(0)).alias("speaker")).agg(F.count(F.lit(1)).alias("n"))
+    out = cut(stream.current_entities(spark, f"{base}/out").groupBy(F.get("properties.spokenBy", F.lit(0)).alias("speaker")).agg(F.count(F.lit(1)).alias("n")))
+    remove(spark, base)
+    return out
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import derive_doc_id
 from ..operators.graph import ENTITY
-from ..operators.ingest import chunk_documents, extract_entities
+from ..operators.ingest import chunk_documents, extract_entities, locate_evidence, locate_page
 from ..plans.pack import Pack
 from ..sources.readers import SUFFIXES, file_name, stem
 
@@ -48,20 +48,42 @@ def guarded(extractor: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.D
     return run
 
 
-def ingest_batch(docs: DataFrame, batch_id: int, out: str, extractor: Callable[[pd.DataFrame], pd.DataFrame], pack: Pack) -> None:
+def form_feed_pages(docs: DataFrame) -> DataFrame:
+    """(doc, page_no, page_text) of the documents that have pages: texts with form feeds between them, as PDF converters write. A text without
+    a form feed has no pages."""
+    paged = docs.where(F.contains("text", F.lit("\f")))
+    rows = paged.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\f", -1)).alias("page_no", "page_text"))
+    return rows.withColumn("page_no", F.col("page_no") + 1)
+
+
+def with_pages(entities: DataFrame, pages: DataFrame) -> DataFrame:
+    """``entities`` with source_page where their source_text is found on a page of their document; others keep what they have."""
+    key = F.xxhash64("source_document", "source_text")
+    needles = entities.where("source_text <> ''").select(key.alias("needle_id"), F.col("source_document").alias("doc"), F.col("source_text").alias("snippet"))
+    found = locate_page(needles.dropDuplicates(["needle_id"]), pages).where("page_no is not null")
+    placed = entities.withColumn("_k", key).join(found.select(F.col("needle_id").alias("_k"), "page_no"), "_k", "left")
+    return placed.withColumn("source_page", F.coalesce("page_no", "source_page")).select(*entities.columns)
+
+
+def ingest_batch(docs: DataFrame, batch_id: int, out: str, extractor: Callable[[pd.DataFrame], pd.DataFrame], pack: Pack, style: str = "default") -> None:
     """One micro-batch into ``out``: entities, submissions (documents with entities), quarantine (documents that failed, with the
-    error) and waiting (documents without entities), each under this batch's id."""
+    error), waiting (documents without entities) and evidence (where the texts of entities with a page stand on it, by the search variants of
+    ``style``), each under this batch's id."""
     chunks = chunk_documents(docs, pack.window_chars, whole=True)
     found = extract_entities(chunks, guarded(extractor), f"{ENTITY}, error string").cache()
     bad = found.where("error is not null").select(F.col("source_document").alias("doc_id"), "error").dropDuplicates(["doc_id"])
     good = found.where("error is null").drop("error").join(bad.select(F.col("doc_id").alias("source_document")), "source_document", "left_anti")
+    pages = form_feed_pages(docs)
+    good = with_pages(good, pages).cache()
+    evidence = locate_evidence(good, pages, style)
     counts = good.groupBy(F.col("source_document").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_entities"), F.array_sort(F.collect_set("file")).alias("files"))
     stamped = docs.select("doc_id", "file", "modified").dropDuplicates(["doc_id"])
     submitted = stamped.join(counts, "doc_id").select("doc_id", F.col("file").alias("source_file"), "modified", "n_entities", "files", F.lit("PENDING").alias("status"))
     waiting = stamped.join(counts, "doc_id", "left_anti").join(bad, "doc_id", "left_anti")
     dated = good.join(stamped.select(F.col("doc_id").alias("source_document"), "modified"), "source_document")
-    for name, rows in (("entities", dated), ("submissions", submitted), ("quarantine", stamped.join(bad, "doc_id")), ("waiting", waiting)):
+    for name, rows in (("entities", dated), ("submissions", submitted), ("quarantine", stamped.join(bad, "doc_id")), ("waiting", waiting), ("evidence", evidence)):
         rows.withColumn("seq", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+    good.unpersist()
     found.unpersist()
 
 
