@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontam, language, line_dedup, mixing, neardup
-from weftgraph.llm.common import cut, shared_dir, table
+from weftgraph.llm.common import cut, remove, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its language's score is lower: no word, or hardly any, tells a language. Of 2,499 held-out rows none is lower.
@@ -80,10 +80,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage is written to the shared folder, and removed once the next one is."""
+    docs, done = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if done:
+            remove(spark, done)
+        docs, done = spark.read.parquet(path), path
     return docs
