@@ -40,7 +40,10 @@ def _block(n: int) -> int:
     return (n + 1) // 2
 
 
-def _hash_set(windows: DataFrame, lengths: list[int]) -> bytearray:
+def _hash_set(windows: DataFrame, lengths: list[int]) -> bytes:
+    """A byte per slot, 1 where a gram of a window falls. Spark sets the slots as bits; the driver gets at most ``MOST_SLOTS`` / 32,768 bitmaps
+    of 4 kB, however large the benchmark is."""
+
     def grams(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.lit(n - _block(n) + 1)), lambda i: F.xxhash64(F.slice(F.split("w", " "), i, _block(n))))
 
@@ -52,11 +55,16 @@ def _hash_set(windows: DataFrame, lengths: list[int]) -> bytearray:
     count = hashes.count()
     while slots < min(16 * count, MOST_SLOTS):
         slots *= 2
-    probes = hashes.select(F.explode(F.array(F.pmod("h", F.lit(slots)), F.pmod(F.shiftrightunsigned("h", 24), F.lit(slots)))).alias("at")).distinct()
+    probes = hashes.select(F.explode(F.array(F.pmod("h", F.lit(slots)), F.pmod(F.shiftrightunsigned("h", 24), F.lit(slots)))).alias("at"))
+    at = F.col("at") + 1
+    bits = probes.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     table = bytearray(slots)
-    for row in probes.toLocalIterator():  # at most MOST_SLOTS small numbers
-        table[row["at"]] = 1
-    return table
+    for row in bits.collect():
+        n = 8 * len(row["bits"])
+        own = f"{int.from_bytes(row['bits'], 'little'):0{n}b}"[::-1].encode().translate(bytes.maketrans(b"01", b"\x00\x01"))
+        begin = (row["part"] - 1) * n
+        table[begin : begin + n] = own[: slots - begin]
+    return bytes(table)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -70,7 +78,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: st
     windows = cut(item_windows(benchmark, width, item_col, item_text_col))
     sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most ``width`` rows
     lengths = sorted(sizes)
-    known = F.lit(bytes(_hash_set(windows, lengths)))
+    known = F.lit(_hash_set(windows, lengths))
     slots = F.octet_length(known)
     n = F.size("ws")
     one = F.lit(b"\x01")
