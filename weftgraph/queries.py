@@ -904,7 +904,14 @@ def triple_lines(spark: SparkSession, d: str) -> DataFrame:
     return writers.triple_lines(reg(spark, d), PACKS["regulatory"])
 
 
-@register()
+@register(f"""WITH {VAULT}, pr AS (SELECT file, string_agg(chr(10) || '  ' || prop || ': "' || CASE WHEN prop = 'spokenBy' THEN value ELSE '[[' || value || ']]' END || '"', ''
+      ORDER BY list_position(['codedAs', 'supportsTheme', 'spokenBy', 'mood', 'hasSubtheme'], prop)) AS listed FROM gp GROUP BY file),
+  w AS (SELECT g.*, coalesce(text, '') AS body, listed, regexp_replace(lower(id), '[^a-z0-9_]', '_', 'g') AS slug FROM g LEFT JOIN documents ON i = doc_id LEFT JOIN pr USING (file)),
+  j AS (SELECT *, CAST(to_json(class) AS VARCHAR) AS jc, CAST(to_json(id) AS VARCHAR) AS ji, CAST(to_json(label) AS VARCHAR) AS jl, CAST(to_json(source_document) AS VARCHAR) AS jd, CAST(to_json(source_section) AS VARCHAR) AS js, CAST(to_json(body) AS VARCHAR) AS jt FROM w)
+  SELECT slug || '.md' AS file, replace('---~class: ' || jc || '~id: ' || ji || '~label: ' || jl || '~uri: "https://ontology.example.org/thematic/entity/' || id || '"~source_document: ' || jd || '~source_section: ' || js
+    || CASE WHEN i IS NULL THEN '' ELSE '~source_page: 1' END || '~source_text: ', '~', chr(10)) || jt || chr(10) || CASE WHEN listed IS NULL THEN 'properties: {{}}' ELSE 'properties:' || listed END
+    || replace('~validation: PENDING~---~~## ' || label || '~~**Class:** `tha:' || class || '`~**Source:** ' || CASE WHEN i IS NULL THEN source_section || ' — ' || source_document ELSE '[' || source_section || ' — page 1](evidence/' || id || '.pdf#page=1)' END || '~~> ', '~', chr(10))
+    || body || replace('~~*Extracted automatically. Review before merging.*~', '~', chr(10)) AS markdown FROM j""")
 def entity_markdown(spark: SparkSession, d: str) -> DataFrame:
     return writers.entity_markdown(clean(spark, d), THEMATIC)
 
