@@ -111,9 +111,9 @@ def test_requests_hold_whole_documents(spark, tmp_path):
 
 
 def test_variants(spark):
-    df = spark.createDataFrame([("P03 [00:14:22]: 'I felt completely shut out of all of it, and nobody told me'",), ("short",), (None,)], "t string")
+    df = spark.createDataFrame([("P07 [01:02:33]: 'We carried every box up the hill twice, and only then did it rain'",), ("short",), (None,)], "t string")
     thematic, default = (df.select(fx.search_variants("t", s).alias("v")).collect() for s in ("thematic", "default"))
-    assert thematic[0]["v"][0].startswith("I felt completely") and len(thematic[0]["v"]) == 3
+    assert thematic[0]["v"][0].startswith("We carried every") and len(thematic[0]["v"]) == 3
     assert thematic[1]["v"] == [] and default[2]["v"] == []
 
 

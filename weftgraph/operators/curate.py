@@ -166,6 +166,7 @@ def proposal_counts(proposals: DataFrame) -> DataFrame:
 def payload_summary() -> Column:
     """One English line on what a proposal does."""
     none = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    # The lines' wording is part of the output.
     lines = {
         "merge_entities": F.format_string("Keep `%s`, remove `%s`.", none("kept_id"), none("removed_id")),
         "group_codes": F.format_string("New Subtheme '%s' under `%s` (%d member code(s)).", none("new_subtheme_label"), none("parent_theme_id"), F.size(F.coalesce("member_code_ids", F.array().cast("array<string>")))),

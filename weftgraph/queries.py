@@ -344,6 +344,7 @@ def predicate_map(spark: SparkSession, d: str) -> DataFrame:
     g = mapping.regulatory(spark, d)
     dims = props_table(spark, g.pack).select(F.col("name").alias("prop"), "domain")
     counts = g.edges.groupBy("prop").agg(F.count(F.lit(1)).alias("n"))
+    # The pack's properties: a row for each.
     return counts.join(F.broadcast(dims), "prop").select("domain", graph.predicate(g.pack, "prop").alias("predicate"), "n")
 
 

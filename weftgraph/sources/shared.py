@@ -65,4 +65,5 @@ def numbered(df: DataFrame, by: str, name: str, first: int = 1) -> DataFrame:
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_range", before.alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    # One row per range, of which there are spark.sql.shuffle.partitions.
     return dealt.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_before") + place + (first - 1)).cast("bigint")).drop("_range", "_before")
