@@ -48,6 +48,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3,
     # Hashes at the ends of ranges may go on in others: their documents over all ranges.
     ends = ranges.groupBy("pid").agg(F.min(F.struct("h", "g")).alias("lo"), F.max(F.struct("h", "g")).alias("hi"))
     edge = ends.select(F.explode(F.array("lo", "hi")).alias("e")).select("e.*").distinct()
+    # Two rows a range, and ``n`` ranges: what is broadcast here grows with the number of partitions, not with the input.
     docs_of = ranges.join(F.broadcast(edge), ["h", "g"]).select("h", "g", "doc_id").distinct()
     totals = cut(docs_of.groupBy("h", "g").agg(F.count(F.lit(1)).alias("total"), F.max("doc_id").alias("last")))
     judged = swept.join(F.broadcast(totals), ["h", "g"], "left").where(

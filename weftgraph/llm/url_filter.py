@@ -50,6 +50,7 @@ def prefix_sweep(keys: DataFrame, starts: DataFrame) -> DataFrame:
     carry = ends.select("pid", F.last("last", True).over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
     sweep = Window.partitionBy("pid").orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.select("pid", "k", "kind", F.last("stack", True).over(sweep).alias("top")).where("kind = 1")
+    # One row per range: ``n`` at most.
     top = swept.join(F.broadcast(carry), "pid").select("k", F.coalesce("top", "carry").alias("top"))
     return top.select("k", F.filter("top", lambda s: F.col("k").startswith(s)).alias("stack")).where(F.size("stack") > 0)
 
