@@ -43,7 +43,9 @@ def _marks() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
-WORDS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_marks()}])*")
+MARK = re.compile(f"[{_marks()}]")
+#: Words of a text without a combining mark, and of any.
+PLAIN_WORDS, WORDS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_](?:[^\W\d_]|{MARK.pattern})*")
 #: First code points of script ranges and their names (fixed values).
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
 _STARTS = np.array([x for x, _ in SCRIPTS])
@@ -51,7 +53,15 @@ _NAMES = np.array([x for _, x in SCRIPTS])
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(unicodedata.normalize("NFC", text).lower())
+    text = unicodedata.normalize("NFC", text).lower()
+    return (WORDS if not text.isascii() and _marked(text) else PLAIN_WORDS).findall(text)
+
+
+def _marked(text: str) -> bool:
+    """Whether a text has a combining mark; the first of them is U+0300."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    high = np.unique(codes[codes >= 0x300])
+    return len(high) > 0 and MARK.search("".join(map(chr, high.tolist()))) is not None
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,19 +245,18 @@ def confidence(scores: np.ndarray, sizes: np.ndarray, labels: np.ndarray, length
     n, k = len(lengths), scores.shape[1]
     doc = np.repeat(np.arange(n), lengths)
     told = scores.any(1)  # a word of a script that no language uses has no score
-    mass = np.zeros((n, k))
-    np.add.at(mass, (doc[told], labels[told]), sizes[told])
+    mass = np.bincount(doc[told] * k + labels[told], sizes[told], n * k).reshape(n, k).astype(float)
     top = mass.argmax(1)
     letters = np.bincount(doc, sizes, n)
     share = mass[np.arange(n), top] / np.maximum(letters, 1)
     own = told & (labels == top[doc])
     if k == 1:
         return top, share
-    sums = np.zeros((n, k))
-    np.add.at(sums, doc[own], scores[own])
+    at, told_own = doc[own], scores[own]
+    sums = np.stack([np.bincount(at, told_own[:, x], n) for x in range(k)], 1).astype(float)  # no word gives whole numbers
     best = sums[np.arange(n), top].copy()
     sums[np.arange(n), top] = -np.inf
-    margin = (best - sums.max(1)) / np.maximum(np.bincount(doc[own], minlength=n), 1)
+    margin = (best - sums.max(1)) / np.maximum(np.bincount(at, minlength=n), 1)
     return top, share * (1 - np.exp(-np.maximum(margin, 0.0) / TAU))
 
 
