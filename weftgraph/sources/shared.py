@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -9,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Checkpoint folders of applications of this process, each to be removed once when it ends.
+_OWN: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode (tests on one machine), a
@@ -22,9 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
         set_dir = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(set_dir)
+    own = sc.getCheckpointDir()  # a folder of this application's own under the shared one
+    if own not in _OWN:
+        _OWN.add(own)
+        _remove_at_exit(spark, own)
     return set_dir
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Results are read lazily, so what holds them can go only when the program does."""
+
+    def go() -> None:
+        # A JVM that is gone already can't be asked; its cluster's own clean-up of the shared folder is all that is left then.
+        with contextlib.suppress(Exception):
+            remove(spark, path)
+
+    atexit.register(go)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: the lineage ends, later uses don't compute it
     again, and a lost executor costs no recomputation."""
@@ -33,11 +53,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Written tables of one run, in a folder of their own under the shared one; ``drop`` removes them all."""
+    """Written tables of one run, in a folder of their own under the shared one; ``drop`` removes them all. Used as a context, it drops them
+    at the end of its block, also when the run fails."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        self.drop()
+
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet and read back: as ``cut``, but columnar and removable."""
         self.n += 1
@@ -45,6 +72,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` written beside the run's folder, where it stays until the session's program ends."""
+        path = f"{self.path}-result"
+        _remove_at_exit(self.spark, path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self) -> None:
         remove(self.spark, self.path)
 
