@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, line_dedup, mixing, neardup, pii, spotsigs, url_filter, warc
+from . import chat, decontam, language, line_dedup, mixing, neardup, pii, runs, simhash, spotsigs, trie, url_filter, warc
 from .common import table
 
 
@@ -77,6 +77,58 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by the CRC-32 of its id, repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = (h / 10).cast("bigint")
+
+    def repeated(ws: Column) -> Column:
+        n = F.size(ws)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, a + (i - a) % p))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    bound = F.get(F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, repeated(ws))), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(bound, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): each conversation with its first 0 to 3 turns, by the CRC-32 of its id, taken from the conversation with the
+    last id up to its own that 20 divides, where there is one."""
+    own = trie.ordered(turns)
+    h = F.crc32(F.col("conv_id").cast("string")) % 4
+    heads = own.where(F.pmod("conv_id", F.lit(20)) == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    met = own.withColumn("base", F.col("conv_id") - F.pmod("conv_id", F.lit(20))).join(heads, "base", "left")
+    head = F.coalesce(F.slice("head", F.lit(1), h.cast("int")), F.slice("turns", 1, 0))
+    return met.select("conv_id", F.concat(head, F.slice("turns", h.cast("int") + 1, F.size("turns"))).alias("turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(rebuilt(table(spark, sf_dir, "conversations"))).select(*trie.NODE)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +136,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mix_sources, op2_url_filter, op3_decontamination, op4_spotsigs, op5_warc, op6_neardup, op7_chat_format, op8_pii, op9_language, op10_line_dedup, pipeline)
+    named = (op1_mix_sources, op2_url_filter, op3_decontamination, op4_spotsigs, op5_warc, op6_neardup, op7_chat_format, op8_pii, op9_language, op10_line_dedup, op11_simhash, op12_runs, op13_prefix_trie, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -133,7 +185,36 @@ OP10_SQL = r"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10
   j AS (SELECT l.*, k.key IS NULL OR last = doc_id AS keep FROM l LEFT JOIN k USING (key))
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
 
+#: CRC-32 of a string of ASCII characters, bit by bit.
+CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split({}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+OP12_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {CRC32.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+  v AS (SELECT *, len(ws) AS n, (h // 10) % len(ws) AS a, 1 + (len(ws) - (h // 10) % len(ws)) // (3 + (h // 10) % 8) AS q FROM d),
+  w AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % q END]) ELSE ws END AS ws FROM v),
+  x AS MATERIALIZED (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(ws) AS w FROM w),
+  e AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+  s AS MATERIALIZED (SELECT doc_id, p AS period, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM e) GROUP BY doc_id, p, k HAVING count(*) + p >= greatest(6, 4 * p)),
+  r AS MATERIALIZED (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.doc_id = s.doc_id AND z.period < s.period AND z.start <= s.start AND z.start + z.length >= s.start + s.length)),
+  g AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256 FROM r GROUP BY doc_id),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS k FROM r) WHERE k = 1),
+  o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+  c AS (SELECT doc_id, sha256(string_agg(w, ' ' ORDER BY i)) AS sha FROM x ANTI JOIN o USING (doc_id, i) GROUP BY doc_id)
+  SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(c.sha, sha256('')) AS collapsed_sha256
+  FROM w LEFT JOIN g USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+OP13_SQL = rf"""WITH t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  c AS (SELECT *, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM t),
+  r AS (SELECT c.conv_id, list_concat(coalesce(b.ts[1:h], []), c.ts[h + 1:]) AS ts FROM c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 20),
+  m AS (SELECT conv_id, len(ts) AS n, d, ts[1:d] AS p FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM r)),
+  g AS MATERIALIZED (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(p[d].t, '[^\x20\x09-\x0D]+')) END AS saved FROM m GROUP BY p, d),
+  k AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+  l AS MATERIALIZED (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k USING (p)),
+  u AS (SELECT p[1:e] AS p, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM l) GROUP BY 1)
+  SELECT l.conv_id, l.d AS depth, o.conv_id AS parent_conv_id, l.n_convs, l.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, l.ends_sha256 FROM l JOIN u USING (p) LEFT JOIN l o ON l.d > 0 AND o.d = l.d - 1 AND o.p = l.p[1:l.d - 1]"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against plain Python, round trips or held-out rows."""
-    return {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL, "op6_neardup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op5_warc": OP5_SQL, "op6_neardup": OP6_SQL, "op7_chat_format": OP7_SQL, "op10_line_dedup": OP10_SQL, "op12_runs": OP12_SQL, "op13_prefix_trie": OP13_SQL}
