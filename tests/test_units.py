@@ -7,6 +7,7 @@ import datetime
 import hashlib
 import random
 import re
+import statistics
 
 import pandas as pd
 import pytest
@@ -45,7 +46,9 @@ def test_chunk_rules():
     two = ingest.split_chunks("One is here. Two is here. Three", 19)
     assert [c for _, c, _ in two] == ["One is here", ". Two is here", ". Three"]
     assert [c for _, c, _ in ingest.split_chunks("abcdefghij" * 3, 12)] == ["abcdefghijab", "cdefghijabcd", "efghij"]
-    assert ingest.split_chunks("word" + " " * 50 + "lost", 10) == [(0, "word", "word")]
+    gap = "word" + " " * 50 + "lost"
+    assert ingest.split_chunks(gap, 10, whole=False) == [(0, "word", "word")]
+    assert [c for _, c, _ in ingest.split_chunks(gap, 10)][-1].strip() == "lost"
     with pytest.raises(ValueError):
         ingest.split_chunks("x", 0)
 
@@ -53,8 +56,20 @@ def test_chunk_rules():
 def test_boundaries_keep_the_highest_priority():
     text = "Intro. Words\n\nP03 [00:14]: hi\n(01:02) more\n# Head\nend"
     found = {k: text[p : p + 8] for p, k, _ in ingest.boundaries(text)}
-    assert found["sentence"].startswith(". Words") and found["paragraph"].startswith("\n\n") and found["speaker"].startswith("P03") and found["timestamp"].startswith("(01:02)") and found["heading"].startswith("# Head")
+    assert found["sentence"].startswith(". Words") and found["paragraph"].startswith("\n\n") and found["speaker_turn"].startswith("P03") and found["timestamp"].startswith("(01:02)") and found["heading"].startswith("# Head")
     assert ingest.boundaries("R: one letter is no name") == []
+    assert ingest.boundaries("# Head\nP1: hi") == [(0, "heading", 3), (7, "speaker_turn", 5)]
+
+
+def test_texts_are_dealt_out_by_length(spark):
+    """Long texts stand together at the table's begin; the longest task has less than twice the median's characters, and no row is lost or changed."""
+    rows = [(i, "x" * (20_000 if i < 100 else 0 if i == 100 else 200), None if i % 7 else "c") for i in range(4000)] + [(None, None, "null")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `_n` string").repartitionByRange(3, "doc_id")
+    dealt = ingest.dealt_by_size(df, 8)
+    totals = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).collect()]
+    assert len(totals) == 8 and max(totals) < 2 * statistics.median(totals)
+    assert sorted(map(str, map(tuple, dealt.collect()))) == sorted(map(str, rows)) and dealt.columns == df.columns
+    assert ingest.dealt_by_size(df.limit(0), 4).count() == 0
 
 
 def test_hints():
@@ -145,6 +160,19 @@ def test_needles_of_every_length_are_found(spark):
     assert got == sorted((k, str(i)) for k, (d, n) in needles.items() for i, t in texts.items() if n and n in t and d in (None, str(i)))
 
 
+def test_short_needles_join_by_key(spark):
+    """Needles of one and two words, of one and two characters, and beyond the basic plane, in texts on several lines: no plan compares all pairs."""
+    texts = {1: "alpha beta\ngamma", 2: "zeta al", 3: "\U0001f600\U0001f601x y", 4: "", 5: None, 6: "a", 7: "alpha " * 3000 + "omega"}
+    needles = ["alpha", "pha b", "beta gam", "al", "a", "\U0001f600\U0001f601x", "\U0001f601", "x y", "omega", "nowhere", "qq", "z"]
+    df = spark.createDataFrame([(n, None, n) for n in needles], "needle_id string, doc string, norm string")
+    rows = spark.createDataFrame([(i, 1, t) for i, t in texts.items()], "doc bigint, place int, text string")
+    found = ingest.anchored(df, rows)
+    norm = lambda t: " ".join((t or "").split())
+    assert sorted((r["needle_id"], r["doc"]) for r in found.collect()) == sorted((n, i) for n in needles for i, t in texts.items() if n in norm(t))
+    shown = found._jdf.queryExecution().toString() + ingest._by_grams(df.where("doc is null"), rows, [1, 2, 3], lambda x: x)._jdf.queryExecution().toString()
+    assert "Cartesian" not in shown and "NestedLoop" not in shown
+
+
 def test_short_items_are_cited(spark, tmp_path):
     items = {1: "Alp", 2: "beta gam", 3: "a the z", 4: "One, two three; four", 5: "v w longest x y", 6: "no such words here", 7: "q r s t u v w", 8: "!"}
     texts = {1: "alphabeta gamma the ending", 2: "alpha the zebra one two three fourteen", 3: "v w longest x y", 4: "uv w longest x yes", 5: "q r s t u v w", 6: None, 7: "one two three"}

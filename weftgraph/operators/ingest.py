@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +25,7 @@ TIMESTAMP = re.compile(r"(?m)^[ \t]*[\[\(]\d{1,2}:\d{2}(?::\d{2})?[\]\)]")
 HEADING = re.compile(r"(?m)^[ \t]*(?:#+|§)\s")
 PARAGRAPH = re.compile(r"\n[ \t]*\n")
 SENTENCE = re.compile(r"[\.!?][\"')\]]?\s+(?=[A-Z])")
-KINDS = (("speaker", SPEAKER, 5), ("timestamp", TIMESTAMP, 4), ("heading", HEADING, 3), ("paragraph", PARAGRAPH, 2), ("sentence", SENTENCE, 1))
+KINDS = (("speaker_turn", SPEAKER, 5), ("timestamp", TIMESTAMP, 4), ("heading", HEADING, 3), ("paragraph", PARAGRAPH, 2), ("sentence", SENTENCE, 1))
 MOST_CHUNKS = 1000
 #: Needles, or pairs to be verified, are sent to all tasks up to so many; more are joined by a shuffle.
 MOST_SENT = 200_000
@@ -31,11 +34,12 @@ CHUNK = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()),
 
 
 def boundaries(text: str) -> list[tuple[int, str, int]]:
-    """Where a text may be cut, ascending; of several kinds at a place the one with the highest priority. Place 0 is none."""
+    """Where a chunk may begin, ascending; of several kinds at a place the one with the highest priority. The text's own begin is one
+    if a pattern stands there."""
     best: dict[int, tuple[int, str]] = {}
     for kind, pattern, priority in KINDS:
         for m in pattern.finditer(text):
-            if m.start() > 0 and best.get(m.start(), (0, ""))[0] < priority:
+            if best.get(m.start(), (0, ""))[0] < priority:
                 best[m.start()] = (priority, kind)
     return [(pos, kind, priority) for pos, (priority, kind) in sorted(best.items())]
 
@@ -53,11 +57,11 @@ def hint(text: str) -> str:
     return first if len(first) <= 80 else first[:80] + "…"
 
 
-def split_chunks(text: str | None, max_chars: int, whole: bool = False) -> list[tuple[int, str, str]]:
+def split_chunks(text: str | None, max_chars: int, whole: bool = True) -> list[tuple[int, str, str]]:
     """(index, text, hint) of each chunk: greedy, up to the last boundary within ``max_chars``, a hard cut where there is none.
 
-    A chunk's end is stripped. A chunk of white space only, or the thousandth, ends the document; with ``whole`` neither does:
-    white space is passed over and nothing is lost."""
+    A chunk's end is stripped, and chunks of white space only are passed over, so nothing else is lost. Without ``whole`` such a chunk, or the
+    thousandth, ends the document."""
     if max_chars <= 0:
         raise ValueError("a window takes one character at least")
     text = text or ""
@@ -99,8 +103,9 @@ def section_hint(text: Column | str) -> Column:
     return F.when(speaker != "", named).when(time != "", bare(time)).when(begin > 0, bare(line)).otherwise(first)
 
 
-def chunk_documents(docs: DataFrame, max_chars: int, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """(doc_id, chunk_index, n_chunks, chunk_doc_id, text, section_hint): each document cut in one Arrow call, no shuffle."""
+def chunk_documents(docs: DataFrame, max_chars: int, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
+    """(doc_id, chunk_index, n_chunks, chunk_doc_id, text, section_hint): each document cut in one Arrow call, no shuffle. A table whose long
+    texts stand together is dealt out first (``dealt_by_size``)."""
 
     @F.pandas_udf(CHUNK)
     def split(texts: pd.Series) -> pd.Series:
@@ -110,6 +115,38 @@ def chunk_documents(docs: DataFrame, max_chars: int, id_col: str = "doc_id", tex
     return rows.select("doc_id", "chunk_index", "n_chunks", fx.chunk_doc_id("doc_id", "chunk_index", "n_chunks").alias("chunk_doc_id"), "text", "section_hint")
 
 
+def dealt_by_size(rows: DataFrame, tasks: int, text_col: str = "text") -> DataFrame:
+    """``rows`` in ``tasks`` partitions of about equal total length of ``text_col``, for work that takes as long as its texts.
+
+    Rows keep their order: partitions are ranges of the running total. Each task adds up its own texts from where the ones
+    before end (one row per task meets on the driver), so rows are read twice and shuffled once. A partition has one text more than its share at
+    most. The input must give the same rows in the same partitions when it is read again, as files do; what does not is to be written first. A null
+    text counts as empty."""
+    if tasks < 1:
+        raise ValueError("work takes one task at least")
+    size = F.coalesce(F.length(text_col), F.lit(0)).cast("bigint") + 1
+    totals = rows.select(F.spark_partition_id().alias("p"), size.alias("n")).groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect()
+    starts, total = {}, 0
+    for r in totals:
+        starts[r["p"]], total = total, total + r["n"]
+    names = rows.columns
+    inner = [f"c{i}" for i in range(len(names))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(inner, rows.schema, strict=True)]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            n = np.array(batch.column("_n"), np.int64)
+            begin = done + starts[batch.column("_p")[0].as_py()] + np.cumsum(n) - n if len(n) else n
+            done += int(n.sum())
+            task = pa.array((begin * tasks // total).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(inner)], task], [*inner, "_task"])
+
+    sized = rows.toDF(*inner).withColumns({"_n": (F.coalesce(F.length(inner[names.index(text_col)]), F.lit(0)).cast("bigint") + 1), "_p": F.spark_partition_id()})
+    placed = sized.mapInArrow(place, T.StructType([*fields, T.StructField("_task", T.IntegerType())]))
+    return placed.repartitionById(tasks, "_task").drop("_task").toDF(*names)
+
+
 def pack_turns(turns: DataFrame, max_chars: int, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, window, first_turn, last_turn, n_chars, text): turns in order, as ``role: text`` lines, packed greedily into windows of
     ``max_chars``; a longer turn is a window of its own. A conversation's turns meet in one row, folded inside the JVM."""
@@ -192,38 +229,60 @@ def _runs(words: Column, width: int | Column) -> Column:
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), at)).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Short needles are looked for by runs of so many characters.
+GRAM = 3
+
+
+def _grams(norm: Column, width: int) -> Column:
+    """The distinct runs of ``width`` characters of a text, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?s)(?=({'.' * width}))"), F.lit(1)))
+
+
+def _by_grams(short: DataFrame, texts: DataFrame, widths: list[int], sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc, place, needle_id): the texts that hold the run of ``GRAM`` characters of a short needle (needle_id, norm) that the fewest texts hold; a needle with
+    fewer characters is its own run. Texts give keys only for runs that are in some needle, so what is shuffled does not grow with their length."""
+    n = F.length("norm")
+    own = short.select("needle_id", F.explode(F.when(n >= GRAM, _grams(F.col("norm"), GRAM)).otherwise(F.array("norm"))).alias("gram"))
+    norm = fx.normalize_for_match("text")
+    every = F.flatten(F.transform(F.array(norm), lambda t: F.concat(*[_grams(t, w) for w in widths])))
+    keyed = texts.select("doc", "place", F.explode(every).alias("gram"))
+    held = keyed.join(sent(own.select("gram").distinct()), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    # A run that no text holds is in no needle that one holds.
+    rarest = own.join(sent(held), "gram", "left").groupBy("needle_id").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("m")).where("m.c > 0")
+    return keyed.join(sent(rarest.select("needle_id", F.col("m.gram").alias("gram"))), "gram").select("doc", "place", "needle_id")
+
+
 def anchored(needles: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
     """(doc, needle_id, place): the texts (doc, place, text) that contain a needle (needle_id, doc or null for any, norm) after
     normalisation. ``needle_id`` names a row; a null text contains nothing and an empty needle is nowhere.
 
     A needle's words but the first and last stand as whole words wherever it occurs. So up to ``width`` of them are a join key
     to as many words of a text, together with the document if the needle names one, and ``contains`` verifies the pairs that
-    meet. A needle of one or two words has no inner word: it is looked for in its document's texts, or where it names none in
-    every text. Each text is normalised and split once, and gives at most ``width`` keys per word.
+    meet. A needle of one or two words has no inner word: it is looked for in its document's texts, or where it names none in the texts that
+    hold its rarest run of three characters (``_by_grams``). Each text is normalised and split once, and gives at most ``width`` keys per word;
+    for short needles without a document it is read twice more.
     """
     norm = fx.normalize_for_match("text")
     needles = needles.where("norm <> ''").select("needle_id", "doc", "norm", F.split("norm", " ", -1).alias("_w"))
     needles = needles.withColumn("_n", F.least(F.lit(width), F.size("_w") - 2))
-    kinds = needles.groupBy("_n", F.col("doc").isNull().alias("free")).agg(F.count(F.lit(1)).alias("c")).collect()  # 2 * (width + 2) rows at most
+    free, short_chars = F.col("doc").isNull(), F.when(F.col("doc").isNull() & (F.col("_n") <= 0), F.least(F.length("norm"), F.lit(GRAM)))
+    kinds = needles.groupBy("_n", free.alias("free"), short_chars.alias("chars")).agg(F.count(F.lit(1)).alias("c")).collect()  # few rows: widths and runs
     widths = sorted({r["_n"] for r in kinds if r["_n"] > 0})
     # A lambda binds the words, so that a text is split once and not for each of them.
     keys = F.transform(F.array(F.split(norm, " ", -1)), lambda ws: F.concat(F.array().cast("array<bigint>"), *[_runs(ws, n) for n in widths]))
     keyed = texts.select("doc", "place", F.explode(F.array_distinct(F.element_at(keys, 1))).alias("_k"))
-    out = ["doc", "place", "needle_id"]
-    hit = texts.limit(0).select("doc", "place").join(needles.limit(0).select("needle_id"), F.lit(False)) if not kinds else None
-    for free in (False, True):
-        mine = needles.where(F.col("doc").isNull() if free else F.col("doc").isNotNull())
-        sent = F.broadcast if sum(r["c"] for r in kinds if r["free"] == free) <= MOST_SENT else lambda df: df
-        found = []
-        if any(r["_n"] > 0 for r in kinds if r["free"] == free):
+    found = [texts.sparkSession.createDataFrame([], T.StructType([texts.schema["doc"], texts.schema["place"], needles.schema["needle_id"]]))]
+    for anywhere in (False, True):
+        mine = needles.where(free if anywhere else ~free)
+        sent = F.broadcast if sum(r["c"] for r in kinds if r["free"] == anywhere) <= MOST_SENT else lambda df: df
+        if any(r["_n"] > 0 for r in kinds if r["free"] == anywhere):
             inner = mine.where("_n > 0").select("needle_id", "doc", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))).alias("_k"))
-            found.append(keyed.join(sent(inner.drop("doc") if free else inner), ["_k"] if free else ["doc", "_k"]))
-        if any(r["_n"] <= 0 for r in kinds if r["free"] == free):
-            short = mine.where("_n <= 0").select("needle_id", "doc", F.col("norm").alias("_s"))
-            found.append(texts.join(short.drop("doc"), F.contains(norm, F.col("_s"))) if free else texts.join(short, "doc"))
-        for rows in found:
-            hit = rows.select(*out) if hit is None else hit.unionByName(rows.select(*out))
-    hit = cut(hit.distinct())
+            found.append(keyed.join(sent(inner.drop("doc") if anywhere else inner), ["_k"] if anywhere else ["doc", "_k"]))
+        if any(r["_n"] <= 0 for r in kinds if r["free"] == anywhere):
+            short = mine.where("_n <= 0").select("needle_id", "doc", "norm")
+            runs = sorted({r["chars"] for r in kinds if r["chars"]})
+            found.append(_by_grams(short, texts, runs, sent) if anywhere else texts.join(short.select("needle_id", "doc"), "doc"))
+    hit = cut(reduce(DataFrame.unionByName, [rows.select("doc", "place", "needle_id") for rows in found]).distinct())
     few = F.broadcast(hit) if hit.count() <= MOST_SENT else hit
     full = texts.join(few, ["doc", "place"]).join(needles.select("needle_id", F.col("norm").alias("_s")), "needle_id")
     return full.where(F.contains(norm, F.col("_s"))).select("doc", "needle_id", "place")

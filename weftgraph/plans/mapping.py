@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import ENTITY, GraphTables
+from ..operators.ingest import dealt_by_size
 from .pack import COMPLIANCE, LITERATURE, REGULATORY, THEMATIC
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table whose texts take long work per row. A file that gives fewer tasks than there are cores is dealt out first; a large
-    table has enough tasks and is not shuffled."""
+    """A table whose texts take long work per row. A file that gives fewer tasks than there are cores is dealt out first, by the length of
+    its texts; a large table has enough tasks and is not shuffled."""
     rows, n = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+    return dealt_by_size(rows, n) if rows.rdd.getNumPartitions() < n else rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -78,14 +78,35 @@ def derive_doc_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", fx.derive_doc_id("c_name").alias("doc_id"), fx.derive_doc_id(stem, True).alias("thematic"))
 
 
-@register()
+# Where a pattern's matches begin: after all parts before it and the matches between them. A sentence's end is matched with the capital letter after it.
+_KINDS = (
+    ("speaker_turn", 5, r"(?m)^[ \t]*(?:[A-Z][A-Za-z0-9_.\-]{1,30}|P\d+)(?:[ \t]*\[[^\]]{1,40}\])?[ \t]*:[ \t]"), ("timestamp", 4, r"(?m)^[ \t]*[\[\(]\d{1,2}:\d{2}(?::\d{2})?[\]\)]"),
+    ("heading", 3, r"(?m)^[ \t]*(?:#+|§)[\s\p{Z}]"), ("paragraph", 2, r"\n[ \t]*\n"), ("sentence", 1, r"[\.!?][\x22\x27)\]]?[\s\p{Z}]+[A-Z]"),
+)
+BOUNDARIES = ("m AS (" + " UNION ALL ".join(f"SELECT doc_id, text, '{k}' AS kind, {n} AS priority, string_split_regex(text, '{p}') AS between, regexp_extract_all(text, '{p}') AS found FROM documents" for k, n, p in _KINDS) + "),"
+  """ y AS (SELECT doc_id, text, kind, priority, unnest(range(1, len(found) + 1)) AS i, between, found FROM m),
+  z AS (SELECT doc_id, kind, priority, CAST(coalesce(list_sum(list_transform(between[1:i], lambda s: length(s))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda s: length(s))), 0) AS BIGINT) AS pos FROM y),
+  bd AS (SELECT doc_id, pos, arg_max(kind, priority) AS kind, max(priority) AS priority FROM z GROUP BY doc_id, pos)""")
+
+
+@register(f"WITH {BOUNDARIES} SELECT * FROM bd")
 def find_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.inline(ingest.find_boundaries("text")))
 
 
-@register()
+def chunk_sql(width: int) -> str:
+    """(doc_id, k, b, e): the chunks' begins and ends, from one to the next: the last boundary within the width, else the width."""
+    return f"""{BOUNDARIES}, bs AS MATERIALIZED (SELECT doc_id, list(pos ORDER BY pos) AS stops FROM bd GROUP BY doc_id),
+  dd AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, list_concat(coalesce(stops, []), [length(coalesce(text, ''))]) AS stops FROM documents LEFT JOIN bs USING (doc_id)),
+  ch AS (SELECT doc_id, CAST(0 AS BIGINT) AS b, CAST(CASE WHEN length(text) <= {width} THEN length(text) ELSE coalesce(list_max(list_filter(stops, lambda p: p > 0 AND p <= {width})), {width}) END AS BIGINT) AS e FROM dd
+    UNION ALL SELECT ch.doc_id, e, CAST(coalesce(list_max(list_filter(stops, lambda p: p > e AND p <= e + {width})), e + {width}) AS BIGINT) FROM ch JOIN dd ON dd.doc_id = ch.doc_id WHERE e < length(text)),
+  cs AS (SELECT doc_id, b, CASE WHEN length(text) <= {width} THEN text ELSE regexp_replace(substring(text, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT)), '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+$', '') END AS body, length(text) <= {width} AS one FROM ch JOIN dd USING (doc_id)),
+  cn AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS n_chunks, body FROM cs WHERE one OR body <> '')"""
+
+
+@register(f"WITH RECURSIVE {chunk_sql(2000)} SELECT CAST(doc_id AS VARCHAR) AS doc_id, chunk_index, n_chunks, doc_id || CASE WHEN n_chunks > 1 THEN '_c' || chunk_index ELSE '' END AS chunk_doc_id, body AS text FROM cn")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.chunk_documents(texts(spark, d), 2000, whole=True)
+    return ingest.chunk_documents(texts(spark, d), 2000).drop("section_hint")
 
 
 _W = r"[ \t\n\v\f\r]"
@@ -133,18 +154,23 @@ def enrich_source_section(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", F.col("chunk_index").alias("turn"), fx.enrich_source_section(section, "chunk_index", "n_chunks", F.when(F.col("role") != "system", F.col("role"))).alias("section"))
 
 
-@register("""SELECT 'd' || doc_id AS chunk_doc_id, 'Extract typed entities from document d' || doc_id || '.' AS system,
-  sha256(chr(10) || 'Document: d' || doc_id || chr(10) || 'Version: v1' || chr(10) || 'Text:' || chr(10) || left(text, 12000)) AS user_sha FROM documents""")
+def request_sql(width: int) -> str:
+    return f"""WITH RECURSIVE {chunk_sql(width)}, rq AS (SELECT 'd' || doc_id || CASE WHEN n_chunks > 1 THEN '_c' || chunk_index ELSE '' END AS id, body FROM cn)
+  SELECT id AS chunk_doc_id, 'Extract typed entities from document ' || id || '.' AS system, sha256(chr(10) || 'Document: ' || id || chr(10) || 'Version: v1' || chr(10) || 'Text:' || chr(10) || body) AS user_sha FROM rq"""
+
+
+@register(request_sql(3000))
 def render_requests(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_doc_id"), "text")
-    return ingest.render_requests(chunks, THEMATIC).select("chunk_doc_id", "system", F.sha2("user", 256).alias("user_sha"))
+    """One request per chunk of 3,000 characters, so that no window cuts a text."""
+    docs = texts(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    return ingest.render_requests(ingest.chunk_documents(docs, 3000), THEMATIC).select("chunk_doc_id", "system", F.sha2("user", 256).alias("user_sha"))
 
 
-@register()
+@register(request_sql(12_000))
 def render_chunk_requests(spark: SparkSession, d: str) -> DataFrame:
     """One request per chunk of each document, so that every part of a text is in a request."""
     docs = texts(spark, d).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
-    chunks = ingest.chunk_documents(docs, THEMATIC.window_chars, whole=True)
+    chunks = ingest.chunk_documents(docs, THEMATIC.window_chars)
     return ingest.render_requests(chunks, THEMATIC).select("chunk_doc_id", "system", F.sha2("user", 256).alias("user_sha"))
 
 
@@ -241,6 +267,23 @@ def locate_page(spark: SparkSession, d: str) -> DataFrame:
     return ingest.locate_page(needles, page_table(spark, d))
 
 
+#: The first word, the first two, and the second's first letters of each benchmark item.
+_SHORT = f"""nb AS (SELECT string_split({NORM.format('text')}, ' ') AS w FROM benchmark),
+  nd AS (SELECT DISTINCT unnest([w[1], w[1] || ' ' || w[2], left(w[2], 2), left(w[2], 1)]) AS needle FROM nb WHERE len(w) >= 2)"""
+
+
+@register(f"WITH {_SHORT}, t AS (SELECT {NORM.format('text')} AS t FROM documents) SELECT needle, count(*) AS n_texts FROM nd JOIN t ON contains(t.t, needle) WHERE needle <> '' GROUP BY needle")
+def locate_short(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents passages of one and two words, and of one and two letters, occur."""
+    w = F.split(fx.normalize_for_match("text"), " ", -1)
+    two = F.get(w, F.lit(1))
+    heads = F.array(F.get(w, F.lit(0)), F.concat_ws(" ", F.get(w, F.lit(0)), two), F.substring(two, 1, 2), F.substring(two, 1, 1))
+    needles = table(spark, d, "benchmark").where(F.size(w) >= 2).select(F.explode(heads).alias("norm")).distinct()
+    docs = texts(spark, d).select(F.col("doc_id").cast("string").alias("doc"), F.lit(1).alias("place"), "text")
+    found = ingest.anchored(needles.select(F.col("norm").alias("needle_id"), F.lit(None).cast("string").alias("doc"), "norm"), docs)
+    return found.groupBy(F.col("needle_id").alias("needle")).agg(F.count(F.lit(1)).alias("n_texts"))
+
+
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(ref("doc", "doc_id").alias("id"), F.col("doc_id").cast("string").alias("source_document"), F.lit(1).alias("source_page"), F.expr("substring(text, 941, 90)").alias("source_text"))
     return ingest.locate_evidence(docs, page_table(spark, d))
