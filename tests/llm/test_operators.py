@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -498,3 +499,23 @@ def test_pii_permutations(spark):
     assert dates.where("d is not null").distinct().count() == 2000
     texts = ids.select(pii.permute_text("k", "t", F.lpad(F.col("id").cast("string"), 4, "0")).alias("x"))
     assert texts.where("x rlike '^[0-9]{4}$'").distinct().count() == 2000
+
+
+def test_pii_patterns_survive_long_texts(spark):
+    """A megabyte of each pattern's own characters, and planning within seconds."""
+    from weftgraph.llm import pii
+
+    n = 250_000
+    long = [
+        "a@" + "b." * n + "c", "a." * n + "a@b.c", "a@b" * n, "1." * n, "1-" * n, "+1 " + "22 " * n, "1234 " * n, "(212) " * n, "9" * (4 * n), "key=" + "ab" * n, "@" * n, "2020-" * n,
+        ".".join(["1.2.3.4"] * n), "+" * n, "token: " * n,
+    ]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string")
+    began = time.time()
+    made = pii.pseudonymise(df, "key")
+    made._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 20  # a second or two on an idle machine
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert got[0]["n_pii"] == 1 and got[0]["text"].endswith("@" + "b." * n + "c")
+    assert got[1]["n_pii"] == 1 and len(got[1]["text"]) == len(long[1]) and got[1]["text"] != long[1]
+    assert all(len(got[i]["text"]) == len(t) for i, t in enumerate(long) if i != 12)

@@ -27,7 +27,7 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Kinds and their patterns, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "secret": r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD)[\"']? ?[=:] ?[\"']?)(?:[0-9a-f]{24,128}|[0-9A-F]{24,128})(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z\-])[12][0-9]{3}-[01][0-9]-[0-3][0-9](?![0-9A-Za-z]|-[0-9])",
@@ -47,45 +47,52 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _number(key: str, tag: str, r: int, part: Column, below: int) -> Column:
+def _col(x: Column | str | int) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def _number(key: str, tag: Column, r: str, part: Column, below: Column) -> Column:
     """A round's keyed number in [0, below) from the other half."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"{tag}{r}"), part.cast("string")), 256), 1, 14), 16, 10).cast("bigint") % F.lit(below)
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.concat(tag, F.lit(r)), part.cast("string")), 256), 1, 14), 16, 10).cast("bigint") % below
 
 
-def permute_pair(key: str, tag: str, a: Column, b: Column, size_a: int, size_b: int) -> Column:
+def permute_pair(key: str, tag: Column | str, a: Column, b: Column, size_a: Column | int, size_b: Column | int) -> Column:
     """A permutation of the pairs (a, b) with 0 <= a < size_a, 0 <= b < size_b, as struct (a, b)."""
+    tag, size_a, size_b = _col(tag), _col(size_a), _col(size_b)
 
     def step(r: int):
         def both(x: Column) -> Column:
-            new_a = (x["a"] + _number(key, f"{tag}a", r, x["b"], size_a)) % F.lit(size_a)
-            return let(F.struct(new_a.alias("a"), x["b"].alias("b")), lambda y: F.struct(y["a"].alias("a"), ((y["b"] + _number(key, f"{tag}b", r, y["a"], size_b)) % F.lit(size_b)).alias("b")))
+            new_a = (x["a"] + _number(key, tag, f"a{r}", x["b"], size_a)) % size_a
+            return let(F.struct(new_a.alias("a"), x["b"].alias("b")), lambda y: F.struct(y["a"].alias("a"), ((y["b"] + _number(key, tag, f"b{r}", y["a"], size_b)) % size_b).alias("b")))
 
         return both
 
     return reduce(lambda x, r: let(x, step(r)), range(ROUNDS // 2), F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")))
 
 
-def _shift(text: Column, stream: Column, alphabets: tuple[str, ...]) -> Column:
+def _shift(text: Column, stream: Column, alphabets: tuple[Column, ...]) -> Column:
     """Each character moved within its alphabet by its place in a stream of hex digits; others stay."""
 
-    def moved(c: Column, i: Column) -> Column:
-        k = F.conv(F.substring(stream, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 32).cast("int")
+    def moved(hexes: Column, c: Column, i: Column) -> Column:
+        k = F.conv(F.substring(hexes, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 32).cast("int")
         out = c
         for letters in alphabets:
-            place = F.instr(F.lit(letters), c)
-            out = F.when(place > 0, F.substring(F.lit(letters), (place - 1 + k) % len(letters) + 1, F.lit(1))).otherwise(out)
+            place = F.instr(letters, c)
+            out = F.when(place > 0, F.substring(letters, (place - 1 + k) % F.length(letters) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), moved), "")
+    # The stream is a hash of the other half: made once, not for each character.
+    return let(stream, lambda hexes: F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: moved(hexes, c, i)), ""))
 
 
-def permute_text(key: str, tag: str, text: Column, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> Column:
+def permute_text(key: str, tag: Column | str, text: Column, alphabets: tuple[Column | str, ...] = (DIGITS, LOWER, UPPER)) -> Column:
     """A permutation of the texts with the same character classes in the same places. One character moves by the key alone."""
+    tag, alphabets = _col(tag), tuple(map(_col, alphabets))
     half = F.floor(F.length(text) / 2).cast("int")
 
     def step(r: int):
         def both(x: Column) -> Column:
-            stream = lambda n, part: F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"{tag}{n}"), part), 256)
+            stream = lambda n, part: F.sha2(F.concat_ws("|", F.lit(key), F.concat(tag, F.lit(str(n))), part), 256)
             left = F.struct(_shift(x["l"], stream(2 * r, x["r"]), alphabets).alias("l"), x["r"].alias("r"))
             return let(left, lambda y: F.struct(y["l"].alias("l"), _shift(y["r"], stream(2 * r + 1, y["l"]), alphabets).alias("r")))
 
@@ -120,64 +127,94 @@ def only_digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-def _card(key: str, v: Column) -> Column:
-    body = lambda d: F.substring(d, F.lit(1), F.length(d) - 1)
-    checked = lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))
-    new = let(permute_text(key, "card", body(only_digits(v)), (DIGITS,)), checked)
-    return F.when(luhn_sum(only_digits(v)) % 10 == 0, let(new, lambda d: _into(v, d)))
+# Of each kind: what is permuted of a value, null where it is not valid, and the value made of the permuted part. Kinds share networks, told apart by
+# their names as tags, so that the plan holds three of them: on texts, on hexadecimal texts and on pairs of numbers.
+
+
+def _card_part(v: Column) -> Column:
+    return let(only_digits(v), lambda d: F.when(luhn_sum(d) % 10 == 0, F.substring(d, F.lit(1), F.length(d) - 1)))
+
+
+def _card_made(v: Column, body: Column) -> Column:
+    return _into(v, F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")))
+
+
+def _country(v: Column) -> Column:
+    """A phone number's + and country code; one without + is of +1."""
+    return F.regexp_extract(F.concat(F.when(v.startswith("+"), F.lit("+")).otherwise(F.lit("+1")), only_digits(v)), COUNTRY, 0)
+
+
+def _phone_part(v: Column) -> Column:
+    """The digits after the country code, however they are grouped; 8 to 15 digits make a number."""
+    return let(
+        F.struct(only_digits(v).alias("d"), F.when(v.startswith("+"), F.length(_country(v)) - 1).otherwise(0).alias("c"), F.when(v.startswith("+"), 0).otherwise(1).alias("one")),
+        lambda x: F.when((F.length(x["d"]) + x["one"]).between(8, 15), F.substring(x["d"], x["c"] + 1, F.length(x["d"]))),
+    )
+
+
+def _phone_made(v: Column, national: Column) -> Column:
+    code = F.when(v.startswith("+"), F.substring(_country(v), F.lit(2), F.lit(3))).otherwise(F.lit(""))
+    return _into(v, F.concat(code, national))
+
+
+def _email_part(v: Column) -> Column:
+    return F.lower(F.substring_index(v, "@", 1))
+
 
+def _email_made(v: Column, local: Column) -> Column:
+    """The permuted local part takes the letter case of the places."""
+    cased = let(F.split(F.substring_index(v, "@", 1), ""), lambda old: F.transform(F.split(local, ""), lambda c, i: F.when(F.get(old, i).between("A", "Z"), F.upper(c)).otherwise(c)))
+    return F.concat(F.array_join(cased, ""), F.lit("@"), F.substring_index(v, "@", -1))
 
-def _phone(key: str, v: Column) -> Column:
-    """The digits after the country code are permuted together, however they are grouped; a number without + is one of +1."""
-    bare = F.concat(F.when(v.startswith("+"), F.lit("+")).otherwise(F.lit("+1")), only_digits(v))
-    good = F.length(bare).between(9, 16)  # 8 to 15 digits
-    lead = F.regexp_extract(bare, COUNTRY, 0)
-    national = permute_text(key, "phone", F.substring(bare, F.length(lead) + 1, F.length(bare)), (DIGITS,))
-    shown = F.when(v.startswith("+"), _into(v, F.concat(F.substring(lead, F.lit(2), F.lit(3)), national))).otherwise(_into(v, national))
-    return F.when(good, shown)
 
+def _pair(a: Column, b: Column, size_a: int, size_b: int) -> Column:
+    return F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), F.lit(size_a).cast("bigint").alias("m"), F.lit(size_b).cast("bigint").alias("n"))
 
-def _ssn(key: str, v: Column) -> Column:
-    area, rest = F.substring(v, 1, 3).cast("int"), F.substring(v, 5, 2).cast("int")
-    serial = F.substring(v, 8, 4).cast("int")
+
+def _ssn_part(v: Column) -> Column:
+    area, rest, serial = (F.substring(v, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
     good = area.between(1, 899) & (area != 666) & (rest > 0) & (serial > 0)
-    a = area - 1 - (area > 666).cast("int")
-    pair = permute_pair(key, "ssn", a, (rest - 1) * 9999 + serial - 1, 898, 99 * 9999)
-    shown = lambda p: let(p["a"] + 1 + (p["a"] >= 665).cast("int"), lambda x: F.format_string("%03d-%02d-%04d", x, F.floor(p["b"] / 9999) + 1, p["b"] % 9999 + 1))
-    return F.when(good, let(pair, shown))
+    return F.when(good, _pair(area - 1 - (area > 666).cast("int"), (rest - 1) * 9999 + serial - 1, 898, 99 * 9999))
+
 
+def _ssn_made(v: Column, p: Column) -> Column:
+    return F.format_string("%03d-%02d-%04d", p["a"] + 1 + (p["a"] >= 665).cast("int"), F.floor(p["b"] / 9999) + 1, p["b"] % 9999 + 1)
 
-def _ip(key: str, v: Column) -> Column:
+
+def _ip_part(v: Column) -> Column:
     octet = lambda i: F.get(F.split(v, r"\."), F.lit(i)).cast("int")
-    pair = permute_pair(key, "ip", octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), 65536, 65536)
-    return let(pair, lambda p: F.format_string("%d.%d.%d.%d", F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256))
+    return _pair(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), 65536, 65536)
 
 
-def _date(key: str, v: Column) -> Column:
+def _ip_made(v: Column, p: Column) -> Column:
+    return F.format_string("%d.%d.%d.%d", F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256)
+
+
+def _cycle(v: Column) -> Column:
+    return F.floor((F.substring(v, 1, 4).cast("int") - 1800) / 400).cast("int")
+
+
+def _years_on(date: Column, years: Column) -> Column:
+    return F.concat(F.lpad((F.substring(date, 1, 4).cast("int") + years).cast("string"), 4, "0"), F.substring(date, 5, 6))
+
+
+def _date_part(v: Column) -> Column:
     """The calendar repeats every 400 years, so a date is permuted as the one of 1800 to 2199 in its place."""
-    year = F.substring(v, 1, 4).cast("int")
-    cycle = F.floor((year - 1800) / 400).cast("int")
-    there = lambda date, by: F.concat(F.lpad((F.substring(date, 1, 4).cast("int") + by).cast("string"), 4, "0"), F.substring(date, 5, 6))
-    first = F.lit("1800-01-01").cast("date")
-    days = F.datediff(F.try_to_date(there(v, -400 * cycle), "yyyy-MM-dd"), first)
-    pair = permute_pair(key, "date", F.floor(days / DAYS_B), days % DAYS_B, DAYS_A, DAYS_B)
-    moved = let(pair, lambda p: F.date_format(F.date_add(first, (p["a"] * DAYS_B + p["b"]).cast("int")), "yyyy-MM-dd"))
-    return F.when(days.between(0, DAYS - 1), let(moved, lambda d: there(d, 400 * cycle)))
+    days = F.datediff(F.try_to_date(_years_on(v, -400 * _cycle(v)), "yyyy-MM-dd"), F.lit("1800-01-01").cast("date"))
+    return let(days, lambda n: F.when(n.between(0, DAYS - 1), _pair(F.floor(n / DAYS_B), n % DAYS_B, DAYS_A, DAYS_B)))
 
 
-def _email(key: str, v: Column) -> Column:
-    """The local part in lower case is permuted, and takes the letter case of the places back."""
-    local = F.substring_index(v, "@", 1)
-    cased = lambda new: F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(local, i + 1, F.lit(1)).between("A", "Z"), F.upper(c)).otherwise(c))
-    new = let(permute_text(key, "email", F.lower(local), (DIGITS, LOWER)), lambda n: F.array_join(cased(n), ""))
-    return F.concat(new, F.lit("@"), F.substring_index(v, "@", -1))
+def _date_made(v: Column, p: Column) -> Column:
+    moved = F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), (p["a"] * DAYS_B + p["b"]).cast("int")), "yyyy-MM-dd")
+    return let(moved, lambda d: _years_on(d, 400 * _cycle(v)))
 
 
-def _secret(key: str, v: Column) -> Column:
-    return F.when(v.rlike("[A-F]"), permute_text(key, "secret", v, (HEX.upper(),))).otherwise(permute_text(key, "secret", v, (HEX,)))
+def _date(key: str, v: Column) -> Column:
+    return let(_date_part(v), lambda x: let(permute_pair(key, "date", x["a"], x["b"], x["m"], x["n"]), lambda p: _date_made(v, p)))
 
 
-KINDS = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+TEXTS = {"card": (_card_part, _card_made), "phone": (_phone_part, _phone_made), "email": (_email_part, _email_made)}
+PAIRS = {"ssn": (_ssn_part, _ssn_made), "ip": (_ip_part, _ip_made), "date": (_date_part, _date_made)}
 WHOLE = {
     "email": "@", "ip": rf"^(?:{OCTET}\.){{3}}{OCTET}$", "date": "^[12][0-9]{3}-[01][0-9]-[0-3][0-9]$", "ssn": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "phone": r"^[+(]", "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})$",
 }
@@ -191,12 +228,19 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def _by(kind: Column, made: dict[str, Column]) -> Column:
+    out = None
+    for name, column in made.items():
+        out = F.when(kind == name, column) if out is None else out.when(kind == name, column)
+    return out
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The pseudonym of a found value; null where it is not valid."""
-    out = F.lit(None).cast("string")
-    for name, made in KINDS.items():
-        out = F.when(kind == name, made(key, value)).otherwise(out)
-    return out
+    text = let(_by(kind, {k: part(value) for k, (part, _) in TEXTS.items()}), lambda t: let(permute_text(key, kind, t), lambda new: _by(kind, {k: made(value, new) for k, (_, made) in TEXTS.items()})))
+    pair = let(_by(kind, {k: part(value) for k, (part, _) in PAIRS.items()}), lambda x: let(permute_pair(key, kind, x["a"], x["b"], x["m"], x["n"]), lambda p: F.when(p["a"].isNotNull(), _by(kind, {k: made(value, p) for k, (_, made) in PAIRS.items()}))))
+    secret = permute_text(key, "secret", value, (F.when(value.rlike("[A-F]"), F.lit(HEX.upper())).otherwise(F.lit(HEX)),))
+    return F.when(kind.isin(*TEXTS), text).when(kind.isin(*PAIRS), pair).otherwise(secret)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
