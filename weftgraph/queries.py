@@ -693,6 +693,44 @@ def propose_merges(spark: SparkSession, d: str) -> DataFrame:
     return curate.propose_merges(part_entities(spark, d)).select("kept_id", "removed_id")
 
 
+TYPOS = "rl AS (SELECT 'part_' || p_partkey AS id, p_type AS class, CASE p_partkey % 10 WHEN 1 THEN left(p_name, 2) || substr(p_name, 4) WHEN 2 THEN left(p_name, 4) || substr(p_name, 4) WHEN 3 THEN left(p_name, 1) || substr(p_name, 3, 1) || substr(p_name, 2, 1) || substr(p_name, 4) WHEN 4 THEN 'x' || substr(p_name, 2) WHEN 5 THEN upper(p_name) || ' ' ELSE p_name END AS label FROM part)"
+
+
+def respelled_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose names have typos: a letter left out, doubled, swapped or changed, and other letter cases."""
+    k, name = F.col("p_partkey") % 10, F.col("p_name")
+    cut_ = lambda a, n=99: F.substring(name, a, n)
+    label = F.when(k == 1, F.concat(cut_(1, 2), cut_(4))).when(k == 2, F.concat(cut_(1, 4), cut_(4))).when(k == 3, F.concat(cut_(1, 1), cut_(3, 1), cut_(2, 1), cut_(4))).when(k == 4, F.concat(F.lit("x"), cut_(2))).when(k == 5, F.concat(F.upper(name), F.lit(" "))).otherwise(name)
+    return table(spark, d, "part").select(ref("part", "p_partkey").alias("id"), F.col("p_type").alias("class"), label.alias("label"))
+
+
+@register(f"""WITH {TYPOS}, h AS (SELECT class, trim(regexp_replace(lower(label), '\\s+', ' ', 'g')) AS t, min(id) AS head FROM rl GROUP BY 1, 2)
+  SELECT a.head AS kept_id, b.head AS removed_id FROM h a JOIN h b ON a.class = b.class AND a.head < b.head AND damerau_levenshtein(a.t, b.t) <= 1""")
+def propose_respelled(spark: SparkSession, d: str) -> DataFrame:
+    return curate.propose_respelled(respelled_parts(spark, d)).select("kept_id", "removed_id")
+
+
+CODED = """cx AS (SELECT DISTINCT o_orderpriority AS theme, l_orderkey AS src, unnest(['flag_' || l_returnflag, 'status_' || l_linestatus, 'quantity_' || CAST(floor(l_quantity / 10) AS INTEGER), 'supplier_' || l_suppkey]) AS code FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def order_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as excerpts: their priority is the theme, what their lines show the codes."""
+    src = ref("ord", "l_orderkey")
+    shown = F.array(ref("flag", "l_returnflag"), ref("status", "l_linestatus"), ref("quantity", F.floor(F.col("l_quantity") / 10)), ref("supplier", "l_suppkey"))
+    codes = table(spark, d, "lineitem").select(src.alias("src"), F.lit("codedAs").alias("prop"), F.explode(shown).alias("dst")).distinct()
+    return codes.unionByName(table(spark, d, "orders").select(ref("ord", "o_orderkey").alias("src"), F.lit("supportsTheme").alias("prop"), F.col("o_orderpriority").alias("dst")))
+
+
+@register(f"""WITH RECURSIVE {CODED}, n AS (SELECT theme, code, count(*) AS n FROM cx GROUP BY 1, 2), t AS (SELECT theme, count(DISTINCT src) AS total FROM cx GROUP BY 1),
+  p AS (SELECT a.theme, a.code AS a, b.code AS b, count(*) AS m FROM cx a JOIN cx b ON a.theme = b.theme AND a.src = b.src AND a.code < b.code GROUP BY 1, 2, 3),
+  e AS MATERIALIZED (SELECT p.theme, a, b FROM p JOIN n x ON x.theme = p.theme AND x.code = a JOIN n y ON y.theme = p.theme AND y.code = b JOIN t ON t.theme = p.theme WHERE m >= 3 AND m * total >= 2.0 * x.n * y.n),
+  g AS MATERIALIZED (SELECT theme, a, b FROM e UNION ALL SELECT theme, b, a FROM e),
+  r AS (SELECT DISTINCT theme, a AS code, a AS low FROM g UNION SELECT g.theme, g.b, r.low FROM r JOIN g ON g.theme = r.theme AND g.a = r.code)
+  SELECT theme, min(low) AS group_id, code FROM r GROUP BY theme, code""")
+def cohering_codes(spark: SparkSession, d: str) -> DataFrame:
+    return curate.cohering_codes(order_codes(spark, d), 3, 2.0, wide=12)
+
+
 @register("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source HAVING count(*) >= 3)
   SELECT 'theme_' || lang AS parent_theme_id, array_to_string(list_sort(list('code_' || source)), '|') AS members FROM c GROUP BY lang HAVING count(*) >= 2""")
 def propose_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -853,26 +891,37 @@ def apply_groups(spark: SparkSession, d: str) -> DataFrame:
     return edges.where("prop = 'hasSubtheme'").join(new, "dst").select("prop", "src", "dst", "label")
 
 
-# Of the proposals of one fingerprint the least label counts.
+# Of the proposals of one fingerprint the least label counts. Approved ones are numbered by their ids and judged one after another: what is dead, and what is made, is carried on.
 APPLIED = f"""ap AS (SELECT * FROM (SELECT proposal_id, any_value(operation) AS operation, any_value(kept_id) AS kept_id, any_value(removed_id) AS removed_id, min(new_subtheme_label) AS label, any_value(parent_theme_id) AS parent,
-    any_value(from_id) AS from_id, any_value(property) AS property, any_value(to_id) AS to_id, any_value(entity_id) AS entity_id FROM fp GROUP BY proposal_id) WHERE CAST(('0x' || substring(proposal_id, 13, 4)) AS BIGINT) % 2 = 0),
+    any_value(from_id) AS from_id, any_value(property) AS property, any_value(to_id) AS to_id, any_value(entity_id) AS entity_id, min(new_label) AS new_label FROM fp GROUP BY proposal_id) WHERE CAST(('0x' || substring(proposal_id, 13, 4)) AS BIGINT) % 2 = 0),
   nd AS (SELECT *, CASE operation WHEN 'rename_label' THEN entity_id WHEN 'link_hierarchy' THEN from_id WHEN 'merge_entities' THEN kept_id ELSE parent END AS need FROM ap),
-  gn AS (SELECT removed_id AS need, min(proposal_id) AS gone_by FROM ap WHERE operation = 'merge_entities' AND kept_id <> removed_id AND kept_id IN (SELECT id FROM pe) GROUP BY 1),
-  nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY proposal_id) AS n2 FROM (SELECT proposal_id, parent, doc || '_subtheme_group_' || regexp_extract(ap.label, '[0-9]+') AS id FROM ap JOIN pe ON pe.id = parent WHERE operation = 'group_codes')) WHERE n2 = 1),
-  rs AS (SELECT nd.*, CASE WHEN operation = 'split_entity' THEN 'operation not implemented' WHEN kept_id = removed_id THEN 'kept_id equals removed_id'
-      WHEN need NOT IN (SELECT id FROM pe) OR gone_by < proposal_id THEN 'not found: ' || need WHEN operation = 'group_codes' AND proposal_id NOT IN (SELECT proposal_id FROM nw) THEN 'target subtheme exists' END AS message FROM nd LEFT JOIN gn USING (need))"""
-
-
-@register(f"""WITH RECURSIVE {RAW}, {PART}, {PART_EDGES}, {APPLIED}, mg AS (SELECT kept_id, removed_id, proposal_id AS seq FROM rs WHERE message IS NULL AND operation = 'merge_entities'),
-  m1{MERGES.split("m1", 1)[1]},
-  al AS (SELECT * FROM ed UNION SELECT nw.parent, 'hasSubtheme', nw.id FROM nw JOIN rs USING (proposal_id) WHERE message IS NULL UNION SELECT from_id, property, to_id FROM rs WHERE message IS NULL AND operation = 'link_hierarchy')
-  SELECT DISTINCT src, prop, coalesce(kept, dst) AS dst FROM al LEFT JOIN root ON dst = removed WHERE src NOT IN (SELECT removed FROM root)""")
+  od AS MATERIALIZED (SELECT row_number() OVER (ORDER BY proposal_id) AS k, nd.*, pe.id IS NOT NULL AS known, CASE WHEN operation = 'group_codes' THEN doc || '_subtheme_group_' || regexp_extract(nd.label, '[0-9]+') END AS makes FROM nd LEFT JOIN pe ON pe.id = need),
+  sq AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS dead, CAST([] AS VARCHAR[]) AS made, CAST(NULL AS VARCHAR) AS message
+    UNION ALL SELECT k, CASE WHEN message IS NULL AND operation = 'merge_entities' THEN list_append(dead, removed_id) ELSE dead END, CASE WHEN message IS NULL AND operation = 'group_codes' THEN list_append(made, makes) ELSE made END, message
+    FROM (SELECT od.*, dead, made, CASE WHEN operation = 'split_entity' THEN 'operation not implemented' WHEN kept_id = removed_id THEN 'kept_id equals removed_id' WHEN NOT known OR list_contains(dead, need) THEN 'not found: ' || need
+      WHEN list_contains(made, makes) THEN 'target subtheme exists' END AS message FROM sq JOIN od ON od.k = sq.k + 1)),
+  rs AS MATERIALIZED (SELECT od.*, sq.message FROM od JOIN sq USING (k)),
+  vm AS MATERIALIZED (SELECT k, removed_id AS removed, kept_id AS kept, coalesce(lag(k) OVER (PARTITION BY removed_id ORDER BY k), -1) AS since FROM rs WHERE message IS NULL AND operation = 'merge_entities')"""
+
+
+@register(f"""WITH RECURSIVE {RAW}, {PART}, {PART_EDGES}, {APPLIED},
+  al AS (SELECT src, prop, dst, CAST(0 AS BIGINT) AS born FROM ed UNION ALL SELECT need, 'hasSubtheme', makes, k FROM rs WHERE message IS NULL AND operation = 'group_codes' UNION ALL SELECT from_id, property, to_id, k FROM rs WHERE message IS NULL AND operation = 'link_hierarchy'),
+  lv AS (SELECT * FROM al WHERE NOT EXISTS (SELECT 1 FROM vm WHERE vm.removed = al.src AND vm.k > al.born)),
+  mv AS (SELECT src, prop, dst, born AS t FROM lv UNION ALL SELECT src, prop, vm.kept, vm.k FROM mv JOIN vm ON vm.removed = mv.dst AND mv.t < vm.k AND mv.t >= vm.since),
+  en AS (SELECT * FROM mv WHERE NOT EXISTS (SELECT 1 FROM vm WHERE vm.removed = mv.dst AND mv.t < vm.k AND mv.t >= vm.since))
+  SELECT DISTINCT src, prop, dst FROM en""")
 def apply_approved(spark: SparkSession, d: str) -> DataFrame:
     _, _, edges, _ = curate.apply_approved(proposals(spark, d), part_entities(spark, d), part_edges(spark, d), THEMATIC)
     return edges
 
 
-@register(f"WITH {RAW}, {PART}, {APPLIED} SELECT proposal_id, operation, message IS NULL AS ok, coalesce(message, 'applied') AS message FROM rs")
+@register(f"""WITH RECURSIVE {RAW}, {PART}, {APPLIED}, rn AS (SELECT entity_id AS id, arg_max(new_label, k) AS l FROM rs WHERE message IS NULL AND operation = 'rename_label' GROUP BY 1)
+  SELECT pe.id, coalesce(l, label) AS label FROM pe LEFT JOIN rn USING (id) WHERE pe.id NOT IN (SELECT removed FROM vm) UNION ALL SELECT makes, label FROM rs WHERE message IS NULL AND operation = 'group_codes'""")
+def apply_approved_entities(spark: SparkSession, d: str) -> DataFrame:
+    return curate.apply_approved(proposals(spark, d), part_entities(spark, d), part_edges(spark, d), THEMATIC)[1].select("id", "label")
+
+
+@register(f"WITH RECURSIVE {RAW}, {PART}, {APPLIED} SELECT proposal_id, operation, message IS NULL AS ok, coalesce(message, 'applied') AS message FROM rs")
 def apply_results(spark: SparkSession, d: str) -> DataFrame:
     return curate.apply_results(proposals(spark, d), part_entities(spark, d), THEMATIC)
 

@@ -72,9 +72,9 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def result(self, df: DataFrame) -> DataFrame:
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
         """``df`` written beside the run's folder, where it stays until the session's program ends."""
-        path = f"{self.path}-result"
+        path = f"{self.path}-{name}"
         _remove_at_exit(self.spark, path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
