@@ -7,6 +7,7 @@ import datetime
 import hashlib
 import random
 import re
+import shutil
 import statistics
 
 import pandas as pd
@@ -380,6 +381,60 @@ def test_inbox(spark, tmp_path):
     assert [r["label"] for r in inbox.current_entities(spark, str(out)).collect()] == ["a new version"]
 
 
+def test_redelivery_by_key(spark, tmp_path):
+    """A file that comes again, one that comes again empty, two files with one id in a batch, a file that fails, and batches that come twice."""
+    at, out = datetime.datetime(2024, 1, 1), str(tmp_path)
+    day = lambda n: at + datetime.timedelta(days=n)
+
+    def extractor(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["text"].str.contains("boom").any():
+            raise RuntimeError("boom")
+        return ingest.rule_extractor(pdf)
+
+    def batch(number, *files):
+        docs = spark.createDataFrame([(fx_id, file, text, when) for fx_id, file, text, when in files], "doc_id string, file string, text string, modified timestamp")
+        inbox.ingest_batch(docs, number, out, extractor, pk.THEMATIC)
+
+    have = lambda: sorted((r["source_document"], r["label"]) for r in inbox.current_entities(spark, out).collect())
+    first = [("a", "a.txt", "Ann: one", at), ("b", "b.txt", "Ann: two\nBob: three", at), ("c", "c.txt", "Ann: four", at), ("d", "d.txt", "Ann: five", at)]
+    batch(0, *first)
+    assert have() == [("a", "one"), ("b", "three"), ("b", "two"), ("c", "four"), ("d", "five")]
+    second = [("a", "a.md", "Ann: six", day(1)), ("b", "b.md", "nobody speaks", day(1)), ("c", "c.txt", "Ann: boom", day(1)), ("a_b", "a b.txt", "Ann: old", at), ("a_b", "a-b.txt", "Ann: new", day(2))]
+    batch(1, *second)
+    want = [("a", "six"), ("a_b", "new"), ("c", "four"), ("d", "five")]
+    assert have() == want
+    assert [(r["doc_id"], r["file"]) for r in spark.read.parquet(f"{out}/superseded").collect()] == [("a_b", "a b.txt")]
+    assert [r["doc_id"] for r in spark.read.parquet(f"{out}/waiting/batch=1").collect()] == ["b"] and [r["doc_id"] for r in spark.read.parquet(f"{out}/quarantine/batch=1").collect()] == ["c"]
+    batch(1, *second)
+    batch(0, *first)  # an old batch that comes again is known
+    assert have() == want
+    batch(2, ("b", "b.txt", "Bob: seven", day(3)))
+    assert have() == sorted([*want, ("b", "seven")])
+
+
+def test_a_broken_merge_is_finished(spark, tmp_path, monkeypatch):
+    """A run that ends after its buckets stand beside the table, and has even lost one of the table's buckets, is finished when the batch comes again."""
+    path = str(tmp_path / "t")
+    rows = lambda label: spark.createDataFrame([(f"{k}{i}", f"d{k}", label) for k in range(9) for i in range(3)], "id string, source_document string, label string")
+    keys = lambda df: df.select("source_document").distinct()
+    assert writers.merge_entities(rows("old"), keys(rows("old")), path, 0, buckets=4)
+    new = rows("new").where("source_document in ('d1', 'd2')")
+    write = writers.remove
+    monkeypatch.setattr(writers, "remove", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        writers.merge_entities(new, keys(new), path, 1, buckets=4)
+    monkeypatch.setattr(writers, "remove", write)
+    shutil.rmtree(f"{path}-ledger/batch=1")
+    touched = sorted(p.name for p in (tmp_path / "t-staged" / "batch=1").glob("bucket=*"))
+    shutil.rmtree(f"{path}/{touched[0]}")
+    assert writers.merge_entities(new.limit(0), keys(new), path, 1, buckets=4)
+    got = {(r["id"], r["label"]) for r in writers.read_entities(spark, path).collect()}
+    assert got == {(r["id"], "new" if r["source_document"] in ("d1", "d2") else "old") for r in rows("old").collect()}
+    assert not writers.merge_entities(new, keys(new), path, 1, buckets=4) and len(touched) < 4
+    with pytest.raises(ValueError):
+        writers.merge_entities(new, keys(new), path, 2, buckets=8)
+
+
 def test_merges_rewrite_links_in_texts(spark):
     rows = [("k", "see [[old]] and [[ old ]], not [[other]] or old"), ("old", "[[old]]"), ("x", None), ("y", "no link"), ("z", "[[mid]][[old]]"), ("w", "[[other]]")]
     entities = spark.createDataFrame(rows, "id string, source_text string")

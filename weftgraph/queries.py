@@ -1035,5 +1035,27 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@register(r"""WITH t AS (SELECT * FROM conversations WHERE regexp_matches(text, '[^\s:]') AND conv_id % 5 <> 0 AND (conv_id % 3 <> 0 OR role = 'user')) SELECT role AS speaker, count(*) AS n FROM t GROUP BY role""")
+def redelivered_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts delivered in two batches, the second one twice: it brings the users' turns of every third conversation, together with an older file of the
+    same id that has all turns, and an empty text for every fifth."""
+    from .streaming import inbox as stream
+
+    line = F.concat(F.col("role"), F.lit(": "), F.trim(F.regexp_replace("text", r"[:\s]+", " ")))
+    turns = table(spark, d, "conversations").where(F.regexp_like("text", F.lit(r"[^\s:]"))).select("conv_id", "role", F.struct("turn", line.alias("line")).alias("t"))
+    told = lambda rows: rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["line"]), "\n").alias("text"))
+    name = lambda sep: F.concat(F.lit(f"c{sep}"), F.col("conv_id").cast("string"), F.lit(".txt"))
+    file = lambda rows, sep, text, day: rows.select(fx.derive_doc_id(readers.stem(name(sep))).alias("doc_id"), name(sep).alias("file"), text.alias("text"), F.lit(f"2024-01-0{day}").cast("timestamp").alias("modified"))
+    every, users = told(turns), told(turns.where("role = 'user'")).where("conv_id % 3 = 0 and conv_id % 5 <> 0")
+    again = file(users, " ", F.col("text"), 3).unionByName(file(every.where("conv_id % 3 = 0 and conv_id % 5 <> 0"), "_", F.col("text"), 2)).unionByName(file(every.where("conv_id % 5 = 0"), "-", F.lit("nothing was said"), 3))
+    out = f"{shared_dir(spark)}/redelivered-{uuid.uuid4().hex}"
+    try:
+        for batch, docs in ((0, file(every, "-", F.col("text"), 1)), (1, again), (1, again)):
+            stream.ingest_batch(docs, batch, out, ingest.rule_extractor, THEMATIC)
+        return cut(stream.current_entities(spark, out).groupBy(F.get("properties.spokenBy", F.lit(0)).alias("speaker")).agg(F.count(F.lit(1)).alias("n")))
+    finally:
+        remove(spark, out)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return REGISTRY["cq_regulatory_3"](spark, d)

@@ -89,6 +89,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at ``path``, on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def numbered(df: DataFrame, by: str, name: str, first: int = 1) -> DataFrame:
     """``df`` with ``name``: consecutive numbers in the order of ``by``, whose values differ.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_id, wrap_links
 from ..operators.graph import entity_uri
 from ..plans.pack import Pack
+from .shared import exists, remove
 
 
 def upsert_entities(existing: DataFrame | None, new: DataFrame, seq: str = "seq") -> DataFrame:
@@ -20,8 +23,57 @@ def upsert_entities(existing: DataFrame | None, new: DataFrame, seq: str = "seq"
     return kept.unionByName(last, allowMissingColumns=True).drop("_key")
 
 
-def write_entities(entities: DataFrame, path: str) -> None:
-    entities.write.mode("overwrite").partitionBy("source_document").parquet(path)
+#: Folders of a keyed table. A table keeps the number that it was begun with.
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``rows`` dealt out by bucket; Spark puts small buckets together in a task and splits large ones, so a document with very many entities
+    is not one task's."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).hint("rebalance", "bucket")
+
+
+def write_entities(entities: DataFrame, path: str, key: str = "source_document", buckets: int = BUCKETS) -> None:
+    """``entities`` as a keyed table, bucketed by the hash of their document, in place of what is at ``path``."""
+    _bucketed(entities, key, buckets).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def merge_entities(new: DataFrame, delivered: DataFrame, path: str, batch: int, key: str = "source_document", buckets: int = BUCKETS) -> bool:
+    """Put batch number ``batch`` into the keyed table at ``path``: all rows whose ``key`` is among ``delivered`` (a table with that column) give way to those of ``new``. A
+    key that is delivered without a row leaves a tombstone, a row with nothing but the key. False if the table has the batch already.
+
+    Only the buckets of delivered keys are read and written. They are written beside the table first, then put in place by dynamic partition
+    overwrite, then noted in a ledger. A batch that comes again after it is noted changes nothing; one that broke off while its buckets were put in place
+    is finished from what stands beside the table, whatever state the table is in. So each bucket has one writer at a time: batches of one table
+    don't run at once. Null keys are a key of their own."""
+    spark = new.sparkSession
+    ledger, staged = f"{path}-ledger/batch={batch}", f"{path}-staged/batch={batch}"
+    if exists(spark, f"{ledger}/_SUCCESS"):
+        return False
+    if exists(spark, f"{path}-ledger") and (begun := [r["buckets"] for r in spark.read.parquet(f"{path}-ledger").select("buckets").distinct().collect()]) not in ([], [buckets]):
+        raise ValueError(f"the table has {begun} buckets")
+    if not exists(spark, f"{staged}/_SUCCESS"):
+        keys = delivered.select(F.col(key).alias("_key")).distinct().cache()
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        merged = new.join(keys, same, "left_semi")
+        gone = keys.join(new.select(key).distinct(), same, "left_anti").select(*[(F.col("_key") if f.name == key else F.lit(None)).cast(f.dataType).alias(f.name) for f in new.schema])
+        merged = merged.unionByName(gone)
+        if exists(spark, path):
+            hit = [r[0] for r in keys.select(F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int")).distinct().collect()]  # as many as there are buckets at most
+            old = spark.read.parquet(path).where(F.col("bucket").isin(hit)).drop("bucket")
+            merged = merged.unionByName(old.join(keys, same, "left_anti"), allowMissingColumns=True)
+        _bucketed(merged, key, buckets).write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        keys.unpersist()
+    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(ledger)
+    remove(spark, staged)
+    return True
+
+
+def read_entities(spark: SparkSession, path: str, key: str = "source_document") -> DataFrame:
+    """The rows of a keyed table, without tombstones."""
+    rows = spark.read.parquet(path)
+    return rows.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in rows.columns if c not in (key, "bucket")])).drop("bucket")
 
 
 def escape_literal(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """The inbox as a stream: each new file once, chunked, extracted, stored and submitted.
 
-Spark's file source keeps the set of processed files in its checkpoint. Every micro-batch is written under its own id, so a batch that
-runs again after a failure replaces what it wrote, and readers take the last write per key.
+Spark's file source keeps the set of processed files in its checkpoint. Entities are a keyed table, into which each micro-batch is merged once
+(``sources.writers.merge_entities``): a document that comes again replaces its entities, and one that comes without any leaves a tombstone. What
+else a batch tells is written under its own id, so a batch that runs again after a failure replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from ..operators.graph import ENTITY
 from ..operators.ingest import chunk_documents, extract_entities, locate_evidence, locate_page
 from ..plans.pack import Pack
 from ..sources.readers import SUFFIXES, file_name, stem
+from ..sources.writers import merge_entities, read_entities
 
 
 def inbox_stream(spark: SparkSession, path: str, per_batch: int = 1000, archive: str | None = None) -> DataFrame:
@@ -66,10 +68,16 @@ def with_pages(entities: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def ingest_batch(docs: DataFrame, batch_id: int, out: str, extractor: Callable[[pd.DataFrame], pd.DataFrame], pack: Pack, style: str = "default") -> None:
-    """One micro-batch into ``out``: entities, submissions (documents with entities), quarantine (documents that failed, with the
-    error), waiting (documents without entities) and evidence (where the texts of entities with a page stand on it, by the search variants of
-    ``style``), each under this batch's id."""
-    chunks = chunk_documents(docs, pack.window_chars, whole=True)
+    """One micro-batch into ``out``: entities, and under this batch's id submissions (documents with entities), quarantine (documents that failed, with
+    the error), waiting (documents without entities), superseded (files whose document id another file of the batch has, which was modified
+    later, or as late and has the greater name) and evidence (where the texts of entities with a page stand on it, by the search variants of
+    ``style``). A document that fails keeps the entities of its last delivery. A batch that was taken whole is not taken again."""
+    named = docs.select("doc_id", F.struct("modified", "file").alias("_f"))
+    last = named.groupBy("doc_id").agg(F.max("_f").alias("_f"))
+    mine = [docs["doc_id"] == F.col("_d"), F.struct("modified", "file").eqNullSafe(F.col("_f"))]
+    superseded = docs.join(last.withColumnRenamed("doc_id", "_d"), mine, "left_anti").select("doc_id", "file", "modified")
+    docs = docs.join(last.withColumnRenamed("doc_id", "_d"), mine, "left_semi")
+    chunks = chunk_documents(docs, pack.window_chars)
     found = extract_entities(chunks, guarded(extractor), f"{ENTITY}, error string").cache()
     bad = found.where("error is not null").select(F.col("source_document").alias("doc_id"), "error").dropDuplicates(["doc_id"])
     good = found.where("error is null").drop("error").join(bad.select(F.col("doc_id").alias("source_document")), "source_document", "left_anti")
@@ -81,8 +89,11 @@ def ingest_batch(docs: DataFrame, batch_id: int, out: str, extractor: Callable[[
     submitted = stamped.join(counts, "doc_id").select("doc_id", F.col("file").alias("source_file"), "modified", "n_entities", "files", F.lit("PENDING").alias("status"))
     waiting = stamped.join(counts, "doc_id", "left_anti").join(bad, "doc_id", "left_anti")
     dated = good.join(stamped.select(F.col("doc_id").alias("source_document"), "modified"), "source_document")
-    for name, rows in (("entities", dated), ("submissions", submitted), ("quarantine", stamped.join(bad, "doc_id")), ("waiting", waiting), ("evidence", evidence)):
-        rows.withColumn("seq", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+    seq = F.lit(batch_id).cast("bigint")
+    for name, rows in (("submissions", submitted), ("quarantine", stamped.join(bad, "doc_id")), ("waiting", waiting), ("superseded", superseded), ("evidence", evidence)):
+        rows.withColumn("seq", seq).write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+    taken = stamped.join(bad, "doc_id", "left_anti").select(F.col("doc_id").alias("source_document"))
+    merge_entities(dated.withColumn("seq", seq), taken, f"{out}/entities", batch_id)
     good.unpersist()
     found.unpersist()
 
@@ -94,7 +105,7 @@ def start(spark: SparkSession, inbox: str, out: str, checkpoint: str, extractor:
 
 
 def current_entities(spark: SparkSession, out: str) -> DataFrame:
-    """The last delivery of each document: a file that came again replaces the entities of the earlier one."""
-    rows = spark.read.parquet(f"{out}/entities")
-    last = rows.withColumn("_last", F.max("seq").over(Window.partitionBy("source_document"))).where("seq = _last").drop("_last", "batch")
-    return last.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("seq").desc(), "file"))).where("_n = 1").drop("_n")
+    """The entities of each document's last delivery. Of entities of two documents with one id, that of the later batch; of one batch, that of the smaller
+    file name."""
+    rows = read_entities(spark, f"{out}/entities")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("seq").desc(), "file"))).where("_n = 1").drop("_n")
