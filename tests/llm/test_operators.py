@@ -519,3 +519,25 @@ def test_pii_patterns_survive_long_texts(spark):
     assert got[0]["n_pii"] == 1 and got[0]["text"].endswith("@" + "b." * n + "c")
     assert got[1]["n_pii"] == 1 and len(got[1]["text"]) == len(long[1]) and got[1]["text"] != long[1]
     assert all(len(got[i]["text"]) == len(t) for i, t in enumerate(long) if i != 12)
+
+
+def test_a_mass_below_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """600 documents on one template of 200 words, each with four words of its own: all pairs are 179,700, at a similarity of about 0.79."""
+    seen, confirm = [], neardup.confirm
+
+    def counted(pairs, full, percent):
+        seen.append(pairs.count())
+        return confirm(pairs, full, percent)
+
+    monkeypatch.setattr(neardup, "confirm", counted)
+    rng = random.Random(1)
+    texts = []
+    for _ in range(600):
+        w = [f"w{i}" for i in range(200)]
+        for at in rng.sample(range(200), 4):
+            w[at] = f"r{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)), "component_id")
+    want = brute.near([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    assert {i: c for i, (c,) in got.items()} == {i: c for i, (_, c) in want.items()}
+    assert sum(seen) < 10_000

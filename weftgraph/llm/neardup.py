@@ -10,7 +10,9 @@ A node that is still large at the last level holds a group of many near copies,
 Its documents are compared with one hub, the one that is in large nodes of most trees, so a group of thousands is
 linked as a star. What the hubs leave apart is then joined exactly: a prefix-filter join with a positional filter
 (``across``) over all documents of such nodes finds every similar pair in different components, by widening
-samples first, so that few pairs are made of what one link joins.
+samples first, so that few pairs are made of what one link joins. A pair is made only if the two sets' odd sketches allow it; these
+tell sets of up to some 2,500 shingles apart that are a few hundredths below the threshold, so a mass of documents on one template makes pairs in
+proportion to its documents, not to their square. It is compared in memory still, sketch by sketch.
 
 Recall of a pair of similarity s: it shares a node of the last level in some tree with probability 1 - (1 - s^depth)^trees,
 however large the groups are; if that node or one above it is small, the pair is compared there, else both documents take part in
@@ -46,6 +48,10 @@ FEW = 64
 #: So many ids are sent to all tasks at most; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 SKETCH = ("s0", "s1", "s2", "s3")
+#: Bits of an odd sketch: bit b is 1 if an odd number of a set's shingles fall on it. Where two sets' sketches differ, an odd number of the
+#: shingles that only one of them has falls.
+ODD = 1024
+ODDS = tuple(f"o{i}" for i in range(ODD // 64))
 _A = (np.random.default_rng(20240101).integers(0, 2**31, TOKENS, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
 _B = np.random.default_rng(20240102).integers(0, 2**32, TOKENS, dtype=np.uint64).astype(np.uint32)
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
@@ -245,9 +251,22 @@ def rare_first(s: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return s[np.lexsort((s, np.where(bucket[at] == head, n[at], 0)))]
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    counts = np.bincount(((s >> np.uint64(20)) & np.uint64(ODD - 1)).astype(np.int64), minlength=ODD)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def _odd_enough(percent: int) -> str:
+    """Whether the odd sketches of x and y allow a similarity of ``percent`` / 100. Such sets differ in d = x + y - 2 o shingles at most (see ``across``), and their
+    sketches in d bits at most; in mean, in (1 - exp(-2 d / 1024)) / 2 of the bits, and five deviations more are let through."""
+    d = f"(x.n + y.n - 2 * ceil({percent} * (x.n + y.n) / (100 + {percent})))"
+    likely = f"{ODD / 2} * (1 - exp(-2 * {d} / {ODD})) + 5 * sqrt({ODD / 4} * (1 - exp(-4 * {d} / {ODD})))"
+    return f"({' + '.join(f'bit_count(x.{o} ^ y.{o})' for o in ODDS)}) <= least({d}, {likely})"
+
+
 def prefixes(full: DataFrame, percent: int) -> DataFrame:
-    """(id, n, prefix): the rarest shingles of each set, so many that any set of similarity ``percent`` / 100 or more has one of
-    them among its own."""
+    """(id, n, prefix, o0..o15): the rarest shingles of each set, so many that any set of similarity ``percent`` / 100 or more has one of
+    them among its own, and its odd sketch."""
     known = full.sparkSession.sparkContext.broadcast(common_shingles(full))  # 400,000 shingles at most
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,21 +275,23 @@ def prefixes(full: DataFrame, percent: int) -> DataFrame:
             rare = [rare_first(s, known.value)[: len(s) + (-percent * len(s) // 100) + 1].view(np.int64) for s in sets]
             ends = pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare) if rare else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), lists], ["id", "n", "prefix"])
+            odd = np.stack([odd_sketch(s) for s in sets]) if sets else np.zeros((0, len(ODDS)), np.int64)
+            columns = [batch.column("id"), batch.column("n"), lists, *(pa.array(odd[:, i].copy()) for i in range(len(ODDS)))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "prefix", *ODDS])
 
-    return full.select("id", "n", "set").mapInArrow(take, "id binary, n bigint, prefix array<bigint>")
+    return full.select("id", "n", "set").mapInArrow(take, "id binary, n bigint, prefix array<bigint>, " + ", ".join(f"{o} bigint" for o in ODDS))
 
 
 def postings(prefix: DataFrame, roots: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(ids, posted) of ``prefix`` (id, n, prefix): ids (id, k) number the sets, posted (k, n, i, shingle) has the places of the
+    """(ids, posted) of ``prefix`` (id, n, prefix, o0..o15): ids (id, k, o0..o15) number the sets, posted (k, n, i, shingle) has the places of the
     shingles that more than one component of ``roots`` (id, root) has in its prefixes. The others are left out by minima and
     maxima that are combined before the shuffle."""
     number = F.xxhash64("id").alias("k")
-    own = scratch.keep(prefix.join(roots, "id").select("id", number, "n", F.xxhash64("root").alias("part"), "prefix"))
+    own = scratch.keep(prefix.join(roots, "id").select("id", number, "n", F.xxhash64("root").alias("part"), "prefix", *ODDS))
     ends = own.select("part", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.min("part").alias("p"), F.max("part").alias("q"))
     shared = ends.where("p <> q").select("shingle")
     posted = own.select("k", "n", F.posexplode("prefix").alias("i", "shingle")).join(shared, "shingle")
-    return own.select("id", "k"), scratch.keep(posted)
+    return own.select("id", "k", *ODDS), scratch.keep(posted)
 
 
 def across(ids: DataFrame, posted: DataFrame, roots: DataFrame, percent: int, grade: int, grades: int, scratch: Scratch) -> DataFrame:
@@ -281,12 +302,13 @@ def across(ids: DataFrame, posted: DataFrame, roots: DataFrame, percent: int, gr
 
     Two sets of sizes x >= y and such similarity share at least o = p (x + y) / (100 + p) shingles. By a total order, the first one
     they share is among the first x - p x / 100 + 1 of the larger and the first y - 2 p y / (100 + p) + 1 of the smaller, and from its
-    places i and j on at least o are left in both. Of a shingle's rows those of the component that has most of them meet
+    places i and j on at least o are left in both. What passes must be near by its odd sketch too, so that documents that share
+    most of a text, but less than is asked, meet in the join's condition without making pairs. Of a shingle's rows those of the component that has most of them meet
     only the others, not each other."""
     drawn = F.lit(0)
     for g in range(1, grades + 1):
         drawn = F.when(F.pmod("k", F.lit(8**g)) == 0, g).otherwise(drawn)
-    parts = ids.join(roots, "id").select("k", F.xxhash64("root").alias("part"), drawn.alias("g"))
+    parts = ids.join(roots, "id").select("k", F.xxhash64("root").alias("part"), drawn.alias("g"), *ODDS)
     rows = scratch.keep(posted.join(parts, "k"))
     each = rows.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c"))
     tops = each.groupBy("shingle").agg(F.max_by("part", F.struct("c", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("shingle", "top")
@@ -294,7 +316,7 @@ def across(ids: DataFrame, posted: DataFrame, roots: DataFrame, percent: int, gr
     short = lambda v: f"(100 + {percent}) * ({v}.n - {v}.i) >= 2 * {percent} * {v}.n"
     fits = f"""x.shingle = y.shingle and x.part <> y.part and greatest(x.g, y.g) = {grade} and (x.part = x.top or x.k < y.k)
         and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and if(x.n > y.n or x.n = y.n and {short("y")}, {short("y")}, {short("x")})
-        and (100 + {percent}) * least(x.n - x.i, y.n - y.i) >= {percent} * (x.n + y.n)"""
+        and (100 + {percent}) * least(x.n - x.i, y.n - y.i) >= {percent} * (x.n + y.n) and {_odd_enough(percent)}"""
     met = rows.alias("x").join(rows.where("part <> top").alias("y"), F.expr(fits))
     met = met.select(F.least("x.k", "y.k").alias("j"), F.greatest("x.k", "y.k").alias("k")).distinct()
     pairs = met.join(ids.select(F.col("k").alias("j"), F.col("id").alias("x")), "j").join(ids.select("k", F.col("id").alias("y")), "k")
