@@ -20,7 +20,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of the hash set at most. Beyond it more blocks pass the probe, and verification drops them.
 MOST_SLOTS = 1 << 24
-#: Benchmark windows that are broadcast for verification at most; more are joined by a shuffle.
+#: Benchmark windows, or items of lists of items, that are broadcast at most; more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
 
 
@@ -75,15 +75,18 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: st
     shorter than ``width`` words is one window. Repeated documents are judged one by one.
     An empty benchmark leaves all documents clean.
     """
-    windows = cut(item_windows(benchmark, width, item_col, item_text_col))
+    every_window = cut(item_windows(benchmark, width, item_col, item_text_col))
+    # Windows of the same items share a number; a document's numbers are looked up once it is known which it has.
+    owners = cut(every_window.select(F.xxhash64("items").alias("owner"), "items").dropDuplicates(["owner"]))
+    windows = every_window.select("n", "w", F.xxhash64("items").alias("owner"))
     sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most ``width`` rows
     lengths = sorted(sizes)
-    known = F.lit(_hash_set(windows, lengths))
-    slots = F.octet_length(known)
+    hash_set = _hash_set(windows, lengths)
+    slots = F.lit(len(hash_set))
     n = F.size("ws")
     one = F.lit(b"\x01")
 
-    def spelled(length: int) -> Column:
+    def spelled(known: Column, length: int) -> Column:
         k = _block(length)
         blocks = F.transform(F.sequence(F.lit(0), n - k, F.lit(k)), lambda q: F.struct(q.alias("q"), F.xxhash64(F.slice("ws", q + 1, k)).alias("h")))
         found = F.filter(blocks, lambda b: (F.substring(known, F.pmod(b["h"], slots).cast("int") + 1, F.lit(1)) == one) & (F.substring(known, F.pmod(F.shiftrightunsigned(b["h"], 24), slots).cast("int") + 1, F.lit(1)) == one))
@@ -92,17 +95,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: st
         return F.when(n >= length, wins)
 
     nothing = F.array().cast("array<struct<at:int,n:int,w:string>>")
-    every = F.concat(nothing, *[F.coalesce(spelled(x), nothing) for x in lengths])
+    # The table is one literal of the plan, bound to a name.
+    every = F.get(F.transform(F.array(F.lit(hash_set)), lambda known: F.concat(nothing, *[F.coalesce(spelled(known, x), nothing) for x in lengths])), F.lit(0))
     rows = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("ws"), F.monotonically_increasing_id().alias("row"))
     near = rows.select("doc_id", "row", n.cast("bigint").alias("n_words"), F.explode_outer(every).alias("x")).select("doc_id", "row", "n_words", "x.*")
     hit = near.join(small(windows, sum(sizes.values()), BROADCAST_WINDOWS), ["n", "w"], "left")
-    per_doc = hit.groupBy("row", "doc_id", "n_words").agg(
-        F.collect_list(F.when(F.col("items").isNotNull(), F.struct("at", "n"))).alias("hits"), F.collect_set("items").alias("sets")
+    per_doc = cut(
+        hit.groupBy("row", "doc_id", "n_words").agg(F.collect_list(F.when(F.col("owner").isNotNull(), F.struct("at", "n"))).alias("hits"), F.collect_set("owner").alias("owners"))
     )
+    owned = per_doc.select("row", F.explode("owners").alias("owner")).join(small(owners, owners.agg(F.sum(F.size("items"))).first()[0] or 0, BROADCAST_WINDOWS), "owner")
+    named = owned.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))))
-    return per_doc.select("doc_id", "n_words", covered.cast("bigint").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"), "hits").withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    )
+    items = F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    rows = per_doc.join(named, "row", "left").select("doc_id", "n_words", covered.cast("bigint").alias("n_hit"), items, "hits")
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def cut_spans(text: Column, hits: Column) -> Column:
