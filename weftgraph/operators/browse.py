@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_for_lookup
 from ..plans.pack import Pack
-from ..sources.shared import cut
+from ..sources.shared import cut, numbered
+from .intervals import prefix_join
 from .pattern import LABEL, TYPE, filter_in, local_name, type_name
 
 SUFFIX = r"_e\d+$"
+#: Entities of a result that are sent to all tasks at most; more are joined by a shuffle.
+MOST_SENT = 200_000
 
 
 def document_of() -> Column:
@@ -28,11 +31,11 @@ def document_rollup(entities: DataFrame) -> DataFrame:
 
 def entities_for_document(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc, file) for each wanted ``doc`` (a table of them): files that begin with it; where there is none, records whose
-    source_document equals it. Prefixes are matched by equality with every cut of the file's stem, so the join has a key."""
-    stem = F.regexp_replace("file", r"\.md$", "")
-    cuts = entities.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.length(stem)), lambda n: F.substring(stem, F.lit(1), n))).alias("doc"))
-    by_prefix = cuts.join(docs.select("doc").distinct(), "doc").select("doc", "file")
-    rest = docs.select("doc").distinct().join(by_prefix.select("doc").distinct(), "doc", "left_anti")
+    source_document equals it. Prefixes meet files in an interval join, so each file is shuffled once."""
+    wanted = docs.select("doc").distinct()
+    by_prefix = cut(prefix_join(wanted.withColumnRenamed("doc", "prefix"), entities.select(F.regexp_replace("file", r"\.md$", "").alias("key"), F.col("file").alias("value"))))
+    by_prefix = by_prefix.select(F.col("prefix").alias("doc"), F.col("value").alias("file"))
+    rest = wanted.join(by_prefix.select("doc").distinct(), "doc", "left_anti")
     by_field = entities.select(F.col("source_document").alias("doc"), "file").join(rest, "doc")
     return by_prefix.unionByName(by_field.select("doc", "file"))
 
@@ -57,10 +60,21 @@ def result_entities(result: DataFrame, entity_prefix: str) -> DataFrame:
     return result.select(F.explode(columns).alias("entity")).where(F.col("entity").startswith(entity_prefix)).distinct()
 
 
+def entities_in_order(result: DataFrame, entity_prefix: str) -> DataFrame:
+    """(entity, position): the distinct entities of a select result, numbered from 0 in the order in which they are first seen: row by row as the result is
+    sorted, in a row from the first column to the last. A row's place grows with the ranges that the sort has dealt rows to and inside each; the least place of an
+    entity is found map-side, and entities are numbered range by range."""
+    columns = F.array(*[F.col(c).cast("string") for c in result.columns])
+    placed = result.select(F.monotonically_increasing_id().alias("_row"), columns.alias("_all")).select("_row", F.posexplode("_all").alias("_column", "entity"))
+    seen = placed.where(F.col("entity").startswith(entity_prefix)).groupBy("entity").agg(F.min(F.struct("_row", "_column")).alias("_first"))
+    return numbered(seen, "_first", "position", 0).select("entity", "position")
+
+
 def cq_subgraph(triples: DataFrame, result: DataFrame, entity_prefix: str) -> DataFrame:
     """Outgoing triples of the entities in a query's result. The query runs once: its entities are written, as
-    the filter is pushed into every branch of the triples."""
-    return filter_in(triples, "s", cut(result_entities(result, entity_prefix)))
+    the filter is pushed into every branch of the triples. Up to ``MOST_SENT`` of them, counted, are sent to all tasks, so that no branch is shuffled for it."""
+    wanted = cut(result_entities(result, entity_prefix))
+    return filter_in(triples, "s", F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted)
 
 
 def graph_edges(triples: DataFrame) -> DataFrame:

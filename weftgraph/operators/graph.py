@@ -112,3 +112,12 @@ def load_graph(*triples: DataFrame | None) -> DataFrame:
         if t is not None:
             out = t if out is None else out.unionByName(t)
     return out.distinct()
+
+
+def store_graph(triples: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """``triples`` written as the table ``name`` at ``path`` and read back: a folder for each predicate, bucketed and sorted by subject inside. A pattern with a
+    constant predicate reads its folder only, and patterns that share their subject join bucket by bucket, without an exchange. Predicates
+    are few, as packs declare them. Subjects that many triples have make large files, which such a join reads whole."""
+    dealt = triples.select("s", "o", "o_kind", "o_lang", "p").repartition(buckets, "s")
+    dealt.write.mode("overwrite").option("path", path).partitionBy("p").bucketBy(buckets, "s").sortBy("s").saveAsTable(name)
+    return triples.sparkSession.table(name).select("s", "p", "o", "o_kind", "o_lang")

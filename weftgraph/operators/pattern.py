@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import Scratch, cut
 
 TYPE, LABEL, DEFINITION, SOURCE = "rdf:type", "rdfs:label", "skos:definition", "dcterms:source"
 
@@ -161,3 +161,26 @@ def path_plus(edges: DataFrame) -> DataFrame:
         new = cut(longer.distinct().join(known, ["src", "dst"], "left_anti"))
         known = cut(known.unionByName(new))
     return known
+
+
+def path_from(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(src, dst): what is reached from ``starts`` (src) by one or more of ``edges`` (src, dst), for paths with a bound begin.
+
+    Only nodes that are reached are looked at: each round goes one edge on from the pairs that the last one found, and an anti-join drops those that are known,
+    so cycles end. Rounds are as many as the longest of the shortest paths; the whole closure (``path_plus``) takes fewer, but makes all its pairs. All
+    starts go together, and a pair is joined once."""
+    with Scratch(edges.sparkSession, "path") as scratch:
+        steps = scratch.keep(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+        new = known = scratch.keep(steps.join(starts.select("src").distinct(), "src", "left_semi"))
+        ahead = steps.select(F.col("src").alias("dst"), F.col("dst").alias("_to"))
+        while not new.isEmpty():
+            further = new.join(ahead, "dst").select("src", F.col("_to").alias("dst")).distinct()
+            new = scratch.keep(further.join(known, ["src", "dst"], "left_anti"))
+            known = known.unionByName(new)
+        return scratch.result(known)
+
+
+def path_to(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(src, dst): what reaches ``ends`` (dst), as ``path_from`` over the edges turned round."""
+    back = path_from(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends.select(F.col("dst").alias("src")))
+    return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

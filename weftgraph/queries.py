@@ -635,6 +635,38 @@ def result_entities(spark: SparkSession, d: str) -> DataFrame:
     return browse.result_entities(questions.filings_by_issuer(reg(spark, d)), "rege:")
 
 
+@register("""WITH q AS (SELECT 'rege:iss_' || c_custkey AS a, 'rege:fil_' || o_orderkey AS b FROM orders JOIN customer ON o_custkey = c_custkey),
+  r AS (SELECT a, b, row_number() OVER (ORDER BY a DESC, b) AS n FROM q), e AS (SELECT a AS entity, n * 10 AS pl FROM r UNION ALL SELECT b, n * 10 + 2 FROM r)
+  SELECT entity, row_number() OVER (ORDER BY min(pl)) - 1 AS position FROM e GROUP BY entity""")
+def entities_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return browse.entities_in_order(questions.filings_by_issuer(reg(spark, d)).orderBy(F.desc("issuer"), "filing"), "rege:")
+
+
+@register("SELECT DISTINCT 'rege:nat_' || c_nationkey AS regulator, 'rege:obl_' || l_partkey AS obligation FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey < 5")
+def stored_graph_question(spark: SparkSession, d: str) -> DataFrame:
+    """Three hops over the graph as a stored table, from five regulators' filings to what their disclosures trigger."""
+    base, name = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", f"graph_{uuid.uuid4().hex}"
+    try:
+        t = graph.store_graph(reg(spark, d), name, base)
+        mine = pt.triple_pattern(t, "?filing", "reg:filedWith", "?regulator").where(F.col("regulator").isin(*[f"rege:nat_{i}" for i in range(5)]))
+        return cut(pt.bgp(mine, pt.triple_pattern(t, "?filing", "reg:containsDisclosure", "?disclosure"), pt.triple_pattern(t, "?disclosure", "reg:triggersObligation", "?obligation")).select("regulator", "obligation").distinct())
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, base)
+
+
+@register("SELECT 'sup_' || s_suppkey AS src, 'nat_' || s_nationkey AS dst FROM supplier WHERE s_suppkey % 7 = 0 UNION SELECT 'sup_' || s_suppkey, 'reg_' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 = 0")
+def path_from(spark: SparkSession, d: str) -> DataFrame:
+    starts = table(spark, d, "supplier").where("s_suppkey % 7 = 0").select(ref("sup", "s_suppkey").alias("src"))
+    return pt.path_from(mapping.compliance(spark, d).edges.where("prop in ('imposesObligationOn', 'enforcedBy')"), starts)
+
+
+@register("SELECT 'sup_' || s_suppkey AS src, 'reg_' || n_regionkey AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 UNION SELECT 'nat_' || n_nationkey, 'reg_' || n_regionkey FROM nation WHERE n_regionkey = 2")
+def path_to(spark: SparkSession, d: str) -> DataFrame:
+    ends = table(spark, d, "region").where("r_regionkey = 2").select(ref("reg", "r_regionkey").alias("dst"))
+    return pt.path_to(mapping.compliance(spark, d).edges.where("prop in ('imposesObligationOn', 'enforcedBy')"), ends)
+
+
 @register(f"WITH {REG_TRIPLES}, {REG_CQ1} SELECT s, p, o FROM t WHERE s IN (SELECT a FROM q UNION SELECT b FROM q)")
 def cq_subgraph(spark: SparkSession, d: str) -> DataFrame:
     asked = questions.filings_by_issuer(mapping.regulatory(spark, d).triples(classes=True))
