@@ -541,3 +541,31 @@ def test_a_mass_below_the_threshold_makes_few_pairs(spark, monkeypatch):
     want = brute.near([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
     assert {i: c for i, (c,) in got.items()} == {i: c for i, (_, c) in want.items()}
     assert sum(seen) < 10_000
+
+
+def test_spotsigs_tells_rows_of_one_id_apart(spark):
+    text = " ".join(f"the word{i} of thing{i} and other{i}" for i in range(30))
+    df = spark.createDataFrame([(1, "a short one"), (1, text), (2, text + " the end")], "doc_id bigint, text string")
+    _, pairs = spotsigs.near_pairs(spotsigs.fingerprints(df))
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 2)]
+
+
+def test_warc_deals_out_rows_that_repeat(spark, monkeypatch, tmp_path):
+    """Rows without an id and with one payload, of which a task gets a few: all come back, from several files."""
+    monkeypatch.setattr(warc, "REPEATS", 50)
+    pages = spark.range(600).select(F.lit(None).cast("bigint").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.lit("<p>same</p>").alias("html")).unionByName(spark.createDataFrame([(5, None, "<p>other</p>")], "page_id bigint, url string, html string"))
+    found = warc.captures(pages)
+    assert found.count() == 601 and found.where("page_id = 5").count() == 1
+    warc.write_warc(pages, str(tmp_path / "w"))
+    assert len([p for p in (tmp_path / "w").glob("part-*") if p.stat().st_size > 500]) > 1
+
+
+def test_language_null_ids_scripts_and_clashing_names(spark):
+    rows = [(i, "the house and the tree are there " * 3 + f"word{i}", "en") for i in range(40)] + [(40 + i, "das haus und der baum sind dort " * 3 + f"wort{i}", "de") for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, "the house", "en")], "doc_id bigint, text string, lang string")
+    assert df.where(language.holdout()).where("doc_id is null").count() == 1
+    model = language.train(df.withColumn("doc_id", F.lit(None).cast("bigint")), sample=20)
+    assert model["langs"] == ["de", "en"]
+    mixed = spark.createDataFrame([(1, "the house and the tree \u043c\u0438\u0440 \u0434\u043e\u043c", 1.0)], "doc_id bigint, text string, Score double")
+    row = language.identify(mixed, model).first()
+    assert [x["lang"] for x in row["lang_spans"]] == ["en", None] and language.identify(mixed, model).columns == ["doc_id", "text", "lang_pred", "score", "lang_spans"]

@@ -84,12 +84,13 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def holdout(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Rows that nothing is learned from: a quarter by the CRC-32 of the id, and those without one."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, most_langs: int = MOST_LANGS) -> dict:
     """A model from rows with a text and a language, of ``sample`` rows per language, in expectation, and the ``most_langs`` languages that have
-    most rows. The sample is drawn by the id's hash; ids and sources are no inputs of the model. Without any labelled row the model
+    most rows. The sample is drawn by the hash of id and text, so rows that share an id, or have none, are drawn one by one; ids and sources are no inputs of the model. Without any labelled row the model
     has no language and predicts ``und``."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     by_lang = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
@@ -98,7 +99,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     if not langs:
         return {"langs": [], "weights": np.zeros((BUCKETS, 0), np.float32), "scripts": {}}
     limit = F.lit(float(sample)) / F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, float(v))])[F.col(lang_col)]
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000)) / 1e6
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)), F.lit(1_000_000)) / 1e6
     drawn = rows.where(draw < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,14 +196,14 @@ SPANS = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("lang", pa.s
 def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = PENALTY, spans: bool = True, group: int = 2048) -> DataFrame:
     """``docs`` with lang_pred, score and (if ``spans``) lang_spans: first word, number of words and language of each span.
 
-    lang_pred is ``und`` and score 0 if the text is null or has no letter. score is the share of all letters that is in spans
+    A span of words in scripts that no learned language uses has no language (null). lang_pred is ``und`` and score 0 if the text is null or has no letter. score is the share of all letters that is in spans
     of lang_pred and in a script that a learned language uses, times 1 - exp(-m / ``TAU``), where m is the mean per such word of what
     lang_pred scores above the next language. So it is 0 in a script that no language uses, and near 0 where words tell nothing. With
-    one learned language m has no next and the score is the share. All rows and columns stay; columns of these names are replaced. Very long
+    one learned language m has no next and the score is the share. All rows and columns stay; columns of these names, in any letter case, are replaced. Very long
     texts are taken whole, in a batch's memory.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers per language
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")]
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "lang_spans")]
     extra = ", lang_spans array<struct<at:int,n:int,lang:string>>" if spans else ""
     rest = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + f", lang_pred string, score double{extra}"
@@ -234,7 +235,8 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
                 top, share = confidence(vectors[at], sizes[at], labels, lengths)
                 columns = [*part.columns, pa.array([langs[x] if h else "und" for x, h in zip(top, has, strict=True)], pa.string()), pa.array(share, pa.float64())]
                 if spans:
-                    columns.append(pa.array(list(_spans(labels, lengths, langs)), SPANS))
+                    told = vectors[at].any(1)
+                    columns.append(pa.array(list(_spans(np.where(told, labels, -1), lengths, langs)), SPANS))
                 yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", *["lang_spans"] * spans])
 
     return rest.mapInArrow(predict, schema)
@@ -265,4 +267,4 @@ def _spans(labels: np.ndarray, lengths: np.ndarray, langs: list[str]) -> Iterato
     for n in lengths:
         own, end = labels[end : end + n], end + n
         cuts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [n])) if n else np.zeros(1, int)
-        yield [{"at": int(a), "n": int(b - a), "lang": langs[own[a]]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield [{"at": int(a), "n": int(b - a), "lang": langs[own[a]] if own[a] >= 0 else None} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

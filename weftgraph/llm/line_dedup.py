@@ -38,10 +38,9 @@ def repeated_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3,
     hashed = F.transform(F.filter(keys, lambda x: F.length(x["key"]) >= least_chars), lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("h"), F.hash(x["key"]).alias("g")))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_id(text_col).alias("text_id"), F.explode(hashed).alias("x")).select("doc_id", "text_id", "x.*")
     # Ranges are drawn from a first pass over their input: written once, so that texts are split and hashed once.
-    scratch = Scratch(docs.sparkSession, "lines")
     order = [F.col("h"), F.col("g"), F.col("doc_id").desc(), F.col("pos")]
-    ranges = cut(scratch.keep(rows).repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()))
-    scratch.drop()
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        ranges = cut(scratch.keep(rows).repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()))
     here = Window.partitionBy("pid", "h", "g")
     swept = ranges.withColumn("rank", F.dense_rank().over(here.orderBy(F.col("doc_id").desc())))
     swept = swept.withColumn("n_docs", F.max("rank").over(here))

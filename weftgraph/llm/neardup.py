@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, cut, small
+from .common import Scratch, ascii_lower, small
 from .components import components
 
 TREES, DEPTH, LEAF = 12, 3, 16
@@ -352,7 +352,11 @@ def judged(
 ) -> DataFrame:
     """``near_duplicates`` with mark (xxhash64 of the text), and chosen: true for one (doc_id, mark) of each component, and for
     all without a set."""
-    scratch = Scratch(docs.sparkSession, "neardup")
+    with Scratch(docs.sparkSession, "neardup") as scratch:
+        return _judged(docs, percent, width, id_col, text_col, trees, depth, leaf, exact, scratch)
+
+
+def _judged(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, trees: int, depth: int, leaf: int, exact: bool, scratch: Scratch) -> DataFrame:
     every = scratch.keep(described(docs, width, trees * depth, id_col, text_col))
     smallest = F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("o"), "doc_id", "mark")).alias("f")
     alike = F.any_value(F.struct("n", "tokens", *SKETCH)).alias("x")  # the same in all rows of a set
@@ -385,6 +389,4 @@ def judged(
     component = F.when(F.col("f").isNotNull(), F.col("f.doc_id")).otherwise(F.col("doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
     chosen = kept & (F.col("f").isNull() | (F.col("mark") == F.col("f.mark")))
-    done = cut(out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"), chosen.alias("chosen")))
-    scratch.drop()
-    return done
+    return scratch.result(out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), kept.alias("kept"), chosen.alias("chosen")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, remove
+from .common import Scratch, partitions, small
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -61,6 +61,12 @@ def payload_roles(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     return _roles(_hashed(pages, id_col, payload_col), least_bytes)
 
 
+#: Rows with one id and payload that a task gets at most; more are dealt to several.
+REPEATS = 1000
+#: Such ids and payloads that are sent to all tasks at most.
+MOST_SENT = 200_000
+
+
 def _hashed(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     return pages.select(F.col(id_col).alias("page_id"), F.xxhash64(payload).alias("x"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("bigint").alias("n"))
@@ -99,7 +105,11 @@ def write_warc(
     percent-encoded. Rows repeated in full repeat their records. A page id may come with several payloads. Very long payloads
     are written whole; other columns are ignored; no page gives no record.
     """
-    scratch = Scratch(pages.sparkSession, "warc-roles")
+    with Scratch(pages.sparkSession, "warc-roles") as scratch:
+        _write(pages, path, least_bytes, file_bytes, id_col, url_col, payload_col, scratch)
+
+
+def _write(pages: DataFrame, path: str, least_bytes: int, file_bytes: int, id_col: str, url_col: str, payload_col: str, scratch: Scratch) -> None:
     hashed = scratch.keep(_hashed(pages, id_col, payload_col))
     roles = _roles(hashed, least_bytes)
     files = max(partitions(pages.sparkSession), math.ceil((hashed.agg(F.sum("n")).first()[0] or 0) / file_bytes))
@@ -108,8 +118,12 @@ def write_warc(
     # A null id is no key of a join: it counts as 0, told apart by a flag.
     key = ["_id", "_null", "x"]
     keyed = lambda df: df.withColumns({"_id": F.coalesce("page_id", F.lit(0)), "_null": F.col("page_id").isNull()})
-    dealt = keyed(rows).repartition(files, *key)
-    r = dealt.join(keyed(roles).drop("page_id").repartition(files, *key), key).select("page_id", "url", "payload", "digest", "first")
+    # Rows that repeat an id and a payload very often are dealt to several files, and their role with them.
+    hot = scratch.keep(keyed(hashed).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / REPEATS).cast("int").alias("_parts")).where("_parts > 1"))
+    hot, one = small(hot, hot.count(), MOST_SENT), F.coalesce("_parts", F.lit(1))
+    dealt = keyed(rows).join(hot, key, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), one)).repartition(files, *key, "_part")
+    told = keyed(roles).drop("page_id").join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), one.cast("bigint") - 1))).repartition(files, *key, "_part")
+    r = dealt.join(told, [*key, "_part"]).select("page_id", "url", "payload", "digest", "first")
     uri = percent_encoded(F.col("url"))
     page = F.col("page_id").cast("string")
     main_id, about = _record_id(F.lit("main"), page, F.col("url"), F.col("digest")), [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", uri), ("X-Page-Id", page)]
@@ -127,7 +141,6 @@ def write_warc(
     records = r.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
     members = records.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
     members.write.option("lineSep", "\x00").mode("overwrite").text(path)
-    scratch.drop()
 
 
 def _pieces(data: bytes, block: int = 1 << 16) -> Iterator[tuple[bytes, str | None]]:
@@ -252,8 +265,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def captures(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``pages`` written as archives in the shared folder, read back and assembled (no payloads); the archives are removed."""
-    scratch = Scratch(pages.sparkSession, "warc")
-    write_warc(pages, f"{scratch.path}/archives", least_bytes)
-    records = scratch.keep(read_warc(pages.sparkSession, f"{scratch.path}/archives"))
-    remove(pages.sparkSession, f"{scratch.path}/archives")
+    with Scratch(pages.sparkSession, "warc") as scratch:
+        write_warc(pages, f"{scratch.path}/archives", least_bytes)
+        records = scratch.result(read_warc(pages.sparkSession, f"{scratch.path}/archives"))
     return assemble(records)
