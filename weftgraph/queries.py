@@ -362,10 +362,10 @@ def graph_triples(spark: SparkSession, d: str) -> DataFrame:
     return reg(spark, d)
 
 
-@register(f"WITH {REG_TRIPLES} SELECT p, o_kind, count(*) AS n FROM (SELECT s, p, o, o_kind FROM t UNION SELECT 'reg:' || x, 'rdf:type', 'owl:Class', 'iri' FROM (VALUES ('Filing'), ('Issuer'), ('Disclosure'), ('Regulator'), ('Obligation')) v(x)) GROUP BY p, o_kind")
+@register(f"WITH {REG_TRIPLES} SELECT s, p, o, o_kind, o_lang FROM t UNION SELECT 'reg:' || x, 'rdf:type', 'owl:Class', 'iri', NULL FROM (VALUES ('Filing'), ('Issuer'), ('Disclosure'), ('Regulator'), ('Obligation')) v(x)")
 def load_graph(spark: SparkSession, d: str) -> DataFrame:
     schema = graph.schema_triples(spark, PACKS["regulatory"]).where("o = 'owl:Class'")
-    return graph.load_graph(schema, reg(spark, d), None).groupBy("p", "o_kind").agg(F.count(F.lit(1)).alias("n"))
+    return graph.load_graph(schema, reg(spark, d), None)
 
 
 @register("""WITH t(name, parent) AS (SELECT r_name, NULL FROM region UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
@@ -846,27 +846,27 @@ def proposal_counts(spark: SparkSession, d: str) -> DataFrame:
     return curate.proposal_counts(proposals(spark, d))
 
 
-_SUMMARY = """CASE operation WHEN 'merge_entities' THEN 'Keep `' || kept_id || '`, remove `' || removed_id || '`.' WHEN 'group_codes' THEN 'New Subtheme ''X'' under `' || parent_theme_id || '` (' || len(members) || ' member code(s)).'
-  WHEN 'link_hierarchy' THEN '`' || from_id || '` —' || property || '→ `' || to_id || '`.' WHEN 'rename_label' THEN '`' || entity_id || '` → label ''X''.' ELSE operation END"""
+# Of the proposals of one fingerprint the least labels count.
+LABELS = "lb AS (SELECT proposal_id, min(new_subtheme_label) AS gl, min(new_label) AS ml FROM fp GROUP BY proposal_id), sl AS (SELECT * FROM sp JOIN lb USING (proposal_id))"
+_SUMMARY = """CASE operation WHEN 'merge_entities' THEN 'Keep `' || kept_id || '`, remove `' || removed_id || '`.' WHEN 'group_codes' THEN 'New Subtheme ''' || gl || ''' under `' || parent_theme_id || '` (' || len(members) || ' member code(s)).'
+  WHEN 'link_hierarchy' THEN '`' || from_id || '` —' || property || '→ `' || to_id || '`.' WHEN 'rename_label' THEN '`' || entity_id || '` → label ''' || ml || '''.' ELSE operation END"""
 
 
-@register(f"WITH {RAW} SELECT proposal_id, {_SUMMARY} AS summary FROM sp")
+@register(f"WITH {RAW}, {LABELS} SELECT proposal_id, {_SUMMARY} AS summary FROM sl")
 def payload_summary(spark: SparkSession, d: str) -> DataFrame:
-    fixed = proposals(spark, d).withColumns({"new_subtheme_label": F.lit("X"), "new_label": F.lit("X")})
-    return fixed.select("proposal_id", curate.payload_summary().alias("summary"))
+    return proposals(spark, d).select("proposal_id", curate.payload_summary().alias("summary"))
 
 
-@register(f"WITH {RAW} SELECT proposal_id, operation FROM sp WHERE status = 'approved'")
+@register(f"WITH {RAW}, {LABELS} SELECT proposal_id, operation, {_SUMMARY} AS summary FROM sl WHERE status = 'approved'")
 def apply_dry_run(spark: SparkSession, d: str) -> DataFrame:
-    return curate.dry_run(proposals(spark, d)).select("proposal_id", "operation")
+    return curate.dry_run(proposals(spark, d))
 
 
-@register(f"""WITH {RAW} SELECT proposal_id, removed_id AS src, kept_id AS dst, 'merge into' AS label, 'remove' AS change FROM sp WHERE operation = 'merge_entities'
-  UNION ALL SELECT proposal_id, parent_theme_id, 'NEW:X', 'hasSubtheme', 'add' FROM sp WHERE operation = 'group_codes' UNION ALL SELECT proposal_id, 'NEW:X', unnest(members), '(implied)', 'imply' FROM sp WHERE operation = 'group_codes'
-  UNION ALL SELECT proposal_id, from_id, to_id, property, 'add' FROM sp WHERE operation = 'link_hierarchy' UNION ALL SELECT proposal_id, entity_id, entity_id, 'X', 'relabel' FROM sp WHERE operation = 'rename_label'""")
+@register(f"""WITH {RAW}, {LABELS} SELECT proposal_id, removed_id AS src, kept_id AS dst, 'merge into' AS label, 'remove' AS change FROM sl WHERE operation = 'merge_entities'
+  UNION ALL SELECT proposal_id, parent_theme_id, 'NEW:' || gl, 'hasSubtheme', 'add' FROM sl WHERE operation = 'group_codes' UNION ALL SELECT proposal_id, 'NEW:' || gl, unnest(members), '(implied)', 'imply' FROM sl WHERE operation = 'group_codes'
+  UNION ALL SELECT proposal_id, from_id, to_id, property, 'add' FROM sl WHERE operation = 'link_hierarchy' UNION ALL SELECT proposal_id, entity_id, entity_id, ml, 'relabel' FROM sl WHERE operation = 'rename_label'""")
 def proposal_preview_edges(spark: SparkSession, d: str) -> DataFrame:
-    fixed = proposals(spark, d).withColumns({"new_subtheme_label": F.lit("X"), "new_label": F.lit("X")})
-    return curate.preview_edges(fixed)
+    return curate.preview_edges(proposals(spark, d))
 
 
 def part_edges(spark: SparkSession, d: str) -> DataFrame:
