@@ -283,9 +283,11 @@ def anchored(needles: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
             runs = sorted({r["chars"] for r in kinds if r["chars"]})
             found.append(_by_grams(short, texts, runs, sent) if anywhere else texts.join(short.select("needle_id", "doc"), "doc"))
     hit = cut(reduce(DataFrame.unionByName, [rows.select("doc", "place", "needle_id") for rows in found]).distinct())
-    few = F.broadcast(hit) if hit.count() <= MOST_SENT else hit
-    full = texts.join(few, ["doc", "place"]).join(needles.select("needle_id", F.col("norm").alias("_s")), "needle_id")
-    return full.where(F.contains(norm, F.col("_s"))).select("doc", "needle_id", "place")
+    few = F.broadcast if hit.count() <= MOST_SENT else lambda df: df
+    # A text that several needles may be in is normalised once.
+    held = texts.join(few(hit.select("doc", "place").distinct()), ["doc", "place"], "left_semi").select("doc", "place", norm.alias("_t"))
+    full = held.join(few(hit), ["doc", "place"]).join(needles.select("needle_id", F.col("norm").alias("_s")), "needle_id")
+    return full.where(F.contains("_t", F.col("_s"))).select("doc", "needle_id", "place")
 
 
 def locate_page(needles: DataFrame, pages: DataFrame, least: int = 40, head: int = 30) -> DataFrame:
