@@ -190,18 +190,62 @@ def test_spotsigs_repeats_and_empty(spark, frame):
     assert spotsigs.edit_report(one).count() == 4
 
 
-def test_spotsigs_near_pairs(frame):
-    prints = spotsigs.fingerprints(frame)
-    classes, pairs = spotsigs.near_pairs(prints, 0.6)
-    sets = {r["doc_id"]: frozenset(r["sigs"]) for r in prints.collect()}
-    heads = {}
-    for i in sorted(sets):
-        heads.setdefault(sets[i], i)
-    assert {r["doc_id"]: r["class_id"] for r in classes.collect()} == {i: heads[s] for i, s in sets.items()}
-    ids = sorted(heads.values())
-    like = lambda a, b: len(a & b) / len(a | b) if a | b else 0
-    want = {(a, b) for a in ids for b in ids if a < b and like(sets[a], sets[b]) >= 0.6 and sets[a] and sets[b]}
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+def classes_of(sets: dict, percent: int) -> dict:
+    """The smallest id reachable from each, by comparing all with all."""
+    low = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while True:
+        before = dict(low)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            return low
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_spotsigs_near_classes(frame, percent):
+    sets = {r["doc_id"]: frozenset(r["sigs"]) for r in spotsigs.fingerprints(frame).collect()}
+    want = classes_of(sets, percent)
+    assert by_id(spotsigs.near_classes(frame, percent), "class_id") == {i: (c,) for i, c in want.items()}
+    assert by_id(spotsigs.edit_report(frame, percent=percent), "class_id") == {i: (c,) for i, c in want.items()}
+    assert len(set(want.values())) < len(want) - 10
+
+
+def test_spotsigs_mass_of_near_copies(spark, monkeypatch):
+    """Two groups of near copies, chains of edits and a mass on one template below the threshold: classes as by comparing all, without pairs of all with all."""
+    seen, confirm = [], neardup.confirm
+    monkeypatch.setattr(neardup, "confirm", lambda pairs, full, percent: seen.append(pairs.count()) or confirm(pairs, full, percent))
+    rng = random.Random(11)
+    word = lambda: f"r{rng.randrange(10**9)}"
+    texts = []
+    for g in range(2):
+        base = [x for i in range(150) for x in ("the", f"g{g}w{i}")]
+        texts += [" ".join(word() if rng.random() < 0.02 else w for w in base) for _ in range(150)]
+    chain = [x for i in range(100) for x in ("of", f"c{i}")]
+    for i in range(40):
+        chain[2 * i + 1] = word()
+        texts.append(" ".join(chain))
+    template = [x for i in range(100) for x in ("in", f"t{i}")]
+    for _ in range(200):
+        t = template[:]
+        for at in rng.sample(range(100), 7):
+            t[2 * at + 1] = word()
+        texts.append(" ".join(t))
+    rng.shuffle(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sets = {r["doc_id"]: frozenset(r["sigs"]) for r in spotsigs.fingerprints(frame).collect()}
+    assert by_id(spotsigs.near_classes(frame), "class_id") == {i: (c,) for i, c in classes_of(sets, 80).items()}
+    assert sum(seen) < 10_000  # of some 45,000 in groups
+
+
+def test_spotsigs_classes_of_odd_rows(spark):
+    text = " ".join(f"the word{i} of thing{i} and other{i}" for i in range(30))
+    rows = [(None, text + " the end", 1), (4, text, 1), (4, text, 1), (4, "a short one", 1), (9, None, 1), (8, "", 1), (-(2**62), "a short one", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, Mark int")
+    got = sorted((str(r["doc_id"]), str(r["class_id"])) for r in spotsigs.near_classes(df).collect())
+    assert got == sorted([("None", "None"), ("4", "None"), ("4", "None"), ("4", str(-(2**62))), ("9", "8"), ("8", "8"), (str(-(2**62)), str(-(2**62)))])
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in spotsigs.edit_report(df).collect()) == got
+    assert spotsigs.near_classes(df.limit(0)).count() == 0
 
 
 def test_warc_round_trip(spark):
@@ -546,8 +590,7 @@ def test_a_mass_below_the_threshold_makes_few_pairs(spark, monkeypatch):
 def test_spotsigs_tells_rows_of_one_id_apart(spark):
     text = " ".join(f"the word{i} of thing{i} and other{i}" for i in range(30))
     df = spark.createDataFrame([(1, "a short one"), (1, text), (2, text + " the end")], "doc_id bigint, text string")
-    _, pairs = spotsigs.near_pairs(spotsigs.fingerprints(df))
-    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(1, 2)]
+    assert sorted((r["doc_id"], r["class_id"]) for r in spotsigs.near_classes(df).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
 def test_warc_deals_out_rows_that_repeat(spark, monkeypatch, tmp_path):
