@@ -213,8 +213,8 @@ def test_spotsigs_near_classes(frame, percent):
 
 def test_spotsigs_mass_of_near_copies(spark, monkeypatch):
     """Two groups of near copies, chains of edits and a mass on one template below the threshold: classes as by comparing all, without pairs of all with all."""
-    seen, confirm = [], neardup.confirm
-    monkeypatch.setattr(neardup, "confirm", lambda pairs, full, percent: seen.append(pairs.count()) or confirm(pairs, full, percent))
+    seen, confirm = [], spotsigs.confirm
+    monkeypatch.setattr(spotsigs, "confirm", lambda pairs, full, percent: seen.append(pairs.count()) or confirm(pairs, full, percent))
     rng = random.Random(11)
     word = lambda: f"r{rng.randrange(10**9)}"
     texts = []
