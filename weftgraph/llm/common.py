@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, cut, remove, shared_dir
 
-__all__ = ["Scratch", "ascii_lower", "cut", "partitions", "remove", "shared_dir", "small", "table", "uniform", "unused"]
+__all__ = ["Scratch", "ascii_lower", "cut", "partitions", "pieces", "remove", "shared_dir", "small", "table", "uniform", "unused"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -21,6 +24,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows at most, so that little is held of what is made of them; a worker that waits for
+    its next task gives unused memory back."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are at most ``most``."""
     return F.broadcast(df) if rows <= most else df
