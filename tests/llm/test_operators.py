@@ -173,6 +173,17 @@ def test_spotsigs_edits(frame, docs):
     assert len(set(prints.values())) == len(prints)
 
 
+def test_spotsigs_splices():
+    """Cut at any two places, the words of two joined texts are hashed as those of the whole."""
+    known = spotsigs.Words(frozenset(x.encode() for x in spotsigs.ANCHORS))
+    of = lambda x: spotsigs._hashes(spotsigs._bytes(x), known)
+    for text, after in (("the cat, sat on a mat ", " Of\u00e9 two  words\nand"), ("", "a b"), ("word", ""), ("word", "word"), ("...", "the end"), ("a b", "\t"), ("\u4f60\u597d x", "y\u4f60 \ud800z")):
+        for i in range(len(text) + 1):
+            for j in range(len(after) + 1):
+                got = spotsigs.spliced(text[:i], after[:j], of(text), of(after), known)
+                assert got.tolist() == of(text[:i] + after[:j]).tolist(), (text[:i], after[:j])
+
+
 def test_spotsigs_hot_ids(spark):
     """One id for most rows: its rows follow in the order of their texts' hashes, over many ranges."""
     rows = [(7 if i % 3 else (None if i % 2 else i), f"the cat{i} sat on a mat{i} of {i}") for i in range(300)]
