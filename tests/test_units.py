@@ -161,6 +161,19 @@ def test_needles_of_every_length_are_found(spark):
     assert got == sorted((k, str(i)) for k, (d, n) in needles.items() for i, t in texts.items() if n and n in t and d in (None, str(i)))
 
 
+def test_named_needles_make_no_keys_of_words(spark):
+    """Needles that name their document go along with its texts, whatever their number; only a document with very many meets them by words."""
+    texts = {f"d{i}": " ".join(f"w{i + j}" for j in range(40)) for i in range(8)}
+    needles = [(f"{d}-{k}", d, " ".join(t.split()[k : k + 6])) for d, t in texts.items() for k in range(5 if d != "d3" else 30)] + [("not", "d1", "w1 w3 w2 w4 w5"), ("short", "d2", "w3"), ("nowhere", "d9", "w9")]
+    df = spark.createDataFrame(needles, "needle_id string, doc string, norm string")
+    rows = spark.createDataFrame([(d, 1, t) for d, t in texts.items()], "doc string, place int, text string")
+    want = sorted((k, d) for k, d, n in needles if n in texts.get(d, ""))
+    for along in (256, 10):
+        assert sorted((r["needle_id"], r["doc"]) for r in ingest.anchored(df, rows, along=along).collect()) == want
+    plan = ingest.anchored(df, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan and "split(" not in plan
+
+
 def test_short_needles_join_by_key(spark):
     """Needles of one and two words, of one and two characters, and beyond the basic plane, in texts on several lines: no plan compares all pairs."""
     texts = {1: "alpha beta\ngamma", 2: "zeta al", 3: "\U0001f600\U0001f601x y", 4: "", 5: None, 6: "a", 7: "alpha " * 3000 + "omega"}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as fx
+from ..functions.batches import pieces, record_batch
 from ..plans.pack import ID_PATTERN, Pack
 from ..sources.shared import cut
 from .graph import ENTITY
@@ -29,8 +30,10 @@ KINDS = (("speaker_turn", SPEAKER, 5), ("timestamp", TIMESTAMP, 4), ("heading",
 MOST_CHUNKS = 1000
 #: Needles, or pairs to be verified, are sent to all tasks up to so many; more are joined by a shuffle.
 MOST_SENT = 200_000
+#: A document's needles go along with its texts up to so many; where a document has more, they meet its texts by words.
+MOST_ALONG = 256
 BOUNDARY = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("priority", T.IntegerType())]))
-CHUNK = T.ArrayType(T.StructType([T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("section_hint", T.StringType())]))
+CHUNK = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("n_chunks", T.IntegerType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("section_hint", T.StringType())])
 
 
 def boundaries(text: str) -> list[tuple[int, str, int]]:
@@ -104,14 +107,18 @@ def section_hint(text: Column | str) -> Column:
 
 
 def chunk_documents(docs: DataFrame, max_chars: int, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
-    """(doc_id, chunk_index, n_chunks, chunk_doc_id, text, section_hint): each document cut in one Arrow call, no shuffle. A table whose long
-    texts stand together is dealt out first (``dealt_by_size``)."""
-
-    @F.pandas_udf(CHUNK)
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"chunk_index": i, "text": x, "section_hint": h} for i, x, h in split_chunks(t, max_chars, whole)])
-
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), split(text_col).alias("cs")).select("doc_id", F.size("cs").alias("n_chunks"), F.inline("cs"))
+    """(doc_id, chunk_index, n_chunks, chunk_doc_id, text, section_hint): each document cut in Arrow batches, no shuffle; few documents and their chunks
+    are Python objects at a time. A table whose long texts stand together is dealt out first (``dealt_by_size``)."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            rows = []
+            for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                chunks = split_chunks(text, max_chars, whole)
+                rows += [(doc, len(chunks), *chunk) for chunk in chunks]
+            yield record_batch({name: [r[k] for r in rows] for k, name in enumerate(CHUNK.names)}, CHUNK)
+
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(split, CHUNK)
     return rows.select("doc_id", "chunk_index", "n_chunks", fx.chunk_doc_id("doc_id", "chunk_index", "n_chunks").alias("chunk_doc_id"), "text", "section_hint")
 
 
@@ -197,13 +204,14 @@ def parse_responses(responses: DataFrame, pack: Pack, json_col: str = "response"
 
 
 def extract_entities(chunks: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame], schema: str = ENTITY) -> DataFrame:
-    """A user's extractor (a frame of chunks in, a frame of entity records out) over all chunks in Arrow batches."""
+    """A user's extractor (a frame of chunks in, a frame of entity records out) over all chunks, in frames of a few hundred."""
+    made = T.StructType.fromDDL(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield extractor(pdf)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            yield record_batch(extractor(piece.to_pandas()), made)
 
-    return chunks.mapInPandas(run, schema)
+    return chunks.mapInArrow(run, made)
 
 
 _TURN = re.compile(r"(?m)^[ \t]*([A-Za-z][A-Za-z0-9_.\-]{1,30})[ \t]*:[ \t]+(.+)$")
@@ -229,6 +237,52 @@ def _runs(words: Column, width: int | Column) -> Column:
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), at)).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Short needles are looked for together, in one pass over the texts, while there are at most so many.
+MOST_LISTED = 2000
+#: A task knows so many words of up to so many characters, and the short needles in them.
+KNOWN_WORDS, KNOWN_CHARS = 1 << 16, 64
+
+
+def _by_looking(short: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, place, needle_id): the texts that contain needles of one or two words (needle_id, norm), of which there are few. Texts are read once, and nothing is
+    shuffled: a needle of one word is in one of a text's words, and one of two words begins with the end of one, so what a word may hold is looked up."""
+    listed = short.select("needle_id", "norm").collect()
+    whole = {i: r["norm"] for i, r in enumerate(listed) if " " in r["norm"]}
+    ones: dict[str, list[int]] = {}
+    firsts: dict[str, list[int]] = {}
+    for i, r in enumerate(listed):
+        (firsts if i in whole else ones).setdefault(r["norm"].split(" ")[0], []).append(i)
+    one_sizes, first_sizes = ({len(x) for x in table} for table in (ones, firsts))
+    schema = T.StructType([texts.schema["doc"], texts.schema["place"], T.StructField("_i", T.IntegerType())])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for piece in pieces(batches):
+            rows, found = [], []
+            for row, text in enumerate(piece.column("_t").to_pylist()):
+                hit: set[int] = set()
+                for word in set((text or "").split(" ")):
+                    held = known.get(word)
+                    if held is None:
+                        # Long words are looked through, of others the parts are looked up.
+                        parts = (x for x in ones if x in word) if len(word) > KNOWN_CHARS else {word[k : k + n] for n in one_sizes for k in range(len(word) - n + 1)} & ones.keys()
+                        held = [i for x in parts for i in ones[x]] + [i for n in first_sizes if n <= len(word) for i in firsts.get(word[len(word) - n :], ())]
+                        if len(known) >= KNOWN_WORDS:
+                            known.clear()
+                        if len(word) <= KNOWN_CHARS:
+                            known[word] = held
+                    hit.update(held)
+                mine = [i for i in hit if i not in whole or whole[i] in text]
+                rows += [row] * len(mine)
+                found += mine
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([piece.column("doc").take(at), piece.column("place").take(at), pa.array(found, pa.int32())], names=schema.names)
+
+    named = texts.sparkSession.createDataFrame([(i, r["needle_id"]) for i, r in enumerate(listed)], T.StructType([schema["_i"], short.schema["needle_id"]]))
+    rows = texts.select("doc", "place", fx.normalize_for_match("text").alias("_t")).mapInArrow(look, schema)
+    return rows.join(F.broadcast(named), "_i").select("doc", "place", "needle_id")
+
+
 #: Short needles are looked for by runs of so many characters.
 GRAM = 3
 
@@ -252,18 +306,50 @@ def _by_grams(short: DataFrame, texts: DataFrame, widths: list[int], sent: Calla
     return keyed.join(sent(rarest.select("needle_id", F.col("m.gram").alias("gram"))), "gram").select("doc", "place", "needle_id")
 
 
-def anchored(needles: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
+def _in_own_texts(needles: DataFrame, texts: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc, place, needle_id): the needles (needle_id, doc, norm), few for each document, that the texts of their document contain. A text is shuffled once at most, and
+    looked through where it meets its needles."""
+    own = needles.groupBy("doc").agg(F.collect_list(F.struct("needle_id", "norm")).alias("_ns"))
+    # A lambda binds the text, so that it is normalised once and not for each needle.
+    inside = F.transform(F.array(fx.normalize_for_match("text")), lambda t: F.filter("_ns", lambda n: F.contains(t, n["norm"])))
+    return texts.join(sent(own), "doc").select("doc", "place", F.explode(F.element_at(inside, 1)).alias("_n")).select("doc", "place", F.col("_n.needle_id").alias("needle_id"))
+
+
+def anchored(needles: DataFrame, texts: DataFrame, width: int = 4, along: int = MOST_ALONG) -> DataFrame:
     """(doc, needle_id, place): the texts (doc, place, text) that contain a needle (needle_id, doc or null for any, norm) after
     normalisation. ``needle_id`` names a row; a null text contains nothing and an empty needle is nowhere.
 
-    A needle's words but the first and last stand as whole words wherever it occurs. So up to ``width`` of them are a join key
+    Needles that name a document go along with its texts, if it has ``along`` of them at most (``_in_own_texts``). Up to ``MOST_LISTED`` needles of one or two words that
+    name none are looked for in one pass (``_by_looking``). Others are joined by words (``_by_words``)."""
+    needles = needles.where("norm <> ''").select("needle_id", "doc", "norm")
+    found = []
+    short = F.col("doc").isNull() & (F.size(F.split("norm", " ", -1)) <= 2)
+    if 0 < needles.where(short).limit(MOST_LISTED + 1).count() <= MOST_LISTED:
+        found.append(_by_looking(needles.where(short), texts))
+        needles = needles.where(~short)
+    per_doc = needles.where("doc is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("c"))
+    told = per_doc.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.max("c"), F.lit(0)).alias("most")).first()
+    named, many = needles.where("doc is not null"), needles.where("doc is null")
+    if told["most"] > along:
+        crowded = cut(per_doc.where(F.col("c") > along).select("doc"))
+        many = many.unionByName(named.join(crowded, "doc", "left_semi").select(*needles.columns))
+        named = named.join(crowded, "doc", "left_anti").select(*needles.columns)
+    if told["all"]:
+        found.append(_in_own_texts(named, texts, F.broadcast if told["all"] <= MOST_SENT else lambda df: df))
+    if not found or not many.isEmpty():
+        found.append(_by_words(many, texts, width))
+    return reduce(DataFrame.unionByName, [rows.select("doc", "needle_id", "place") for rows in found])
+
+
+def _by_words(needles: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``anchored`` by words: a needle's words but the first and last stand as whole words wherever it occurs. So up to ``width`` of them are a join key
     to as many words of a text, together with the document if the needle names one, and ``contains`` verifies the pairs that
     meet. A needle of one or two words has no inner word: it is looked for in its document's texts, or where it names none in the texts that
     hold its rarest run of three characters (``_by_grams``). Each text is normalised and split once, and gives at most ``width`` keys per word;
     for short needles without a document it is read twice more.
     """
     norm = fx.normalize_for_match("text")
-    needles = needles.where("norm <> ''").select("needle_id", "doc", "norm", F.split("norm", " ", -1).alias("_w"))
+    needles = needles.select("needle_id", "doc", "norm", F.split("norm", " ", -1).alias("_w"))
     needles = needles.withColumn("_n", F.least(F.lit(width), F.size("_w") - 2))
     free, short_chars = F.col("doc").isNull(), F.when(F.col("doc").isNull() & (F.col("_n") <= 0), F.least(F.length("norm"), F.lit(GRAM)))
     kinds = needles.groupBy("_n", free.alias("free"), short_chars.alias("chars")).agg(F.count(F.lit(1)).alias("c")).collect()  # few rows: widths and runs

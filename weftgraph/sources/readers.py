@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.batches import pieces, record_batch
 from ..functions.text import derive_doc_id, estimate_chunks
 from ..operators.graph import ENTITY
 
@@ -128,20 +130,19 @@ def _typed(meta: dict, schema: str) -> dict:
 
 
 def parse_records(files: DataFrame, schema: str = RECORD) -> DataFrame:
-    """Front matter to rows, file by file in Arrow batches; a file without any is kept and marked, never fatal."""
-    columns = [p.split(" ", 1)[0] for p in schema.replace("map<string, array<string>>", "map").split(", ")]
+    """Front matter to rows, file by file in Arrow batches, few of which are Python objects at a time; a file without any is kept and marked, never fatal."""
+    made = T.StructType.fromDDL(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
             rows = []
-            for file, block, body, ok in zip(pdf["file"], pdf["block"], pdf["body"], pdf["ok"], strict=True):
+            for file, block, body, ok in zip(*(piece.column(name).to_pylist() for name in ("file", "block", "body", "ok")), strict=True):
                 rows.append(_typed(front_matter(block) if ok else {}, schema) | {"file": file, "body": body, "corrupt": not ok})
-            frame = pd.DataFrame(rows, columns=columns)
-            yield frame.astype({"source_page": "Int32"}) if "source_page" in frame else frame
+            yield record_batch({name: [r.get(name) for r in rows] for name in made.names}, made)
 
     has = F.regexp_like("text", F.lit(FRONT))
     block, body = F.regexp_extract("text", FRONT, 1), F.regexp_extract("text", FRONT, 2)
-    return files.select("file", block.alias("block"), F.when(has, body).otherwise(F.col("text")).alias("body"), (has & (F.trim(block) != "")).alias("ok")).mapInPandas(run, schema)
+    return files.select("file", block.alias("block"), F.when(has, body).otherwise(F.col("text")).alias("body"), (has & (F.trim(block) != "")).alias("ok")).mapInArrow(run, made)
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
