@@ -174,6 +174,15 @@ def test_named_needles_make_no_keys_of_words(spark):
     assert "xxhash64" not in plan and "split(" not in plan
 
 
+def test_few_short_needles_take_one_pass(spark):
+    rows = spark.createDataFrame([(1, 1, "Alpha, beta"), (2, 1, "zeta al"), (3, 1, None)], "doc bigint, place int, text string")
+    df = spark.createDataFrame([("p", None, "pha b"), ("a", None, "al"), ("no", None, "q")], "needle_id string, doc string, norm string")
+    found = ingest.anchored(df, rows)
+    assert sorted(map(tuple, found.select("doc", "needle_id").collect())) == [(1, "a"), (1, "p"), (2, "a")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Aggregate" not in plan and "Generate" not in plan
+
+
 def test_short_needles_join_by_key(spark):
     """Needles of one and two words, of one and two characters, and beyond the basic plane, in texts on several lines: no plan compares all pairs."""
     texts = {1: "alpha beta\ngamma", 2: "zeta al", 3: "\U0001f600\U0001f601x y", 4: "", 5: None, 6: "a", 7: "alpha " * 3000 + "omega"}

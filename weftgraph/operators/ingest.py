@@ -239,44 +239,20 @@ def _runs(words: Column, width: int | Column) -> Column:
 
 #: Short needles are looked for together, in one pass over the texts, while there are at most so many.
 MOST_LISTED = 2000
-#: A task knows so many words of up to so many characters, and the short needles in them.
-KNOWN_WORDS, KNOWN_CHARS = 1 << 16, 64
 
 
 def _by_looking(short: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, place, needle_id): the texts that contain needles of one or two words (needle_id, norm), of which there are few. Texts are read once, and nothing is
-    shuffled: a needle of one word is in one of a text's words, and one of two words begins with the end of one, so what a word may hold is looked up."""
+    """(doc, place, needle_id): the texts that contain needles of one or two words (needle_id, norm), of which there are few. Texts are read once, each is
+    looked through for every needle, and nothing is shuffled."""
     listed = short.select("needle_id", "norm").collect()
-    whole = {i: r["norm"] for i, r in enumerate(listed) if " " in r["norm"]}
-    ones: dict[str, list[int]] = {}
-    firsts: dict[str, list[int]] = {}
-    for i, r in enumerate(listed):
-        (firsts if i in whole else ones).setdefault(r["norm"].split(" ")[0], []).append(i)
-    one_sizes, first_sizes = ({len(x) for x in table} for table in (ones, firsts))
+    norms = [(i, r["norm"]) for i, r in enumerate(listed)]
     schema = T.StructType([texts.schema["doc"], texts.schema["place"], T.StructField("_i", T.IntegerType())])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
         for piece in pieces(batches):
-            rows, found = [], []
-            for row, text in enumerate(piece.column("_t").to_pylist()):
-                hit: set[int] = set()
-                for word in set((text or "").split(" ")):
-                    held = known.get(word)
-                    if held is None:
-                        # Long words are looked through, of others the parts are looked up.
-                        parts = (x for x in ones if x in word) if len(word) > KNOWN_CHARS else {word[k : k + n] for n in one_sizes for k in range(len(word) - n + 1)} & ones.keys()
-                        held = [i for x in parts for i in ones[x]] + [i for n in first_sizes if n <= len(word) for i in firsts.get(word[len(word) - n :], ())]
-                        if len(known) >= KNOWN_WORDS:
-                            known.clear()
-                        if len(word) <= KNOWN_CHARS:
-                            known[word] = held
-                    hit.update(held)
-                mine = [i for i in hit if i not in whole or whole[i] in text]
-                rows += [row] * len(mine)
-                found += mine
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([piece.column("doc").take(at), piece.column("place").take(at), pa.array(found, pa.int32())], names=schema.names)
+            hits = [(row, i) for row, text in enumerate(piece.column("_t").to_pylist()) if text for i, norm in norms if norm in text]
+            at = pa.array([row for row, _ in hits], pa.int32())
+            yield pa.RecordBatch.from_arrays([piece.column("doc").take(at), piece.column("place").take(at), pa.array([i for _, i in hits], pa.int32())], names=schema.names)
 
     named = texts.sparkSession.createDataFrame([(i, r["needle_id"]) for i, r in enumerate(listed)], T.StructType([schema["_i"], short.schema["needle_id"]]))
     rows = texts.select("doc", "place", fx.normalize_for_match("text").alias("_t")).mapInArrow(look, schema)
