@@ -167,3 +167,24 @@ def test_a_long_chain_of_merges_ends(spark):
     ents = spark.createDataFrame([(f"e{k:03d}", "Code", "x", "d") for k in range(101)], "id string, class string, label string, source_document string")
     _, left, links, _ = curate.apply_approved(spark.createDataFrame(rows, schema), ents, spark.createDataFrame([("e100", "p", "e000")], "src string, prop string, dst string"), pk.THEMATIC)
     assert [tuple(r) for r in links.collect()] == [("e100", "p", "e100")] and left.count() == 1
+
+
+def test_rounds_do_not_read_the_entities_again(spark, tmp_path):
+    """Proposals that hang on each other's success take several rounds; the entities are looked up before, whatever their number."""
+    spark.range(2000).select(F.concat(F.lit("e"), "id").alias("id"), F.lit("d").alias("source_document")).write.parquet(f"{tmp_path}/old")
+    entities = spark.read.parquet(f"{tmp_path}/old")
+    rows = [(f"p{k}", "merge_entities", "approved", f"e{k + 1}", f"e{k}") for k in range(9, 0, -1)]
+    given = spark.createDataFrame(rows, "proposal_id string, operation string, status string, kept_id string, removed_id string")
+    given = given.select("proposal_id", "operation", "status", *[(F.col(c) if c in ("kept_id", "removed_id") else F.lit(None)).cast(t).alias(c) for c, t in curate.FIELDS.items()])
+    plans = []
+
+    class Watched(curate.Scratch):
+        def keep(self, df):
+            plans.append(str(tmp_path) in "".join(df.inputFiles()))
+            return super().keep(df)
+
+    with Watched(spark, "watched") as scratch:
+        judged = curate.in_order(given, entities, scratch)
+        assert judged.where("ok").count() == 9
+    assert len(plans) > 3 and sum(plans) <= 2
+

@@ -398,7 +398,8 @@ def apply_groups(entities: DataFrame, edges: DataFrame, groups: DataFrame, pack:
 
 def _new_ids(groups: DataFrame, entities: DataFrame, scratch: Scratch) -> DataFrame:
     """(proposal_id, doc, makes) of group proposals whose parent is an entity or what another one makes: the document and the id of the new subtheme."""
-    docs = entities.select(F.col("id").alias("need"), F.coalesce(F.nullif("source_document", F.lit("")), F.lit("doc")).alias("doc")).groupBy("need").agg(F.min("doc").alias("doc"))
+    asked = entities.join(groups.select(F.col("need").alias("id")).distinct(), "id", "left_semi")
+    docs = asked.select(F.col("id").alias("need"), F.coalesce(F.nullif("source_document", F.lit("")), F.lit("doc")).alias("doc")).groupBy("need").agg(F.min("doc").alias("doc"))
     made = groups.select("proposal_id", "need", subtheme_slug("new_subtheme_label").alias("slug"))
     named = None
     while True:
@@ -437,7 +438,9 @@ def in_order(proposals: DataFrame, entities: DataFrame, scratch: Scratch) -> Dat
     base = base.withColumn("drops", F.when(op == "merge_entities", F.col("removed_id"))).withColumn("ok", F.when(~possible, F.lit(False)))
     base = base.withColumns({"there": F.lit(None).cast("boolean"), "taken": F.lit(None).cast("boolean")})
     state = scratch.keep(base)
-    first = entities.select("id", F.lit(True).alias("_old")).distinct()
+    # Of the entities only those that some proposal asks for are looked up, once; rounds work on tables of proposals' size.
+    ids = state.select(F.explode(F.array("need", "makes")).alias("id")).where("id is not null").distinct()
+    first = scratch.keep(entities.select("id").join(ids, "id", "left_semi").distinct().withColumn("_old", F.lit(True)))
     before = Window.partitionBy("id").orderBy("proposal_id", "event").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         open_ = state.where("ok is null")
