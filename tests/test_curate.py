@@ -188,3 +188,21 @@ def test_rounds_do_not_read_the_entities_again(spark, tmp_path):
         assert judged.where("ok").count() == 9
     assert len(plans) > 3 and sum(plans) <= 2
 
+
+def test_codes_in_most_excerpts_are_not_paired(spark):
+    """A code that more than 1 / lift of the excerpts carry coheres with none, so sets that differ in such codes only are one."""
+    common = [f"every{i}" for i in range(8)]
+    sets = [{*common[: 6 + i % 3], "a", "b"} if i < 10 else set(common[: 6 + i % 3]) for i in range(60)]
+    edges = as_edges(spark, {"t": sets})
+    kept = {}
+
+    class Watched(curate.Scratch):
+        def keep(self, df):
+            out = super().keep(df)
+            kept[tuple(df.columns)] = out.count()
+            return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(curate, "Scratch", Watched)
+        got = {tuple(r) for r in curate.cohering_codes(edges, 2, 2.0).collect()}
+    assert got == plain_groups({"t": sets}, 2, 2.0) and kept["theme", "a", "b", "both"] <= 3

@@ -130,7 +130,8 @@ def cohering_codes(edges: DataFrame, least: int = 2, lift: float = 1.2, wide: in
     Two codes of a theme cohere if ``least`` or more of its excerpts carry both, and ``lift`` times as many as if they came independently of each other:
     both * excerpts >= lift * one * other, counted over the theme's excerpts with codes. Groups are the components of these pairs.
 
-    Excerpts with the same codes are counted first, and a set of codes is looked at once. Sets of up to ``wide`` codes are spelled out in pairs. In wider
+    Two codes are together at most as often as the rarer one comes, so a code that more than 1 / ``lift`` of a theme's excerpts carry coheres with none, and is left out
+    before codes are paired. Excerpts with the same other codes are counted first, and a set of codes is looked at once. Sets of up to ``wide`` codes are spelled out in pairs. In wider
     ones, codes that are in the same of them are a class, and classes are paired, not codes: over the pair's wide sets every two codes of
     two classes are together equally often, so a code coheres with some code of the other class if it does so with the rarest. So links to the
     rarest hold the groups together, and an excerpt with any number of codes makes a few rows for each. Pairs of narrow sets get what
@@ -141,13 +142,17 @@ def cohering_codes(edges: DataFrame, least: int = 2, lift: float = 1.2, wide: in
     marks = lambda c: [F.bit_xor(F.xxhash64(c)).alias("m1"), F.sum(F.shiftright(F.xxhash64(F.lit("set"), c), 24)).alias("m2"), F.count(F.lit(1)).alias("k")]
     with Scratch(edges.sparkSession, "codes") as scratch:
         told = scratch.keep(themes.join(codes, "src").distinct())
-        sets = told.groupBy("theme", "src").agg(*marks("code")).groupBy("theme", "m1", "m2", "k").agg(F.min("src").alias("src"), F.count(F.lit(1)).alias("w"))
+        total = scratch.keep(told.select("theme", "src").distinct().groupBy("theme").agg(F.count(F.lit(1)).alias("total")))
+        n = scratch.keep(told.groupBy("theme", "code").agg(F.count(F.lit(1)).alias("n")))
+        # A little more than the bound, as products of floating point are rounded. Such codes are few: the mean set has 1 / lift of them.
+        common = scratch.keep(n.join(total, "theme").where(F.lit(lift) * F.col("n") > F.col("total") * (1 + 1e-9)).select("theme", "code"))
+        told = told.join(common, ["theme", "code"], "left_anti")
+        sets = told.groupBy("theme", "src").agg(*marks("code")).groupBy("theme", "m1", "m2", "k").agg(F.min("src").alias("src"), F.count(F.lit(1)).alias("w")).where("k > 1")
         sets = scratch.keep(sets.select("theme", "src", "w", "k"))
         held = scratch.keep(told.join(sets, ["theme", "src"]))  # each different set once: theme, src (its name), code, w, k
-        n = scratch.keep(held.groupBy("theme", "code").agg(F.sum("w").alias("n")))
-        total = sets.groupBy("theme").agg(F.sum("w").alias("total"))
-        mate = held.where(F.col("k") <= wide).select("theme", "src", F.col("code").alias("b"))
-        pairs = held.where(F.col("k") <= wide).withColumnRenamed("code", "a").join(mate, ["theme", "src"]).where("a < b").groupBy("theme", "a", "b").agg(F.sum("w").alias("both"))
+        narrow = held.where(F.col("k") <= wide).groupBy("theme", "src", "w").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+        first = narrow.select("theme", "w", "codes", F.posexplode("codes").alias("i", "a"))
+        pairs = first.select("theme", "w", "a", F.explode(F.slice("codes", F.col("i") + 2, F.size("codes"))).alias("b")).groupBy("theme", "a", "b").agg(F.sum("w").alias("both"))
         pairs = scratch.keep(pairs)
         links = None
         if not held.where(F.col("k") > wide).isEmpty():
