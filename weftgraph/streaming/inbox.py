@@ -34,17 +34,24 @@ def inbox_stream(spark: SparkSession, path: str, per_batch: int = 1000, archive:
 
 
 def guarded(extractor: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """An extractor that gives a document that fails back as one row with the error, instead of failing the batch."""
+    """An extractor that gives a document that fails back as one row with the error, instead of failing the batch. A frame is taken whole; only one that fails
+    is taken again document by document."""
     names = [x.split()[0] for x in ENTITY.replace("map<string, array<string>>", "map").split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def by_document(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for doc, part in pdf.groupby("doc_id", sort=False):
             try:
                 parts.append(extractor(part).assign(error=None))
             except Exception as e:  # the document goes to quarantine, the batch goes on
                 parts.append(pd.DataFrame([dict.fromkeys(names) | {"source_document": doc, "error": f"{type(e).__name__}: {e}"}], dtype=object))
-        rows = pd.concat([p.astype(object) for p in parts]) if parts else pd.DataFrame(columns=[*names, "error"])
+        return pd.concat([p.astype(object) for p in parts]) if parts else pd.DataFrame(columns=[*names, "error"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            rows = extractor(pdf.copy()).assign(error=None).astype(object)
+        except Exception:
+            rows = by_document(pdf)
         return rows.where(rows.notna(), None)[[*names, "error"]]
 
     return run
@@ -72,6 +79,7 @@ def ingest_batch(docs: DataFrame, batch_id: int, out: str, extractor: Callable[[
     the error), waiting (documents without entities), superseded (files whose document id another file of the batch has, which was modified
     later, or as late and has the greater name) and evidence (where the texts of entities with a page stand on it, by the search variants of
     ``style``). A document that fails keeps the entities of its last delivery. A batch that was taken whole is not taken again."""
+    delivered = docs = docs.cache()  # each table of the batch reads it
     named = docs.select("doc_id", F.struct("modified", "file").alias("_f"))
     last = named.groupBy("doc_id").agg(F.max("_f").alias("_f"))
     mine = [docs["doc_id"] == F.col("_d"), F.struct("modified", "file").eqNullSafe(F.col("_f"))]
@@ -96,6 +104,7 @@ def ingest_batch(docs: DataFrame, batch_id: int, out: str, extractor: Callable[[
     merge_entities(dated.withColumn("seq", seq), taken, f"{out}/entities", batch_id)
     good.unpersist()
     found.unpersist()
+    delivered.unpersist()
 
 
 def start(spark: SparkSession, inbox: str, out: str, checkpoint: str, extractor: Callable[[pd.DataFrame], pd.DataFrame], pack: Pack, once: bool = False, archive: str | None = None) -> StreamingQuery:
