@@ -174,6 +174,15 @@ def test_named_needles_make_no_keys_of_words(spark):
     assert "xxhash64" not in plan and "split(" not in plan
 
 
+def test_extractors_take_small_frames(spark):
+    """What a worker holds as Python objects doesn't grow with its batches."""
+    from weftgraph.functions.batches import PIECE
+
+    chunks = ingest.chunk_documents(spark.range(1000).coalesce(1).select("id", F.lit("some text").alias("text")), 100, id_col="id")
+    sizes = [r["n"] for r in ingest.extract_entities(chunks, lambda pdf: pdf[["doc_id"]].assign(n=len(pdf)), "doc_id string, n int").collect()]
+    assert len(sizes) == 1000 and max(sizes) <= PIECE
+
+
 def test_few_short_needles_take_one_pass(spark):
     rows = spark.createDataFrame([(1, 1, "Alpha, beta"), (2, 1, "zeta al"), (3, 1, None)], "doc bigint, place int, text string")
     df = spark.createDataFrame([("p", None, "pha b"), ("a", None, "al"), ("no", None, "q")], "needle_id string, doc string, norm string")
