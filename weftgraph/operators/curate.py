@@ -144,7 +144,7 @@ def cohering_codes(edges: DataFrame, least: int = 2, lift: float = 1.2, wide: in
         told = scratch.keep(themes.join(codes, "src").distinct())
         total = scratch.keep(told.select("theme", "src").distinct().groupBy("theme").agg(F.count(F.lit(1)).alias("total")))
         n = scratch.keep(told.groupBy("theme", "code").agg(F.count(F.lit(1)).alias("n")))
-        # A little more than the bound, as products of floating point are rounded. Such codes are few: the mean set has 1 / lift of them.
+        # A little more than the bound, as products of floating point are rounded. Such codes are fewer than lift times the codes of a mean excerpt.
         common = scratch.keep(n.join(total, "theme").where(F.lit(lift) * F.col("n") > F.col("total") * (1 + 1e-9)).select("theme", "code"))
         told = told.join(common, ["theme", "code"], "left_anti")
         sets = told.groupBy("theme", "src").agg(*marks("code")).groupBy("theme", "m1", "m2", "k").agg(F.min("src").alias("src"), F.count(F.lit(1)).alias("w")).where("k > 1")
