@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from weftgraph.operators import browse, graph
 from weftgraph.operators import pattern as pt
 from weftgraph.operators.intervals import prefix_join
+from weftgraph.plans import mapping
+from weftgraph.sources import shared
 
 
 def shown(df) -> str:
@@ -88,3 +90,16 @@ def test_bound_paths_leave_the_rest_alone(spark):
     assert {tuple(r) for r in pt.path_from(edges, starts).collect()} == reach("2_5") | reach("1_7") | reach("a")
     ends = spark.createDataFrame([("d",)], "dst string")
     assert {tuple(r) for r in pt.path_to(edges, ends).collect()} == {(x, "d") for x in "abc"}
+
+
+def test_a_loaded_graph_has_parts_by_its_rows(spark, monkeypatch):
+    """Parts grow in number with the triples, not in size, and so do those that order lines are read in."""
+    monkeypatch.setattr(shared, "PART", 100)
+    rows = [(f"s{i % 900}", "p", f"o{i % 900}", "iri", None if i % 2 else "en") for i in range(3600)]
+    triples = spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_lang string")
+    for got in (graph.load_graph(triples, None), graph.load_graph(triples.limit(0), triples, rows=3600)):
+        assert got.rdd.getNumPartitions() == 36 and sorted(map(str, got.collect())) == sorted(map(str, triples.distinct().collect()))
+    assert graph.load_graph(triples.limit(0)).count() == 0
+    lines = "/root/testdata/sf0.001"
+    held = mapping.regulatory(spark, lines).edges.where("prop = 'containsDisclosure'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert held < 200 < spark.read.parquet(f"{lines}/lineitem.parquet").count() / 10

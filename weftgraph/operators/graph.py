@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_link
 from ..plans.pack import Pack
+from ..sources.shared import dealt_by_count
 from .pattern import DEFINITION, LABEL, SOURCE, TYPE
 
 ENTITY = "class string, id string, label string, uri string, source_document string, source_section string, source_page int, source_text string, properties map<string, array<string>>, file string"
@@ -105,13 +106,14 @@ def schema_triples(spark: SparkSession, pack: Pack) -> DataFrame:
     return spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_lang string")
 
 
-def load_graph(*triples: DataFrame | None) -> DataFrame:
-    """The union of triple tables as a set; missing ones (None) are skipped."""
+def load_graph(*triples: DataFrame | None, rows: int | None = None) -> DataFrame:
+    """The union of triple tables as a set; missing ones (None) are skipped. Rows hardly repeat, so they are dealt out by their number at once, and each part
+    is made a set by itself. ``rows`` says about how many there are; they are counted where it is not given."""
     out = None
     for t in triples:
         if t is not None:
             out = t if out is None else out.unionByName(t)
-    return out.distinct()
+    return dealt_by_count(out, out.count() if rows is None else rows, *out.columns).distinct()
 
 
 def store_graph(triples: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:

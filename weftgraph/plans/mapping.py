@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import ENTITY, GraphTables
 from ..operators.ingest import dealt_by_size
+from ..sources.shared import dealt_by_count
 from .pack import COMPLIANCE, LITERATURE, REGULATORY, THEMATIC
 
 
@@ -49,10 +50,12 @@ def literal(df: DataFrame, id_: Column, prop: str, value: Column) -> DataFrame:
 
 
 def regulatory(spark: SparkSession, sf_dir: str) -> GraphTables:
-    """Customers issue, orders are filings with the customer's nation, order lines disclose, parts oblige."""
+    """Customers issue, orders are filings with the customer's nation, order lines disclose, parts oblige. Order lines, of which there are most, are
+    dealt out by their number before ids are made of them."""
     t = lambda n: table(spark, sf_dir, n)
     customer, orders, nation, part = t("customer"), t("orders"), t("nation"), t("part")
-    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = t("lineitem")
+    lines = dealt_by_count(lines.select("l_orderkey", "l_linenumber", "l_partkey"), lines.count(), "l_orderkey", "l_linenumber")
     disclosure = lines.select("l_orderkey", "l_linenumber").distinct()
     did = lambda: F.concat(F.lit("dis_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
     entities = union(

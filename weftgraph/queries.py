@@ -365,7 +365,9 @@ def graph_triples(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {REG_TRIPLES} SELECT s, p, o, o_kind, o_lang FROM t UNION SELECT 'reg:' || x, 'rdf:type', 'owl:Class', 'iri', NULL FROM (VALUES ('Filing'), ('Issuer'), ('Disclosure'), ('Regulator'), ('Obligation')) v(x)")
 def load_graph(spark: SparkSession, d: str) -> DataFrame:
     schema = graph.schema_triples(spark, PACKS["regulatory"]).where("o = 'owl:Class'")
-    return graph.load_graph(schema, reg(spark, d), None)
+    # Triples that a row of each table gives; counts are in the files' footers.
+    rows = sum(n * table(spark, d, name).count() for name, n in (("lineitem", 4), ("orders", 5), ("customer", 3), ("part", 2)))
+    return graph.load_graph(schema, reg(spark, d), None, rows=rows)
 
 
 @register("""WITH t(name, parent) AS (SELECT r_name, NULL FROM region UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
