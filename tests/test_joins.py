@@ -11,6 +11,7 @@ from weftgraph.operators import browse, graph
 from weftgraph.operators import pattern as pt
 from weftgraph.operators.intervals import prefix_join
 from weftgraph.plans import mapping
+from weftgraph.plans.pack import REGULATORY
 from weftgraph.sources import shared
 
 
@@ -103,3 +104,17 @@ def test_a_loaded_graph_has_parts_by_its_rows(spark, monkeypatch):
     lines = "/root/testdata/sf0.001"
     held = mapping.regulatory(spark, lines).edges.where("prop = 'containsDisclosure'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert held < 200 < spark.read.parquet(f"{lines}/lineitem.parquet").count() / 10
+
+
+def test_nodes_of_a_graph_meet_once(spark):
+    """Labels, classes and ends in one grouping: no join, and one exchange; hubs, blank nodes, nulls and nodes that are only ends."""
+    rows = [(f"rege:x{i}", "reg:filedBy", "rege:hub", "iri") for i in range(50)] + [("rege:hub", "rdf:type", "reg:Issuer", "iri"), ("rege:hub", "rdfs:label", "Hub", "lit"), ("rege:x1", "rdf:type", "reg:Filing", "iri")]
+    rows += [("rege:x2", "rdfs:label", "A", "lit"), ("rege:x2", "rdfs:label", "B", "lit"), ("rege:lone", "rdf:type", "reg:Filing", "lit"), ("_:b", "rdfs:label", "blank", "lit"), ("_:b", "reg:filedBy", "rege:unseen", "iri")]
+    rows += [("rege:x3", "reg:filedWith", "_:c", "iri"), ("rege:x4", "reg:filingDate", "2024-01-01", "lit"), (None, "rdfs:label", "none", "lit"), ("rege:x5", "reg:filedWith", None, "iri")]
+    triples = spark.createDataFrame([(*r, None) for r in rows], "s string, p string, o string, o_kind string, o_lang string")
+    got = browse.graph_nodes(triples, REGULATORY)
+    assert "Join" not in shown(got) and shown(got).count("Exchange hashpartitioning") == 1
+    color = {c: i for i, c in enumerate(REGULATORY.class_names)}
+    want = {(f"rege:x{i}", f"x{i}", "", None) for i in range(50)} - {("rege:x1", "x1", "", None), ("rege:x2", "x2", "", None)}
+    want |= {("rege:hub", "Hub", "Issuer", color["Issuer"]), ("rege:x1", "x1", "Filing", color["Filing"]), ("rege:x2", "B", "", None), ("rege:lone", "lone", "", None), ("_:c", "_:c", "", None), (None, None, "", None)}
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in spark.createDataFrame(list(want), got.schema).collect())

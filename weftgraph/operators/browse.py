@@ -86,13 +86,12 @@ def graph_edges(triples: DataFrame) -> DataFrame:
 def graph_nodes(triples: DataFrame, pack: Pack, palette: int = 8) -> DataFrame:
     """(node, label, class, color): every labelled, typed or linked node. A label is the local name where there is none, a
     color the class's place in the pack modulo ``palette`` (null for others)."""
-    named = triples.where(~F.col("s").startswith("_:"))
-    facts = named.where(F.col("p").isin(TYPE, LABEL)).groupBy(F.col("s").alias("node")).agg(
-        F.max(F.when(F.col("p") == LABEL, F.col("o"))).alias("_label"), F.max(F.when((F.col("p") == TYPE) & (F.col("o_kind") == "iri"), type_name("o"))).alias("class")
-    )
-    edges = graph_edges(triples)
-    ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
-    nodes = facts.select("node").unionByName(ends).distinct().join(facts, "node", "left")
+    label, cls = F.when(F.col("p") == LABEL, F.col("o")), F.when((F.col("p") == TYPE) & (F.col("o_kind") == "iri"), type_name("o"))
+    facts = triples.where(~F.col("s").startswith("_:") & F.col("p").isin(TYPE, LABEL)).select(F.col("s").alias("node"), label.alias("_label"), cls.alias("class"))
+    # An end says that there is a node, and nothing of it; so all rows meet in one grouping, whose hubs are combined before the shuffle.
+    none = F.lit(None).cast("string")
+    ends = graph_edges(triples).select(F.explode(F.array("src", "dst")).alias("node"), none.alias("_label"), none.alias("class"))
+    nodes = facts.unionByName(ends).groupBy("node").agg(F.max("_label").alias("_label"), F.max("class").alias("class"))
     color = F.lit(None).cast("int")
     for i, name in enumerate(pack.class_names):
         color = F.when(F.col("class") == name, F.lit(i % palette)).otherwise(color)
