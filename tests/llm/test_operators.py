@@ -7,6 +7,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ import corpus_pipeline
 from weftgraph.llm import chat, decontam, language, line_dedup, mixing, neardup, spotsigs, url_filter, warc
 from weftgraph.llm.common import shared_dir
 from weftgraph.llm.components import components
+from weftgraph.sources.shared import Scratch, exists
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, _id string"
 
@@ -184,6 +186,25 @@ def test_spotsigs_splices():
                 assert got.tolist() == of(text[:i] + after[:j]).tolist(), (text[:i], after[:j])
 
 
+def test_spotsigs_signs_many_texts_at_once():
+    """Signatures of texts worked out together are those of each alone: without words, without anchors, with anchors only, at ends, over several rounds."""
+    known = spotsigs.Words(frozenset(x.encode() for x in spotsigs.ANCHORS))
+    rng = random.Random(2)
+    texts = ["", "the", "the of and", "zebra", "zebra quagga okapi", None, "a cat", "cat a", "the cat sat on the mat the cat sat on the mat", ""]
+    texts += [" ".join(rng.choice(["the", "of", "x1", "x2", "x3", "x4", "\u4f60"]) for _ in range(rng.randrange(12))) for _ in range(200)]
+    for some in (texts, texts[:1], ["", None], []):
+        want = [spotsigs.signatures(x or "", known).tolist() for x in some]
+        for most in (1, 50, 1 << 17):
+            assert [s.tolist() for s in spotsigs.signatures_each(pa.array(some, pa.string()), known, most=most)] == want
+
+
+def test_scratch_forgets_tables(spark):
+    with Scratch(spark, "forgets") as scratch:
+        kept = [scratch.keep(spark.range(n)) for n in (3, 4)]
+        scratch.forget(kept[0])
+        assert not exists(spark, f"{scratch.path}/1") and kept[1].count() == 4
+
+
 def test_spotsigs_hot_ids(spark):
     """One id for most rows: its rows follow in the order of their texts' hashes, over many ranges."""
     rows = [(7 if i % 3 else (None if i % 2 else i), f"the cat{i} sat on a mat{i} of {i}") for i in range(300)]
