@@ -270,6 +270,22 @@ def test_spotsigs_mass_of_near_copies(spark, monkeypatch):
     assert sum(seen) < 10_000  # of some 45,000 in groups
 
 
+def test_spotsigs_short_lists_are_joined_once(spark, monkeypatch):
+    """A group of near copies needs samples; lists of a few sets are read in the last one only, and two places after which too little is left make no list."""
+    seen, across = {}, neardup.across
+    sizes = lambda posted, grade: [r["count"] for r in posted.where(F.col("asks") >= grade).groupBy("shingle").count().collect()] if "asks" in posted.columns else [r["count"] for r in posted.groupBy("shingle").count().collect()]
+    monkeypatch.setattr(neardup, "across", lambda ids, posted, roots, percent, grade, *rest: seen.update({grade: sizes(posted, grade)}) or across(ids, posted, roots, percent, grade, *rest))
+    rng = random.Random(5)
+    # Each set of the group is near some others only, so that its star leaves several components.
+    base = [x for i in range(100) for x in ("the", f"g{i}")]
+    texts = [" ".join(f"r{rng.randrange(10**9)}" if x != "the" and rng.random() < 0.07 else x for x in base) for _ in range(90)]
+    texts += [" ".join(x for i in range(40) for x in ("of", f"p{g if i < 6 else (g, i, j)}q{i}".replace(" ", ""))) for g in range(60) for j in range(2)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sets = {r["doc_id"]: frozenset(r["sigs"]) for r in spotsigs.fingerprints(frame).collect()}
+    assert by_id(spotsigs.near_classes(frame), "class_id") == {i: (c,) for i, c in classes_of(sets, 80).items()}
+    assert max(seen) > 0 and all(min(c) > neardup.SHORT for grade, c in seen.items() if grade and c)
+
+
 def test_spotsigs_classes_of_odd_rows(spark):
     text = " ".join(f"the word{i} of thing{i} and other{i}" for i in range(30))
     rows = [(None, text + " the end", 1), (4, text, 1), (4, text, 1), (4, "a short one", 1), (9, None, 1), (8, "", 1), (-(2**62), "a short one", 1)]
